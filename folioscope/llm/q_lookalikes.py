@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from folioscope.llm import lookalikes
+from folioscope.session import spread
 
 
 def _units(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/units.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/units.parquet").select("unit_id", "content"))
 
 
 def p3_found(spark, sf_dir):

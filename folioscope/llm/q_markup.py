@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.llm import markup
+from folioscope.session import spread
 
 
 def _texts(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/units.parquet").select(F.col("_doc_id").alias("host"), F.col("unit_id").alias("id"), F.col("content").alias("text"))
+    return spread(spark.read.parquet(f"{sf_dir}/units.parquet").select(F.col("_doc_id").alias("host"), F.col("unit_id").alias("id"), F.col("content").alias("text")))
 
 
 def p2_found(spark, sf_dir):

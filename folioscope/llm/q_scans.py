@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from folioscope.llm import scans
+from folioscope.session import spread
 
 
 def _tables(spark, sf_dir):
-    return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("units", "ocr_pages")]
+    units = spark.read.parquet(f"{sf_dir}/units.parquet").select("unit_id", "content")
+    pages = spark.read.parquet(f"{sf_dir}/ocr_pages.parquet").select("scan_id", "page_height", "blocks")
+    return [spread(units), spread(pages)]
 
 
 def p6_found(spark, sf_dir):

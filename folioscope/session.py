@@ -53,3 +53,12 @@ def small_enough(df: DataFrame, limit_bytes: int = 8 << 20) -> bool:
     Used before a broadcast hint; the estimate of a Parquet scan is its size in bytes on disk."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     return int(str(stats.sizeInBytes())) <= limit_bytes
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work that is heavy per row.
+
+    A table read from many files or splits passes unchanged; a single small file is dealt out.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -20,14 +20,23 @@ _SENTENCE_END = r"(?<=[.?!…:;])\s+|\n+"
 _LEAD = r"^\s*(?:\d{1,3}[.)]\s+|[QA]:\s+|(?:F|R):\s+)"
 
 
+def _words(sentence: Column) -> Column:
+    return F.filter(F.split(F.lower(F.regexp_replace(sentence, _LEAD, "")), r"[^\p{L}-]+"), lambda w: F.length(w) >= 2)
+
+
 def sentences(documents: DataFrame) -> DataFrame:
     """(doc_id, sent, words): the words of every sentence of the whole texts. NULL and blank texts have none.
 
     A word is two letters or more, in small letters; adjoining words are also taken as pairs.
     """
     split = documents.where(F.col("text").rlike(r"\p{L}")).select("doc_id", F.posexplode(F.split("text", _SENTENCE_END)).alias("sent", "s"))
-    words = F.filter(F.split(F.lower(F.regexp_replace("s", _LEAD, "")), r"[^\p{L}-]+"), lambda w: F.length(w) >= 2)
-    return split.select("doc_id", "sent", words.alias("words")).where(F.size("words") > 0)
+    return split.select("doc_id", "sent", _words(F.col("s")).alias("words")).where(F.size("words") > 0)
+
+
+def document_terms(documents: DataFrame) -> DataFrame:
+    """(doc_id, terms): the distinct terms of each document, the edges of the graph."""
+    each = F.transform(F.split("text", _SENTENCE_END), lambda s: _terms(_words(s)))
+    return documents.where(F.col("text").rlike(r"\p{L}")).select("doc_id", F.array_distinct(F.flatten(each)).alias("terms"))
 
 
 def _terms(words: Column) -> Column:
@@ -39,25 +48,30 @@ def _sums(k: int, column: str = "post") -> list[Column]:
     return [F.sum(F.col(column)[i]).alias(f"s{i}") for i in range(k)]
 
 
-def term_weights(texts: DataFrame, posts: DataFrame, k: int, least_gain: float = 6.0) -> DataFrame:
+def term_weights(edges: DataFrame, posts: DataFrame, k: int, least_gain: float = 4.0, least_reach: float = 0.2) -> DataFrame:
     """(term, w): log odds per subject of the verified terms, from the documents that have a posterior.
 
-    The gain is the information of the term's subject mix against the corpus' (half a likelihood-ratio
-    statistic), so a threshold on it is a significance test. Sums are combined before the shuffle.
+    ``posts``: (doc_id, post, seed). The gain is the information of the term's subject mix against the
+    corpus' (half a likelihood-ratio statistic), so a threshold on it is a significance test. A term
+    that labelled documents hold much less often than documents at large (under ``least_reach`` of
+    their rate) belongs to texts outside the closed list. Every document counts once per term; sums
+    are combined before the shuffle.
     """
-    marked = texts.join(posts, "doc_id").select(F.explode(_terms(F.col("words"))).alias("term"), "post")
-    sums = marked.groupBy("term").agg(*_sums(k), F.count(F.lit(1)).alias("n"))
-    prior = posts.agg(*_sums(k)).first()
-    total = sum((prior[i] or 0.0) for i in range(k)) + k
-    base = [((prior[i] or 0.0) + 1.0) / total for i in range(k)]
-    mass = sum((F.col(f"s{i}") for i in range(k)), F.lit(0.0))
-    share = [(F.col(f"s{i}") + 2.0 * base[i]) / (mass + 2.0) for i in range(k)]
-    gain = sum((F.col(f"s{i}") * F.log(share[i] / base[i]) for i in range(k)), F.lit(0.0))
-    purity = F.greatest(*share)
-    return sums.where((gain >= least_gain) & (purity >= 0.5)).select("term", F.array(*[F.log(s / b) for s, b in zip(share, base)]).alias("w"))
-
-
-def sentence_subjects(texts: DataFrame, weights: DataFrame, k: int, least: float = 1.0, margin: float = 0.7) -> DataFrame:
+    counts = [F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("seeds")]
+    marked = edges.join(posts, "doc_id", "left")
+    sums = marked.select(F.explode("terms").alias("term"), "post", "seed").groupBy("term").agg(*_sums(k), *counts)
+    overall = marked.agg(*_sums(k), *counts).first()
+    rate = (overall["seeds"] or 0) / max(overall["n"] or 0, 1)
+    total = sum((overall[i] or 0.0) for i in range(k)) + k
+    base = [((overall[i] or 0.0) + 1.0) / total for i in range(k)]
+    mass = sum((F.coalesce(f"s{i}", F.lit(0.0)) for i in range(k)), F.lit(0.0))
+    share = [(F.coalesce(f"s{i}", F.lit(0.0)) + base[i]) / (mass + 1.0) for i in range(k)]
+    gain = sum((F.coalesce(f"s{i}", F.lit(0.0)) * F.log(share[i] / base[i]) for i in range(k)), F.lit(0.0))
+    reached = F.col("seeds") >= F.greatest(F.lit(1.0), least_reach * rate * F.col("n"))
+    return sums.where((gain >= least_gain) & (F.greatest(*share) >= 0.5) & reached).select("term", F.array(*[F.log(s / b) for s, b in zip(share, base)]).alias("w"))
+
+
+def sentence_subjects(texts: DataFrame, weights: DataFrame, k: int, least: float = 2.5, margin: float = 0.7) -> DataFrame:
     """(doc_id, sent, subject, pattern): the subject of each sentence that has one, and its pattern.
 
     ``pattern`` sums up the words of the sentence that are no verified terms. The weights (materialized)
@@ -121,19 +135,20 @@ def propagate(documents: DataFrame, areas: DataFrame, labels: DataFrame, rounds:
     spark = documents.sparkSession
     index = spark.createDataFrame(list(enumerate(names)), "idx int, subject string")
     k = max(len(names), 1)
-    texts = materialize(sentences(spread(documents.select("doc_id", "text"))))
+    whole = spread(documents.select("doc_id", "text"))
+    texts, edges = materialize(sentences(whole)), materialize(document_terms(whole))
     labels = labels.select("doc_id", "subject")
-    posts = materialize(trusted_seeds(labels, None, index, k))
+    posts = materialize(trusted_seeds(labels, None, index, k).withColumn("seed", F.lit(True)))
     said = None
     for turn in range(rounds):
-        weights = materialize(term_weights(texts, posts, k))
+        weights = materialize(term_weights(edges, posts, k))
         said = materialize(sentence_subjects(texts, weights, k))
         if turn == rounds - 1:
             break
         shares = document_shares(said)
         seeds = trusted_seeds(labels, shares, index, k)
-        free = _posteriors(shares, k)
-        posts = materialize(free.join(seeds, "doc_id", "left_anti").unionByName(seeds))
+        free = _posteriors(shares, k).withColumn("seed", F.lit(False))
+        posts = materialize(free.join(seeds, "doc_id", "left_anti").unionByName(seeds.withColumn("seed", F.lit(True))))
     return said, index
 
 

@@ -49,12 +49,13 @@ def _sums(k: int, column: str = "post") -> list[Column]:
 
 
 def term_weights(edges: DataFrame, posts: DataFrame, k: int, least_gain: float = 4.0, least_reach: float = 0.2) -> DataFrame:
-    """(term, w): log odds per subject of the verified terms, from the documents that have a posterior.
+    """(term, w): log odds per subject of the verified terms, learned from the documents that have a posterior.
 
     ``posts``: (doc_id, post, seed). The gain is the information of the term's subject mix against the
     corpus' (half a likelihood-ratio statistic), so a threshold on it is a significance test. A term
     that labelled documents hold much less often than documents at large (under ``least_reach`` of
-    their rate) belongs to texts outside the closed list. Every document counts once per term; sums
+    their rate) belongs to texts outside the closed list; where that is beyond chance it speaks against
+    all subjects. Every document counts once per term; sums
     are combined before the shuffle.
     """
     counts = [F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("seeds")]
@@ -68,7 +69,11 @@ def term_weights(edges: DataFrame, posts: DataFrame, k: int, least_gain: float =
     share = [(F.coalesce(f"s{i}", F.lit(0.0)) + base[i]) / (mass + 1.0) for i in range(k)]
     gain = sum((F.coalesce(f"s{i}", F.lit(0.0)) * F.log(share[i] / base[i]) for i in range(k)), F.lit(0.0))
     reached = F.col("seeds") >= F.greatest(F.lit(1.0), least_reach * rate * F.col("n"))
-    return sums.where((gain >= least_gain) & (F.greatest(*share) >= 0.5) & reached).select("term", F.array(*[F.log(s / b) for s, b in zip(share, base)]).alias("w"))
+    verified = (gain >= least_gain) & (F.greatest(*share) >= 0.5) & reached
+    expected = rate * F.col("n")
+    outside = (expected >= 6.0) & (F.col("seeds") < least_reach * expected)
+    w = F.when(outside, F.array(*[F.lit(-1.5)] * k)).otherwise(F.array(*[F.log(s / b) for s, b in zip(share, base)]))
+    return sums.where(verified | outside).select("term", w.alias("w"))
 
 
 def sentence_subjects(texts: DataFrame, weights: DataFrame, k: int, least: float = 2.5, margin: float = 0.7) -> DataFrame:

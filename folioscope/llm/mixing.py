@@ -117,6 +117,9 @@ def fit_rates(docs: DataFrame, shares: np.ndarray, caps: np.ndarray, rounds: int
     k = len(shares)
     cap = sum((F.col("post")[i] * float(caps[i]) for i in range(k)), F.lit(0.0))
     most = _totals(docs, cap, k)
+    # Whole repeats are counted under a document's likeliest source, so that source's room binds too.
+    alone = docs.withColumn("post", F.transform("post", lambda x: F.when((x > 0) & (x == F.array_max("post")), 1.0).otherwise(0.0)))
+    most = np.minimum(most, _totals(alone, cap, k))
     curve = np.array([float(x or 0) for x in docs.agg(*[F.sum(F.pow(F.col("n_tokens") * F.col("post")[i], 2)) for i in range(k)]).first()])
     wanted = shares > 0
     total = float(min((most[i] / shares[i] for i in range(k) if wanted[i]), default=0.0))

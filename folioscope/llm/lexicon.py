@@ -23,37 +23,42 @@ _TWO = tuple(k for k in CONFUSED if len(k) == 2)
 MAX_SITES = 8
 
 _INVISIBLE = r"[­​-‏⁠-⁤﻿]"
+# Between words: all but Latin, Greek and Cyrillic letters, their full-width forms, digits and lost characters.
+_BETWEEN = "[^0-9A-Za-z\u00c0-\u024f\u0370-\u052f\u1e00-\u1fff\uff10-\uff5a\ufffd]+"
 _SPLIT_AT_END = r"\p{L}*[-‐­¬][ \t]*\n\s*\p{L}*"
 
 
 def words_of(text: Column) -> Column:
     """The words of a text as an array; the halves of words split over line ends are left out."""
-    joined = F.regexp_replace(F.regexp_replace(text, _SPLIT_AT_END, " "), _INVISIBLE, "")
-    return F.split(joined, r"[^\p{L}\p{N}�]+")
+    joined = F.when(text.contains("\n"), F.regexp_replace(text, _SPLIT_AT_END, " ")).otherwise(text)
+    seen = F.when(joined.rlike(_INVISIBLE), F.regexp_replace(joined, _INVISIBLE, "")).otherwise(joined)
+    return F.split(seen, _BETWEEN)
 
 
 def word_counts(texts: DataFrame, column: str = "text") -> DataFrame:
-    """(word, n) over all texts: words of ASCII letters, digits and lost characters with a letter in them.
+    """(word, n, small) over all texts: words of three or more ASCII letters, digits and lost characters.
 
-    Counted per partition first, so only distinct words are shuffled.
+    Words are counted in small letters; ``small`` is how often they were written so. Counted per
+    partition first, so only distinct words are shuffled, and only those are looked at closely.
     """
-    shape = r"^[A-Za-z0-9�]*[a-z][A-Za-z0-9�]*$"
-    return (
+    word = F.lower("w")
+    counted = (
         texts.select(F.explode(words_of(F.col(column))).alias("w"))
-        .where(F.col("w").rlike(shape) & (F.length("w") >= 3))
-        .groupBy(F.when(F.col("w").rlike("^[A-Z][a-z]"), F.lower("w")).otherwise(F.col("w")).alias("word"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.length("w") >= 3)
+        .groupBy(word.alias("word"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("w") == word).alias("small"))
     )
+    return counted.where(F.col("word").rlike("^[a-z0-9�]*[a-z][a-z0-9�]*$"))
 
 
 def ordinary_words(counts: DataFrame, min_share: float = 1e-5, min_count: int = 5) -> dict[str, int]:
-    """The words of lower-case letters that make up at least ``min_share`` of all words.
+    """The words of letters, written small, that make up at least ``min_share`` of all words.
 
     By that share there are at most ``1 / min_share`` of them, whatever the corpus.
     """
     total = counts.agg(F.sum("n")).first()[0] or 0
     floor = max(min_count, int(total * min_share))
-    rows = counts.where(F.col("word").rlike("^[a-z]{2,}$") & (F.col("n") >= floor)).collect()
+    rows = counts.where(F.col("word").rlike("^[a-z]{2,}$") & (F.col("small") >= floor)).collect()
     return {r["word"]: r["n"] for r in rows}
 
 
@@ -89,7 +94,7 @@ class Corrector:
         """The word meant, or None if ``word`` is not a misread ordinary word."""
         w = word.lower()
         digits = any(c.isdigit() for c in w)
-        if digits and (word[0].isupper() and len(w) < 4 or not any(c.isalpha() for c in w)):
+        if digits and (len(w) < 3 or not any(c.isalpha() for c in w)):
             return None
         if LOST in w:
             if sum(c != LOST for c in w) < 2:
@@ -107,7 +112,7 @@ class Corrector:
 
 
 def misread_words(counts: DataFrame, ordinary: dict[str, int] | None = None) -> DataFrame:
-    """(word, meant) of the distinct words that are misread; ``word`` as counted (first letter small)."""
+    """(word, meant) of the distinct words that are misread, in small letters."""
     known = ordinary if ordinary is not None else ordinary_words(counts)
     shared = counts.sparkSession.sparkContext.broadcast(known)
 
@@ -127,8 +132,7 @@ def with_misread(texts: DataFrame, bad: DataFrame, keys: list[str], column: str
 
     ``bad`` is a part of the vocabulary; it is left to the planner whether it is small enough to broadcast.
     """
-    words = texts.select(*keys, F.explode(F.filter(words_of(F.col(column)), lambda w: w.rlike(r"[0-9�cb|]|ii|rn|vv|li") & (F.length(w) >= 3))).alias("w"))
-    words = words.select(*keys, F.when(F.col("w").rlike("^[A-Z][a-z]"), F.lower("w")).otherwise(F.col("w")).alias("word"))
+    words = texts.select(*keys, F.explode(words_of(F.col(column))).alias("w")).select(*keys, F.lower("w").alias("word"))
     return words.join(bad, "word").groupBy(*keys).agg(F.count(F.lit(1)).alias("misread"))
 
 

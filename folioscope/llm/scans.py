@@ -36,34 +36,42 @@ _BROKEN = re.compile(rf"([^\W\d_]+)[{_HYPHENS}]\s*$")
 _KIND = re.compile(r"^\s*(?:definition|theorem|lemma|proposition|corollary|example|remark|exercise|proof|def|thm|lem|prop|cor|exmp|rem|exerc)\b", re.I)
 _SMALL_WORDS = frozenset("a an and at by for from in of on or the to und der die das et de la le les".split())
 _RUNS_ON = re.compile(r"[.;,]\s|[^\W\d_]–[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")
+_NUMBER_FIRST = re.compile(r"^\d+(?:\s{2,}|\s*\|\s*)[^\W\d_]")
+_NUMBER_LAST = re.compile(r"[^\W\d_](?:\s{2,}|\s*\|\s*)\d+$")
+_CHAPTER = re.compile(r"^(?:chap(?:ter|\.)|kap(?:itel|\.))\s*\d", re.I)
+_CHAPTER_DOT = re.compile(r"^(?:chapter \d+\.|chap\w*\.)", re.I)
+_SYMBOLS = re.compile(r"[=<>≤≥∈⊂⊃∩→‖ε²{}\\$&*`]")
+_SECTION_PAGE = re.compile(r"^\d+(?:\.\d+)+\s+[^\W\d_a-z].*\s{2,}\d+$")
 _FEATURES = 16
 HEADER_FONT = 9.5
 
 
 def _features(line: str, before: str) -> list[bool]:
     text = line.strip()
-    words = [w for w in re.findall(r"[^\W\d_]+", text) if w.lower() not in _SMALL_WORDS]
-    letters = re.sub(r"[\W\d_]", "", text)
+    every = _WORD.findall(text)
+    words = [w for w in every if w.lower() not in _SMALL_WORDS]
+    letters = "".join(every)
     small = sum(w[0].islower() for w in words)
     titled = len(words) >= 1 and words[0][0].isupper() and small <= (len(words) >= 4) and not _RUNS_ON.search(text)
     goes_on = bool(_BROKEN.search(before))
     return [
         bool(_PAGE.match(text)),
-        bool(re.match(r"^\d+(?:\s{2,}|\s*\|\s*)[^\W\d_]", text)),
-        bool(re.search(r"[^\W\d_](?:\s{2,}|\s*\|\s*)\d+$", text)),
-        bool(re.match(r"^(?:chap(?:ter|\.)|kap(?:itel|\.))\s*\d", text, re.I)),
+        bool(_NUMBER_FIRST.match(text)),
+        bool(_NUMBER_LAST.search(text)),
+        bool(_CHAPTER.match(text)),
         len(letters) >= 8 and letters.isupper(),
         titled and len(words) >= 2,
         text.endswith((".", "!", "?", ";", ",", ":", "∎", "□")),
         bool(_BROKEN.search(text)),
         text[:1].islower(),
-        bool(re.search(r"[=<>≤≥∈⊂⊃∩→‖ε²{}\\$&*`]", text)),
+        bool(_SYMBOLS.search(text)),
         bool(_KIND.match(text)),
         sum(w.islower() for w in words) >= 2,
         goes_on and text[:1].islower(),
         goes_on and not text[:1].islower(),
-        bool(_RUNS_ON.search(re.sub(r"^chap\w*\.|^chapter \d+\.", "", text, flags=re.I))),
-        bool(re.match(r"^\d+(?:\.\d+)+\s+[^\W\d_a-z].*\s{2,}\d+$", text)),
+        bool(_RUNS_ON.search(_CHAPTER_DOT.sub("", text))),
+        bool(_SECTION_PAGE.match(text)),
     ]
 
 
@@ -84,26 +92,31 @@ class LineModel:
             n = total[s][-1]
             share = [min(0.998, max(0.002, (c + 0.2) / (n + 0.4))) for c in total[s][:-1]]
             self.on[s], self.off[s] = [math.log(p) for p in share], [math.log(1 - p) for p in share]
+        self.base = [sum(self.off[s]) for s in STATES]
+        self.gain = [[self.on[s][i] - self.off[s][i] for s in STATES] for i in range(_FEATURES)]
         self.move = [[math.log(p) for p in row] for row in TRANSITIONS]
 
     def emit(self, line: str, before: str, furniture_place: bool | None) -> list[float]:
-        on = _features(line, before)
-        out = []
-        for s in STATES:
-            score = sum(self.on[s][i] if f else self.off[s][i] for i, f in enumerate(on))
-            if furniture_place is not None:
-                outer = s in ("header", "page_number")
-                score += math.log(0.97 if outer == furniture_place else 0.03)
-            out.append(score)
+        out = list(self.base)
+        for i, on in enumerate(_features(line, before)):
+            if on:
+                gain = self.gain[i]
+                for s in range(4):
+                    out[s] += gain[s]
+        if furniture_place is not None:
+            for s, state in enumerate(STATES):
+                out[s] += math.log(0.97 if (state in ("header", "page_number")) == furniture_place else 0.03)
         return out
 
     def label(self, lines: list[str], furniture_place: bool | None = None) -> list[str]:
         """The likeliest states of the lines together (Viterbi). Blank lines are body."""
         best: list[float] = list(self.move[0])
         back: list[list[int]] = []
+        before = ""
         for i, line in enumerate(lines):
-            before = next((x for x in reversed(lines[:i]) if x.strip() and not _PAGE.match(x)), "")
             score = self.emit(line, before, furniture_place)
+            if line.strip() and not _PAGE.match(line):
+                before = line
             if not line.strip():
                 score = [0.0, -99.0, -99.0, -99.0]
             if i == 0:

@@ -22,10 +22,12 @@ from folioscope.session import materialize
 
 FAMILIES = ("html", "markdown", "wiki", "latex")
 
-#: Texts without any of these characters or line starts can't hold markup (tested inside the JVM).
+#: Texts without any of these can't hold a container (tested inside the JVM): one alternative at least for every pattern
+#: below, never narrower than it. Java's ``\w``, ``\s`` and ``\d`` are ASCII only, hence ``\p{Nd}``.
 CANDIDATE = (
-    r"<[A-Za-z/!]|&[#A-Za-z0-9]{2,32};|`|~~|(?m)^ {0,3}#{1,6}\s|(?m)^ {0,3}(=+|-{2,})\s*$|(?m)^\s*([-+*]|\d{1,3}[.)])\s+\S|(?m)^ {0,3}>"
+    r"<[A-Za-z/!]|&#|&[A-Za-z][A-Za-z0-9]{1,31};|`|~~|(?m)^ {0,3}#{1,6}\s|(?m)^ {0,3}(=+|-{2,})\s*$|(?m)^\s*([-+*]|\p{Nd}{1,3}[.)])\s+\S|(?m)^ {0,3}>"
     r"|\*\*|__|\]\(|\[\[|\{\{|(?m)^\s*\{\||''|\\[A-Za-z(\[\\]|\$|(?m)^={2,}|(?<!\S)[*_]\S|\[https?:"
+    r"|(?m)^[ \t]*(?:\|[ \t]*:?-{3,}|:?-{3,}:?[ \t]*\|)|(?<![\w*\\])\*(?=[^\s*])[^*\n]+\*(?![\w*])|(?<![\w_\\])_(?=[^\s_])[^_\n]+_(?![\w_])"
 )
 
 # Element names of HTML that documents use.

@@ -56,6 +56,19 @@ def test_clean_text_keeps_structure(spark):
     assert {r.id: r.clean for r in markup.clean_texts(df).collect()} == {1: "x", 2: "y", 3: None}
 
 
+def test_filter_drops_no_container(spark):
+    rng = random.Random(5)
+    parts = ["word", "x", " ", "  ", "\n", "\n", "\t", "\xa0", "\u0663", "1", ".", ")", "(", "|", "---", "--", ":", "===", "=", "#", "+", "-", "*", "*w", "_", "_v", ">", "<", "/b", "&#\u0663;", "&", "lt;", "'", "~", "`", "[", "]", "{", "}", "!", "\\", "$", "é"]
+    made = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(6000)]
+    made += ["| n | value |\n|---|---|\n| 1 | 68 |", "n | value\n--- | :---:\n1 | 68", "so (*well known*) it is", "so (_well known_), it is", "\u0663. an item"]
+    df = spark.createDataFrame(list(enumerate(made)), "id int, text string")
+    dropped = [r.text for r in df.where(~df.text.rlike(markup.CANDIDATE)).collect()]
+    assert len(dropped) > 500 and [t for t in dropped if markup.containers(t)] == []
+    table = spark.createDataFrame([("h", 1, made[6000])], "host string, id bigint, text string")
+    assert [tuple(r) for r in markup.markup_families(table).collect()] == [(1, "markdown")]
+    assert markup.clean_texts(table).first().clean == "n | value\n1 | 68"
+
+
 # --- truncation -----------------------------------------------------------------------------------
 
 TR = "unit_id bigint, _doc_id string, method string, label string, content string, number_components array<int>, f string"

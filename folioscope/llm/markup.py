@@ -89,28 +89,37 @@ def _line_before(text: str, at: int) -> str:
     return "" if end < 0 else text[text.rfind("\n", 0, end) + 1 : end]
 
 
-def containers(text: str) -> list[tuple[str, str, float]]:
-    """(family, path, score from 0 to 1) of each container of ``text``.
+def _located(text: str) -> list[tuple[str, str, float, list[tuple[int, int]]]]:
+    """(family, path, score from 0 to 1, marks) of each container of ``text``.
 
     The score says how much the container looks like markup where it stands: known element or
-    command, closed, words inside, neighbours of the same sort.
+    command, closed, words inside, neighbours of the same sort. Its marks are the spans of ``text``
+    that make it a container: all of it, or what stands around or before its running text.
     """
-    out: list[tuple[str, str, float]] = []
-    add = lambda family, path, score: out.append((family, f"{family}:{path}", score))
+    out: list[tuple[str, str, float, list[tuple[int, int]]]] = []
+
+    def add(m: re.Match, family: str, path: str, score: float, *marks: tuple[int, int]) -> None:
+        out.append((family, f"{family}:{path}", score, list(marks) or [m.span()]))
+
+    def around(m: re.Match) -> list[tuple[int, int]]:
+        """The marks before and behind the group that matched."""
+        start, end = m.span(m.lastindex)
+        return [(m.start(), start), (end, m.end())]
+
     for m in _COMMENT.finditer(text):
-        add("html", "comment", 1.0)
+        add(m, "html", "comment", 1.0)
     rest = _mask(text, _COMMENT)
     for m in _FENCE.finditer(rest):
-        add("markdown", "fence", 1.0)
+        add(m, "markdown", "fence", 1.0)
     rest = _mask(rest, _FENCE)
     for m in _PRE.finditer(rest):
-        add("html", "pre/code" if "<code" in m.group(0).lower() else "pre", 1.0)
+        add(m, "html", "pre/code" if "<code" in m.group(0).lower() else "pre", 1.0)
     rest = _mask(rest, _PRE)
     for m in _VERBATIM.finditer(rest):
-        add("latex", f"env.{m.group(1)}", 1.0)
+        add(m, "latex", f"env.{m.group(1)}", 1.0)
     rest = _mask(rest, _VERBATIM)
     for m in _TICK.finditer(rest):
-        add("markdown", "code", 1.0)
+        add(m, "markdown", "code", 1.0)
     rest = _mask(rest, _TICK)
 
     stack: list[str] = []
@@ -124,50 +133,50 @@ def containers(text: str) -> list[tuple[str, str, float]]:
                 if stack[at].partition(".")[0] == name:
                     del stack[at:]
                     break
-        add(family, "/".join([*stack[-3:], step]) if known else f"unknown.{name}", 1.0 if known else 0.2)
+        add(m, family, "/".join([*stack[-3:], step]) if known else f"unknown.{name}", 1.0 if known else 0.2)
         if not (closing or void or name in _VOID) and known:
             stack.append(step)
     rest = _mask(rest, _TAG)
     for m in _ENTITY.finditer(rest):
         body = m.group(1)
         known = body[0] == "#" or body + ";" in html.entities.html5
-        add("html", "entity" if known else "entity.unknown", 1.0 if known else 0.1)
+        add(m, "html", "entity" if known else "entity.unknown", 1.0 if known else 0.1)
 
     for m in _DISPLAY.finditer(rest):
-        add("latex", "display", 1.0)
+        add(m, "latex", "display", 1.0)
     math_free = _mask(rest, _DISPLAY)
     for m in _INLINE.finditer(math_free):
         body = m.group(1) or m.group(2)
         money = m.group(2) is not None and re.match(r"\d", body) and _words(body) > 0.4
-        add("latex", "inline.money" if money else "inline", 0.1 if money else 1.0)
+        add(m, "latex", "inline.money" if money else "inline", 0.1 if money else 1.0, *(around(m) if money else []))
     math_free = _mask(math_free, _INLINE)
     for m in _ENV.finditer(math_free):
-        add("latex", f"env.{m.group(2)}", 1.0)
+        add(m, "latex", f"env.{m.group(2)}", 1.0)
     for m in _COMMAND.finditer(_mask(math_free, _ENV)):
-        add("latex", "command", 1.0)
+        add(m, "latex", "command", 1.0)
     math_free = _mask(math_free, _COMMAND)
 
     for m in _WIKI_TABLE.finditer(math_free):
-        add("wiki", "table", 1.0)
+        add(m, "wiki", "table", 1.0)
     flat = _mask(math_free, _WIKI_TABLE)
     for m in _WIKI_HEAD.finditer(flat):
-        add("wiki", "heading", 1.0)
+        add(m, "wiki", "heading", 1.0, *around(m))
     for m in _WIKI_LINK.finditer(flat):
-        add("wiki", "link", 1.0 if re.search(r"[^\W\d]{2,}", m.group(1)) else 0.2)
+        add(m, "wiki", "link", 1.0 if re.search(r"[^\W\d]{2,}", m.group(1)) else 0.2)
     for m in _WIKI_URL.finditer(flat):
-        add("wiki", "url", 1.0)
+        add(m, "wiki", "url", 1.0)
     for m in _TEMPLATE.finditer(flat):
-        add("wiki", "template", 1.0)
+        add(m, "wiki", "template", 1.0)
     for m in _WIKI_BOLD.finditer(flat):
-        add("wiki", "bold", 1.0)
+        add(m, "wiki", "bold", 1.0, *around(m))
     for m in _WIKI_WORD.finditer(flat):
-        add("wiki", "magic", 1.0)
+        add(m, "wiki", "magic", 1.0)
     flat = _mask(_mask(flat, _WIKI_LINK), _WIKI_WORD)
 
     for m in _ATX.finditer(flat):
-        add("markdown", "heading", 1.0 if _words(m.group(2)) > 0 else 0.2)
+        add(m, "markdown", "heading", 1.0 if _words(m.group(2)) > 0 else 0.2, (m.start(), m.start(2)))
     for m in _SETEXT.finditer(flat):
-        add("markdown", "setext", 1.0)
+        add(m, "markdown", "setext", 1.0, m.span(2))
     items = list(_ITEM.finditer(flat))
     starts = {m.start() for m in items}
     for m in items:
@@ -178,26 +187,31 @@ def containers(text: str) -> list[tuple[str, str, float]]:
         start = fresh or run
         place = ("fresh" if fresh else "run" if run else "loose") + (".task" if m.group(3) else "")
         likely = start and _words(m.group(4)) >= 0.3 and not (number and not run and mark[:-1] != "1")
-        add("markdown", f"item.{'n' if number else mark}.{place}" + ("" if likely else ".weak"), 1.0 if likely else 0.1)
+        add(m, "markdown", f"item.{'n' if number else mark}.{place}" + ("" if likely else ".weak"), 1.0 if likely else 0.1, (m.start(), m.start(4)))
     quotes = list(_QUOTE.finditer(flat))
     for m in quotes:
         before = _line_before(flat, m.start())
         fresh = m.start() == 0 or not before.strip() or before.lstrip().startswith(">") or before.lstrip("\x00 \t") == "" or before.rstrip().endswith((".", ":", "}", "]", ">", "|", "∎"))
         sure = fresh and _words(m.group(1)) >= 0.3
-        add("markdown", "quote" if sure else "quote.loose", 1.0 if sure else 0.1)
+        add(m, "markdown", "quote" if sure else "quote.loose", 1.0 if sure else 0.1, (m.start(), m.start(1)))
     for m in _PIPES.finditer(flat):
         if "|" in m.group(0):
-            add("markdown", "table", 1.0 if "|" in _line_before(flat, m.start()) else 0.2)
+            add(m, "markdown", "table", 1.0 if "|" in _line_before(flat, m.start()) else 0.2)
     for pattern, path in ((_IMAGE, "image"), (_LINK, "link"), (_STRIKE, "strike"), (_BOLD, "bold")):
         for m in pattern.finditer(flat):
-            add("markdown", path, 1.0)
+            add(m, "markdown", path, 1.0, *around(m))
     for m in _EMPH.finditer(_mask(flat, _BOLD)):
         inner = m.group(1) or m.group(2)
         plain = _words(inner) >= 0.5
-        add("markdown", "emphasis" if plain else "emphasis.symbol", 0.9 if plain else 0.2)
+        add(m, "markdown", "emphasis" if plain else "emphasis.symbol", 0.9 if plain else 0.2, *around(m))
     return out
 
 
+def containers(text: str) -> list[tuple[str, str, float]]:
+    """(family, path, score from 0 to 1) of each container of ``text``."""
+    return [found[:3] for found in _located(text)]
+
+
 def _score_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
@@ -259,6 +273,21 @@ def _tex_to_text(text: str) -> str:
     return "".join(formulas)
 
 
+def _pipe_tables(text: str) -> str:
+    """``text`` without the rules of its pipe tables and the outer bars of their rows; other lines between bars stay."""
+    lines = text.split("\n")
+    rules = [i for i, line in enumerate(lines) if "|" in line and _PIPES.match(line)]
+    rows: set[int] = set()
+    for i in rules:
+        if i and "|" in lines[i - 1]:
+            rows.add(i - 1)
+        while i + 1 < len(lines) and "|" in lines[i + 1]:
+            i += 1
+            rows.add(i)
+    drop = frozenset(rules)
+    return "\n".join(re.sub(r"^\|[ \t]*(.*?)[ \t]*\|[ \t]*$", r"\1", line) if i in rows else line for i, line in enumerate(lines) if i not in drop)
+
+
 def clean_text(text: str | None, lost: frozenset[str] = frozenset()) -> str | None:
     """``text`` without markup; the structure stays in one plain notation.
 
@@ -268,21 +297,25 @@ def clean_text(text: str | None, lost: frozenset[str] = frozenset()) -> str | No
     """
     if text is None:
         return None
-    wins = lambda *paths: not any(p in lost for p in paths)
     kept: list[str] = []
 
     def keep(block: str) -> str:
         kept.append(block)
         return f"\x01{len(kept) - 1}\x02"
 
-    if wins("html:comment"):
-        text = _COMMENT.sub("", text)
-    if wins("markdown:fence"):
-        text = _FENCE.sub(lambda m: keep("```\n" + m.group(2).rstrip("\n") + "\n```"), text)
+    # The marks on lost paths are taken out of sight first, so none of the steps below sees them.
+    pieces, at = [], 0
+    for start, end in sorted(span for _, path, _, marks in (_located(text) if lost else ()) if path in lost for span in marks):
+        if end > max(start, at):
+            start = max(start, at)
+            pieces += [text[at:start], keep(text[start:end])]
+            at = end
+    text = "".join(pieces) + text[at:]
+    text = _COMMENT.sub("", text)
+    text = _FENCE.sub(lambda m: keep("```\n" + m.group(2).rstrip("\n") + "\n```"), text)
     text = _PRE.sub(lambda m: "\n" + keep("```\n" + html.unescape(_TAG.sub("", m.group(1))).strip("\n") + "\n```") + "\n", text)
     text = _VERBATIM.sub(lambda m: keep("```\n" + m.group(2).strip("\n") + "\n```"), text)
-    if wins("markdown:code"):
-        text = _TICK.sub(lambda m: keep("`" + m.group(1) + "`"), text)
+    text = _TICK.sub(lambda m: keep("`" + m.group(1) + "`"), text)
     if re.search(r"\\[A-Za-z(\[\\]|\$", text):
         text = _tex_to_text(text)
         text = re.sub(r"\$[^$]+\$", lambda m: keep(m.group(0)), text)
@@ -295,28 +328,24 @@ def clean_text(text: str | None, lost: frozenset[str] = frozenset()) -> str | No
         text = re.sub(r"</t[dh]>\s*<t[dh]\b[^>]*>", " | ", text, flags=re.I)
         text = re.sub(r"<(?:br|hr)\b[^>]*>|</?(?:p|div|ul|ol|table|tr|blockquote|section)\b[^>]*>", "\n", text, flags=re.I)
         text = _TAG.sub(lambda m: "" if m.group(2).lower() in _TAGS | _WIKI_TAGS else m.group(0), text)
-    if wins("html:entity") and "&" in text:
+    if "&" in text:
         text = _ENTITY.sub(lambda m: html.unescape(m.group(0)), text).replace("\xa0", " ")
     if "{|" in text:
         rows = lambda m: "\n".join(re.sub(r"\s*(?:\|\||!!)\s*", " | ", r.lstrip("|! ")) for r in m.group(1).split("\n") if r.strip(" |-"))
         text = _WIKI_TABLE.sub(rows, text)
     text = _WIKI_HEAD.sub(r"# \2", text)
-    if wins("wiki:link"):
-        text = re.sub(r"\[\[(?:File|Image|Category):[^\[\]]*\]\]\s?", "", text)
-        text = _WIKI_LINK.sub(lambda m: m.group(1).rpartition("|")[2], text)
+    text = re.sub(r"\[\[(?:File|Image|Category):[^\[\]]*\]\]\s?", "", text)
+    text = _WIKI_LINK.sub(lambda m: m.group(1).rpartition("|")[2], text)
     text = _WIKI_URL.sub(lambda m: (m.group(1) or "").strip(), text)
     text = _WIKI_WORD.sub("", _TEMPLATE.sub("", text))
     text = _WIKI_BOLD.sub(r"\2", text)
     text = _ATX.sub(r"# \2", text)
     text = _SETEXT.sub(r"# \1", text)
-    text = _PIPES.sub(lambda m: "\x03" if "|" in m.group(0) else m.group(0), text).replace("\x03\n", "").replace("\x03", "")
-    text = re.sub(r"^\|[ \t]*(.*?)[ \t]*\|[ \t]*$", r"\1", text, flags=re.M)
+    text = _pipe_tables(text)
     text = _LINK.sub(r"\1", _IMAGE.sub(r"\1", text))
     text = _STRIKE.sub(r"\1", _BOLD.sub(lambda m: m.group(1) or m.group(2), text))
-    if wins("markdown:emphasis"):
-        text = _EMPH.sub(lambda m: m.group(0) if _words(m.group(1) or m.group(2)) < 0.5 else (m.group(1) or m.group(2)), text)
-    if wins("markdown:quote"):
-        text = _QUOTE.sub(lambda m: m.group(1) if _words(m.group(1)) >= 0.3 else m.group(0), text)
+    text = _EMPH.sub(lambda m: m.group(0) if _words(m.group(1) or m.group(2)) < 0.5 else (m.group(1) or m.group(2)), text)
+    text = _QUOTE.sub(lambda m: m.group(1) if _words(m.group(1)) >= 0.3 else m.group(0), text)
     text = re.sub(r"^([ \t]*)[-*+] \[[ xX]\] ", r"\1- ", text, flags=re.M)
     for i in range(len(kept) - 1, -1, -1):
         text = text.replace(f"\x01{i}\x02", kept[i])

@@ -69,6 +69,27 @@ def test_filter_drops_no_container(spark):
     assert markup.clean_texts(table).first().clean == "n | value\n1 | 68"
 
 
+def test_lost_paths_are_left_alone(spark):
+    wrapped = "the least m for which n\n> every bound of M"
+    cases = {
+        "quote.loose": (wrapped, wrapped),
+        "quote": ("So.\n\n> A quoted line of words.", "So.\n\n> A quoted line of words."),
+        "heading": ("# Title\n\n**b** it", "# Title\n\nb it"),
+        "setext": ("Title\n---\nthe <b>text</b>", "Title\n---\nthe text"),
+        "table": ("| n | v |\n|---|---|\n| 1 | 68 |", "| n | v |\n|---|---|\n| 1 | 68 |"),
+        "link": ("see [**the** text](u) here", "see [the text](u) here"),
+        "bold": ("a **b** and `c`", "a **b** and `c`"),
+        "item.-.fresh.task": ("- [x] done work here", "- [x] done work here"),
+    }
+    for path, (text, want) in cases.items():
+        assert markup.clean_text(text, frozenset({f"markdown:{path}"})) == want, path
+    assert markup.clean_text("== A title ==\n''b'' {{t|x}}", frozenset({"wiki:heading", "wiki:template"})) == "== A title ==\nb {{t|x}}"
+    assert markup.clean_text("a <b>c</b> &lt; \\emph{d}", frozenset({"html:b", "html:entity", "latex:command"})) == "a <b>c</b> &lt; \\emph{d}"
+    assert markup.clean_text("|K| = |L|\n\n<b>c</b>") == "|K| = |L|\n\nc"
+    df = spark.createDataFrame([("h", 1, wrapped), (None, 2, wrapped)], "host string, id bigint, text string")
+    assert [r.clean for r in markup.clean_texts(df).collect()] == [wrapped] * 2
+
+
 # --- truncation -----------------------------------------------------------------------------------
 
 TR = "unit_id bigint, _doc_id string, method string, label string, content string, number_components array<int>, f string"

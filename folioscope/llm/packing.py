@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.tokens import VOCABULARY, with_token_counts
@@ -26,10 +26,14 @@ K1, B = 1.2, 0.75
 
 
 def sized_documents(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens, terms, counts): sizes in tokens and the hashed terms of the whole texts."""
+    """(row_id, doc_id, n_tokens, terms): sizes in tokens and the hashed terms of the whole texts.
+
+    ``row_id`` is a row's own, so NULL and repeated document ids are rows like others. It is fixed
+    only once the result is materialized.
+    """
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3)
     hashed = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
-    base = spread(documents.select("doc_id", "text")).select("doc_id", "text", F.array_sort(hashed).alias("terms"))
+    base = spread(documents.select("doc_id", "text")).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text", F.array_sort(hashed).alias("terms"))
     return with_token_counts(base, "text", path)
 
 
@@ -43,7 +47,7 @@ def document_frequencies(sized: DataFrame) -> np.ndarray:
 
 
 def pieces(sized: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(profile, capacity, doc_id, piece, start_token, tokens, terms): documents per profile, cut only if larger than it.
+    """(profile, capacity, row_id, doc_id, piece, start_token, tokens, terms): documents per profile, cut only if larger than it.
 
     ``sizes`` is a short closed list of profiles. A profile without a positive capacity holds nothing.
     """
@@ -52,10 +56,10 @@ def pieces(sized: DataFrame, sizes: DataFrame) -> DataFrame:
     kinds = F.explode(F.array(*each) if each else F.lit([]).cast("array<struct<profile:string,capacity:bigint>>"))
     start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("n_tokens") - 1, F.lit(0)), F.col("capacity")))
     return (
-        sized.select("doc_id", "n_tokens", "terms", kinds.alias("kind"))
-        .select("kind.*", "doc_id", "n_tokens", "terms")
-        .select("profile", "capacity", "doc_id", "n_tokens", "terms", start.alias("start_token"))
-        .select("profile", "capacity", "doc_id", (F.col("start_token") / F.col("capacity")).cast("int").alias("piece"), "start_token", F.least(F.col("capacity"), F.col("n_tokens") - F.col("start_token")).alias("tokens"), "terms")
+        sized.select("row_id", "doc_id", "n_tokens", "terms", kinds.alias("kind"))
+        .select("kind.*", "row_id", "doc_id", "n_tokens", "terms")
+        .select("profile", "capacity", "row_id", "doc_id", "n_tokens", "terms", start.alias("start_token"))
+        .select("profile", "capacity", "row_id", "doc_id", (F.col("start_token") / F.col("capacity")).cast("int").alias("piece"), "start_token", F.least(F.col("capacity"), F.col("n_tokens") - F.col("start_token")).alias("tokens"), "terms")
     )
 
 
@@ -126,13 +130,18 @@ def pack(tokens: list[int], terms: list[np.ndarray], capacity: int, idf: np.ndar
     return out
 
 
+def _row_key() -> Column:
+    """What rows are dealt to shards by: the document id, or where it is NULL the row's own."""
+    return F.coalesce("doc_id", -1 - F.col("row_id"))
+
+
 def _packed(items: DataFrame, idf: np.ndarray, stage: int) -> DataFrame:
-    """(profile, capacity, shard, box, slot, ...) by packing each (profile, shard) on its own."""
+    """(profile, capacity, container_id, slot, row_id, doc_id, ...) by packing each (profile, shard) on its own."""
     shared = items.sparkSession.sparkContext.broadcast(idf)
-    schema = "profile string, capacity bigint, container_id string, slot int, doc_id bigint, piece int, start_token bigint, tokens bigint, fill bigint"
+    schema = "profile string, capacity bigint, container_id string, slot int, row_id bigint, doc_id bigint, named boolean, piece int, start_token bigint, tokens bigint, fill bigint"
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
+        batch = batch.sort_values(["doc_id", "row_id", "piece"], kind="stable").reset_index(drop=True)
         tokens = [int(t) for t in batch["tokens"]]
         boxes = pack(tokens, [np.asarray(t, np.int32) for t in batch["terms"]], int(batch["capacity"].iloc[0]), shared.value)
         shard, rows = batch["shard"].iloc[0], []
@@ -143,9 +152,11 @@ def _packed(items: DataFrame, idf: np.ndarray, stage: int) -> DataFrame:
         placed = pd.DataFrame(rows, columns=["i", "container_id", "slot", "fill"])
         chosen = batch.iloc[placed["i"].to_numpy()].reset_index(drop=True)
         placed = placed.drop(columns="i")
-        return pd.concat([chosen[["profile", "capacity", "doc_id", "piece", "start_token", "tokens"]], placed], axis=1)[["profile", "capacity", "container_id", "slot", "doc_id", "piece", "start_token", "tokens", "fill"]]
+        return pd.concat([chosen[["profile", "capacity", "row_id", "doc_id", "named", "piece", "start_token", "tokens"]], placed], axis=1)[["profile", "capacity", "container_id", "slot", "row_id", "doc_id", "named", "piece", "start_token", "tokens", "fill"]]
 
-    return items.groupBy("profile", "shard").applyInPandas(run, schema)
+    # Ids stay whole numbers in pandas only in a column without NULLs.
+    whole = items.withColumn("named", F.col("doc_id").isNotNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    return whole.groupBy("profile", "shard").applyInPandas(run, schema).withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("named")
 
 
 def packed_containers(documents: DataFrame, sizes: DataFrame, shard_items: int = 1500, full: float = 0.97, path: str = VOCABULARY) -> DataFrame:
@@ -154,6 +165,7 @@ def packed_containers(documents: DataFrame, sizes: DataFrame, shard_items: int =
     ``shard_items``: the mean number of items of a shard; items are dealt by hash, so a source or a
     copied text of any size is spread evenly. A text longer than the capacity is cut into pieces of
     the capacity and a rest. An empty or NULL text takes no room and goes where its shard has a container.
+    Rows with a NULL or a repeated id are packed like others, each on its own.
     """
     sized = materialize(sized_documents(documents, path))
     count = max(sized.count(), 1)
@@ -161,15 +173,15 @@ def packed_containers(documents: DataFrame, sizes: DataFrame, shard_items: int =
     idf = np.log1p((count - df + 0.5) / (df + 0.5)).clip(min=0.0)
     # A full-size piece fills its container alone and needs no neighbours.
     every = pieces(sized, sizes)
-    whole = every.where("tokens = capacity").select("profile", "capacity", F.concat_ws("-", F.lit("w"), "doc_id", "piece").alias("container_id"), F.lit(0).alias("slot"), "doc_id", "piece", "start_token", "tokens")
+    whole = every.where("tokens = capacity").select("profile", "capacity", F.concat_ws("-", F.lit("w"), "row_id", "piece").alias("container_id"), F.lit(0).alias("slot"), "doc_id", "piece", "start_token", "tokens")
     shards = max(1, round(count / shard_items))
-    rest = every.where("tokens < capacity").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    rest = every.where("tokens < capacity").withColumn("shard", F.pmod(F.xxhash64(_row_key()), F.lit(shards)).cast("int"))
     first = materialize(_packed(rest, idf, 1))
-    settled = first.where(F.col("fill") >= full * F.col("capacity")).drop("fill")
+    settled = first.where(F.col("fill") >= full * F.col("capacity")).drop("row_id", "fill")
     # What no shard could fill is little: repacked in shards of the same size across the old ones.
-    loose = materialize(first.where(F.col("fill") < full * F.col("capacity")).join(sized.select("doc_id", "terms"), "doc_id"))
+    loose = materialize(first.where(F.col("fill") < full * F.col("capacity")).join(sized.select("row_id", "terms"), "row_id"))
     again = max(1, round(loose.count() / shard_items / 3))
-    second = _packed(loose.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(again)).cast("int")).drop("fill", "container_id", "slot"), idf, 2).drop("fill")
+    second = _packed(loose.withColumn("shard", F.pmod(F.xxhash64(_row_key(), "piece"), F.lit(again)).cast("int")).drop("fill", "container_id", "slot"), idf, 2).drop("row_id", "fill")
     return whole.unionByName(settled).unionByName(second)
 
 

@@ -200,6 +200,22 @@ def test_every_text_is_packed_once(spark):
     assert packing.packed_containers(spark.createDataFrame([], "doc_id bigint, text string"), sizes).count() == 0
 
 
+def test_null_and_repeated_ids_are_packed(spark):
+    big = 2**60 + 1
+    rows = [(None, "ring of sets"), (None, None), (None, "word " * 300), (5, "a map"), (5, "a map"), (5, "word " * 300), (5, "word " * 300), (big, "a graph"), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sizes = spark.createDataFrame([("s", 128)], "profile string, capacity_tokens int")
+    out = packing.packed_containers(docs, sizes).collect()
+    size = {r.doc_id: r.n_tokens for r in packing.sized_documents(spark.createDataFrame([(1, "word " * 300)], "doc_id bigint, text string")).collect()}[1]
+    per = -(-size // 128)
+    assert len(out) == 6 + 3 * per
+    assert sum(r.doc_id is None for r in out) == 2 + per and sum(r.doc_id == 5 for r in out) == 2 + 2 * per and sum(r.doc_id == big for r in out) == 1
+    room = {}
+    for r in out:
+        room[r.container_id] = room.get(r.container_id, 0) + r.tokens
+    assert max(room.values()) <= 128 and len({(r.container_id, r.slot) for r in out}) == len(out)
+
+
 # --- mixing ---------------------------------------------------------------------------------------
 
 

@@ -26,7 +26,7 @@ _CLOSERS = r"[\"'”’»)\]）】*_]*"
 _STOP = rf"[.!?．。！？]{_CLOSERS}$"
 _OPEN_SUM = r"([+*·,<=≤≥−＋-]\s*|\s>\s*)[.．]{1,3}$|[.．][.．]$|…$"
 _END_MARK = r"[∎□■]\)?$|(?i)\bq\.?e\.?d\.?$"
-_END_MARKUP = r"</[A-Za-z][A-Za-z0-9]*\s*>$|<(?:br|hr|BR|HR)\s*/?>$|-->$|```$|~~~$|\|\}$|\]\]$|\}\}$|\\\]$|\\\)$|[^\s$]\s?\$\$?$|\\end\{[A-Za-z]+\*?\}$|(?m)^[ \t]*\|[^\n]*\|\z|\n(?:={3,}|-{3,})$|\]\([^()\s]+\)$"
+_END_MARKUP = r"</[A-Za-z][A-Za-z0-9]*\s*>$|<(?:br|hr|BR|HR)\s*/?>$|-->$|```$|~~~$|\|\}$|\]\]$|\}\}$|\\\]$|\\\)$|[^\s$]\s?\$\$?$|\\end\{[A-Za-z]+\*?\}$|(?m:^)[ \t]*\|[^\n]*\|\z|\n(?:={3,}|-{3,})$|\]\([^()\s]+\)$"
 # A formula after a colon is whole if it has a relation, ends with an operand and its brackets close.
 _COLON_FORMULA = r"\p{L}{2,}\s?[:：]\s*([^?!]{3,100})$"
 _PROSE = r"\p{L}{4,}|\.\s+\p{Lu}"
@@ -46,7 +46,7 @@ def _balanced(text: Column) -> Column:
 
 def content_final(text: Column) -> Column:
     """Whether the text ends with a full stop, an end mark or a closed piece of markup."""
-    end = F.right(F.regexp_replace(text, _TRIM, ""), F.lit(400))
+    end = F.regexp_replace(text, _TRIM, "")
     return (end.rlike(_STOP) & ~end.rlike(_OPEN_SUM)) | end.rlike(_END_MARK) | end.rlike(_END_MARKUP)
 
 

@@ -121,6 +121,13 @@ def test_endings(spark):
     assert truncation.cut_values(spark.createDataFrame([], TR)).count() == 0
 
 
+def test_long_last_pieces(spark):
+    row, link = "| n | " + "value " * 100 + "|", "[see](http://a.b/" + "c" * 500 + ")"
+    cases = [("n\n---\n" + row, False), ("It is in " + link, False), ("x | " + "value " * 100 + "|", True), ("A rule\n" + "=" * 500, False), (f"{link}\nthen every spa", True), ("Title\n---\nthen every spa", True), (row + "\nthen every spa", True)]
+    got = {(r.unit_id, r.field_name) for r in truncation.cut_values(spark.createDataFrame([(i, "d", None, "Lemma 1.2", c, [1, 2], None) for i, (c, _) in enumerate(cases)], TR)).collect()}
+    assert got == {(i, "content") for i, (_, cut) in enumerate(cases) if cut}
+
+
 # --- scans ----------------------------------------------------------------------------------------
 
 

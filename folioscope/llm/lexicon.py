@@ -6,8 +6,7 @@ as frequent; what is taken to Python is the distinct words, never the texts.
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,8 +18,6 @@ LOST = "�"
 # What a scan makes of letters -> the letters it may have been.
 CONFUSED = {"0": "o", "1": "li", "5": "s", "9": "g", "6": "b", "8": "b", "3": "e", "4": "a", "7": "t", "c": "e", "b": "h", "ii": "u", "rn": "m", "cl": "d", "vv": "w", "li": "h", "|": "l"}
 _TWO = tuple(k for k in CONFUSED if len(k) == 2)
-#: Most sites of one word at which confusions are undone together.
-MAX_SITES = 8
 
 _INVISIBLE = r"[­​-‏⁠-⁤﻿]"
 # Between words: all but Latin, Greek and Cyrillic letters, their full-width forms, digits and lost characters.
@@ -62,23 +59,38 @@ def ordinary_words(counts: DataFrame, min_share: float = 1e-5, min_count: int =
     return {r["word"]: r["n"] for r in rows}
 
 
-def _variants(word: str) -> Iterator[str]:
-    """What ``word`` may have been before the scan, every set of sites (at most MAX_SITES) undone."""
-    sites: list[tuple[int, int, str]] = []
-    for i in range(len(word)):
-        if word[i : i + 2] in _TWO:
-            sites.append((i, i + 2, CONFUSED[word[i : i + 2]]))
-        if word[i] in CONFUSED:
-            sites += [(i, i + 1, a) for a in CONFUSED[word[i]]]
-    for count in range(1, min(3, len(sites)) + 1):
-        for chosen in itertools.combinations(sites[:MAX_SITES], count):
-            if any(a[1] > b[0] for a, b in itertools.pairwise(chosen)):
-                continue
-            out, at = [], 0
-            for start, end, instead in chosen:
-                out += [word[at:start], instead]
-                at = end
-            yield "".join(out) + word[at:]
+def _tree(words: Iterable[str]) -> dict:
+    """``words`` as a tree of letters; the word that ends at a node stands there under the empty string."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = w
+    return root
+
+
+def _meant(word: str, tree: dict) -> Iterator[tuple[str, int]]:
+    """(word of the tree, sites undone): what ``word`` may have been before the scan, every set of sites undone.
+
+    A lost character stands for any letter. The walk follows only what some word of the tree begins with,
+    so the sets need no limit. A word may come several times.
+    """
+    open_: list[tuple[int, dict, int]] = [(0, tree, 0)]
+    while open_:
+        at, node, undone = open_.pop()
+        if at == len(word):
+            if "" in node:
+                yield node[""], undone
+            continue
+        c, two = word[at], word[at : at + 2]
+        if c == LOST:
+            open_ += [(at + 1, child, undone) for letter, child in node.items() if letter]
+        elif c in node:
+            open_.append((at + 1, node[c], undone))
+        open_ += [(at + 1, node[letter], undone + 1) for letter in CONFUSED.get(c, "") if letter in node]
+        if two in _TWO and CONFUSED[two] in node:
+            open_.append((at + 2, node[CONFUSED[two]], undone + 1))
 
 
 class Corrector:
@@ -86,9 +98,7 @@ class Corrector:
 
     def __init__(self, ordinary: dict[str, int], ratio: float = 20.0):
         self.ordinary, self.ratio = ordinary, ratio
-        self.by_length: dict[int, list[str]] = {}
-        for w in ordinary:
-            self.by_length.setdefault(len(w), []).append(w)
+        self.tree = _tree(ordinary)
 
     def __call__(self, word: str, n: int = 1) -> str | None:
         """The word meant, or None if ``word`` is not a misread ordinary word."""
@@ -99,15 +109,12 @@ class Corrector:
         if LOST in w:
             if sum(c != LOST for c in w) < 2:
                 return None
-            options = [w] if w.count(LOST) else []
-            options += [v for v in _variants(w)] if digits or w.count(LOST) == 1 else []
-            for option in options:
-                fit = [x for x in self.by_length.get(len(option), ()) if all(a in (b, LOST) for a, b in zip(option, x))]
-                if fit:
-                    return max(fit, key=lambda x: (self.ordinary[x], x))
-            return None
+            undo = digits or w.count(LOST) == 1
+            # The fewest sites undone, then the most frequent word.
+            fit = [(-undone, self.ordinary[x], x) for x, undone in _meant(w, self.tree) if undo or not undone]
+            return max(fit)[2] if fit else None
         own = self.ordinary.get(w, 0) if not digits else 0
-        best = max((v for v in _variants(w) if v in self.ordinary), key=lambda v: (self.ordinary[v], v), default=None)
+        best = max((v for v, undone in _meant(w, self.tree) if undone), key=lambda v: (self.ordinary[v], v), default=None)
         return best if best and self.ordinary[best] >= self.ratio * max(n, own, 0 if digits else 1) * (0.05 if digits else 1) else None
 
 

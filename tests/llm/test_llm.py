@@ -149,6 +149,12 @@ def test_misread_words():
     assert [correct(w) for w in ("center", "v1", "L2", "�", "every")] == [None] * 5
 
 
+def test_words_with_many_misread_letters():
+    correct = lexicon.Corrector({"possesses": 500, "collineation": 400, "accessibilities": 300, "group": 200}, ratio=20)
+    assert [correct(w) for w in ("p0ssesse5", "p055e55e5", "c0ll1ne4ti0n", "acccssibilities", "accessibilitics", "acc\ufffdssibilitics")] == ["possesses", "possesses", "collineation", "accessibilities", "accessibilities", "accessibilities"]
+    assert [correct(w) for w in ("possess", "0000", "gr")] == [None] * 3
+
+
 def test_scan_noise_of_tables(spark):
     block = "array<struct<block_id:int,block_type:string,text:string,bbox:array<double>,font_size:double,is_bold:boolean>>"
     units = spark.createDataFrame([(1, "We g0 to the gr0up of which"), (2, None), (3, "")] + [(i, "the group of which the group is") for i in range(10, 60)], "unit_id bigint, content string")

@@ -157,18 +157,29 @@ def propagate(documents: DataFrame, areas: DataFrame, labels: DataFrame, rounds:
     return said, index
 
 
+def _silent_seeds(documents: DataFrame, labels: DataFrame, index: DataFrame, found: DataFrame) -> DataFrame:
+    """The clamped labels of the documents with words that are not in ``found``, in its columns."""
+    given = labels.join(F.broadcast(index), "subject").select("doc_id", "subject").distinct()
+    worded = documents.where(F.col("text").rlike(r"\p{L}")).select("doc_id")
+    silent = given.join(worded, "doc_id", "left_semi").join(found.select("doc_id"), "doc_id", "left_anti")
+    total = silent.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
+    return silent.join(total, "doc_id").select("doc_id", "subject", F.lit(0).cast("bigint").alias("sentences"), (1 / F.col("total")).alias("share"))
+
+
 def document_subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame, rounds: int = 3, least_share: float = 0.15) -> DataFrame:
     """(doc_id, subject, sentences, share): what each document's statements are about.
 
     Sentences on a passing pattern don't count; a subject needs ``least_share`` of the others. Repeated
-    document ids are taken together.
+    document ids are taken together. A hand-labelled document whose sentences speak of no subject keeps
+    its labels, with 0 sentences and equal shares; one without words has none.
     """
     said, index = propagate(documents, areas, labels, rounds)
     passing = passing_patterns(said, document_shares(said))
     meant = said.join(passing, "pattern", "left_anti")
     shares = document_shares(meant).where(F.col("n") >= least_share * F.col("total"))
     named = shares.withColumnRenamed("subject", "idx").join(F.broadcast(index), "idx")
-    return named.select("doc_id", "subject", F.col("n").alias("sentences"), (F.col("n") / F.col("total")).alias("share"))
+    found = materialize(named.select("doc_id", "subject", F.col("n").alias("sentences"), (F.col("n") / F.col("total")).alias("share")))
+    return found.unionByName(_silent_seeds(documents, labels, index, found))
 
 
 def corpus_make_up(documents: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFrame:

@@ -277,6 +277,17 @@ def test_held_out_subjects(spark):
     assert subjects.document_subjects(docs.limit(0), areas, labels.limit(0)).count() == 0
 
 
+def test_silent_seeds_keep_their_labels(spark):
+    rows = [(i, f"Every {x} has a {y}. The {x} meets some {y} here.") for i in range(40) for x, y in [(("ring", "ideal"), ("graph", "edge"))[i % 2]]]
+    docs = spark.createDataFrame(rows + [(100, "Zeta omega."), (101, " "), (102, None), (103, "Kappa rho.")], "doc_id bigint, text string")
+    areas = spark.createDataFrame([("a",), ("b",)], "subject string")
+    given = [(i, "ab"[i % 2], "x") for i in range(20)] + [(100, "b", "x"), (100, "b", "y"), (100, "zzz", "x"), (101, "a", "x"), (102, "a", "x"), (999, "a", "x"), (1, "a", "y")]
+    labels = spark.createDataFrame(given, "doc_id bigint, subject string, annotator string")
+    got = {(r.doc_id, r.subject, r.share) for r in subjects.document_subjects(docs, areas, labels).collect()}
+    assert {x for x in got if x[0] >= 100} == {(100, "b", 1.0)}
+    assert {x[:2] for x in got if x[0] < 40} == {(i, "ab"[i % 2]) for i in range(40)}
+
+
 def test_registered_queries():
     from folioscope.llm import queries
 

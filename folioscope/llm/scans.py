@@ -1,18 +1,22 @@
 """Noise in text from scanned pages.
 
 The lines of a text are labelled body, break (a word goes on in the next body line), header or page
-number by a hidden Markov model over shape and layout features; its emissions are learned from the
-pages' own furniture blocks and body lines. Misread words come from the corpus lexicon. The labels
-drive the reassembly into paragraphs.
+number by a hidden Markov model over shape, context and layout features. Its emissions and
+transitions are trained by hard expectation-maximisation on a bounded sample of the texts to be
+labelled, from a few labelled examples. The most probable label sequence of the whole text decides;
+nothing filters it afterwards. Misread words come from the corpus lexicon. The labels drive the
+reassembly into paragraphs.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,228 +24,302 @@ from folioscope.llm import lexicon
 from folioscope.session import materialize
 
 STATES = ("body", "break", "header", "page_number")
-#: Chance of the next line's state (columns) given a line's (rows), in the order of STATES; the first row also starts a text.
-TRANSITIONS = ((0.86, 0.07, 0.03, 0.04), (0.80, 0.02, 0.08, 0.10), (0.90, 0.04, 0.01, 0.05), (0.90, 0.05, 0.04, 0.01))
-#: Labelled lines that stand in where a corpus has no furniture of its own.
-EXAMPLES = {
-    "body": ("the following holds for every", "Suppose that X is a compact space with", "no element of this kind.", "x = y holds for all", "Lemma 1.2 Let A be", "for which n > 3. Then", "is closed under sums.", "0 < x < 5 and", "of A. Here", "boundary."),
-    "break": ("which is de-", "of this homo‐", "and the con­", "for every inte¬"),
-    "header": ("A Course in Modern Algebra", "Notes on Analysis | 12", "CHAPTER 3. FIRST RESULTS", "Chap. 2   Limits and Bounds   17", "1.4 Basic Notions  6", "24  ELEMENTS OF LOGIC"),
-    "page_number": ("12", "[7]", "– 3 –", "· 18 ·", "Page 5", "xiv", "- 4 -", "p. 9"),
-}
+BODY, BREAK, HEADER, PAGE_NUMBER = range(4)
+#: Labelled texts the training starts from: (state, line) in order.
+EXAMPLES = (
+    (("body", "the following holds for every space that"), ("header", "A Course in Modern Algebra"), ("body", "is compact and has no element of this kind.")),
+    (("break", "Suppose that X is a compact space which is de-"), ("body", "termined by its closed subsets of A."), ("page_number", "12"), ("body", "Here we need")),
+    (("break", "no element of this homo‐"), ("page_number", "– 3 –"), ("body", "morphism is closed under sums"), ("header", "Notes on Analysis | 12"), ("body", "for which n > 3. Then")),
+    (("body", "x = y holds for all of them with"), ("header", "CHAPTER 3. FIRST RESULTS"), ("body", "0 < x < 5 and"), ("page_number", "[7]"), ("body", "boundary.")),
+    (("break", "Lemma 1.2 Let A be con­"), ("header", "1.4 Basic Notions  6"), ("body", "tinuous, and Chap. 2 holds"), ("page_number", "Page 5"), ("body", "of A. Then")),
+    (("header", "24  ELEMENTS OF LOGIC"), ("body", "in every case"), ("header", "Chap. 2   Limits and Bounds   17"), ("body", "which we use."), ("page_number", "xiv")),
+    (("break", "for every inte¬"), ("body", "gral of this kind we have x² + y² ="), ("body", "12")),
+    (("body", "The map is onto as soon as f(x) ≤"), ("body", "46")),
+    (("body", "of A for which d(v, V) <"), ("body", "7")),
+    (("body", "This holds whenever n ="), ("body", "103")),
+    (("body", "## A Title of Two Words"), ("body", "Theorem 1.2 Main Result"), ("body", "- Item One | Two"), ("body", "y ∈ Y, and |Y| =")),
+    (("body", "[[Category:Entries Two]]"), ("body", "{| class"), ("body", "|-"), ("body", "| 1 || 2"), ("body", "|}"), ("body", "|---|---|"), ("body", "--------------"), ("body", "holds.")),
+    (("body", "which is needed when"), ("header", "Topics in Modern Number theory"), ("body", "every space is compact"), ("page_number", "viii"), ("body", "and so on")),
+    (("header", "Notes on Analysis | 12"), ("header", "1.4 Basic Notions  6"), ("page_number", "· 18 ·"), ("page_number", "- 4 -"), ("page_number", "p. 9")),
+)
+#: Likelihood of a place on the page given each state: unknown, small type at the edge, reading type, large type.
+PLACES = ((1.0, 1.0, 1.0, 1.0), (0.01, 0.01, 0.97, 0.97), (0.97, 0.97, 0.03, 0.03), (0.97, 0.97, 0.001, 0.001))
+UNKNOWN, EDGE, READING, LARGE = range(4)
+HEADER_FONT, LARGE_FONT = 9.5, 13.0
 _HYPHENS = "-‐­¬"
-_PAGE = re.compile(r"^\s*(?:[\[(–—·•*-]\s*)?(?:(?:page|p\.|seite|s\.)\s*)?(?:\d{1,4}|[ivxlc]{1,7}|[IVXLC]{1,7})(?:\s*[\])–—·•*-])?\s*$", re.I)
-_LAST_IS_OPERAND = re.compile(r"[=<>≤≥+*·−∈⊂∩∖→,(|]\s*$")
-_BROKEN = re.compile(rf"([^\W\d_]+)[{_HYPHENS}]\s*$")
-_KIND = re.compile(r"^\s*(?:definition|theorem|lemma|proposition|corollary|example|remark|exercise|proof|def|thm|lem|prop|cor|exmp|rem|exerc)\b", re.I)
-_SMALL_WORDS = frozenset("a an and at by for from in of on or the to und der die das et de la le les".split())
-_RUNS_ON = re.compile(r"[.;,]\s|[^\W\d_]–[^\W\d_]")
-_WORD = re.compile(r"[^\W\d_]+")
-_NUMBER_FIRST = re.compile(r"^\d+(?:\s{2,}|\s*\|\s*)[^\W\d_]")
-_NUMBER_LAST = re.compile(r"[^\W\d_](?:\s{2,}|\s*\|\s*)\d+$")
-_CHAPTER = re.compile(r"^(?:chap(?:ter|\.)|kap(?:itel|\.))\s*\d", re.I)
-_CHAPTER_DOT = re.compile(r"^(?:chapter \d+\.|chap\w*\.)", re.I)
-_SYMBOLS = re.compile(r"[=<>≤≥∈⊂⊃∩→‖ε²{}\\$&*`]")
-_SECTION_PAGE = re.compile(r"^\d+(?:\.\d+)+\s+[^\W\d_a-z].*\s{2,}\d+$")
-_FEATURES = 16
-HEADER_FONT = 9.5
-
-
-def _features(line: str, before: str) -> list[bool]:
-    text = line.strip()
-    every = _WORD.findall(text)
-    words = [w for w in every if w.lower() not in _SMALL_WORDS]
-    letters = "".join(every)
-    small = sum(w[0].islower() for w in words)
-    titled = len(words) >= 1 and words[0][0].isupper() and small <= (len(words) >= 4) and not _RUNS_ON.search(text)
-    goes_on = bool(_BROKEN.search(before))
-    return [
-        bool(_PAGE.match(text)),
-        bool(_NUMBER_FIRST.match(text)),
-        bool(_NUMBER_LAST.search(text)),
-        bool(_CHAPTER.match(text)),
-        len(letters) >= 8 and letters.isupper(),
-        titled and len(words) >= 2,
-        text.endswith((".", "!", "?", ";", ",", ":", "∎", "□")),
-        bool(_BROKEN.search(text)),
-        text[:1].islower(),
-        bool(_SYMBOLS.search(text)),
-        bool(_KIND.match(text)),
-        sum(w.islower() for w in words) >= 2,
-        goes_on and text[:1].islower(),
-        goes_on and not text[:1].islower(),
-        bool(_RUNS_ON.search(_CHAPTER_DOT.sub("", text))),
-        bool(_SECTION_PAGE.match(text)),
-    ]
 
-
-class LineModel:
-    """Emissions as log odds per feature and state, from labelled lines."""
-
-    def __init__(self, counts: dict[str, list[float]] | None = None):
-        total = {s: [0.0] * (_FEATURES + 1) for s in STATES}
-        for state, lines in EXAMPLES.items():
-            for line in lines:
-                for i, on in enumerate(_features(line, "")):
-                    total[state][i] += on
-                total[state][-1] += 1
-        for state, own in (counts or {}).items():
-            total[state] = [a + b for a, b in zip(total[state], own)]
-        self.on, self.off = {}, {}
-        for s in STATES:
-            n = total[s][-1]
-            share = [min(0.998, max(0.002, (c + 0.2) / (n + 0.4))) for c in total[s][:-1]]
-            self.on[s], self.off[s] = [math.log(p) for p in share], [math.log(1 - p) for p in share]
-        self.base = [sum(self.off[s]) for s in STATES]
-        self.gain = [[self.on[s][i] - self.off[s][i] for s in STATES] for i in range(_FEATURES)]
-        self.move = [[math.log(p) for p in row] for row in TRANSITIONS]
-
-    def emit(self, line: str, before: str, furniture_place: bool | None) -> list[float]:
-        out = list(self.base)
-        for i, on in enumerate(_features(line, before)):
-            if on:
-                gain = self.gain[i]
-                for s in range(4):
-                    out[s] += gain[s]
-        if furniture_place is not None:
-            for s, state in enumerate(STATES):
-                out[s] += math.log(0.97 if (state in ("header", "page_number")) == furniture_place else 0.03)
-        return out
-
-    def label(self, lines: list[str], furniture_place: bool | None = None) -> list[str]:
-        """The likeliest states of the lines together (Viterbi). Blank lines are body."""
-        best: list[float] = list(self.move[0])
-        back: list[list[int]] = []
-        before = ""
-        for i, line in enumerate(lines):
-            score = self.emit(line, before, furniture_place)
-            if line.strip() and not _PAGE.match(line):
-                before = line
-            if not line.strip():
-                score = [0.0, -99.0, -99.0, -99.0]
-            if i == 0:
-                best = [b + s for b, s in zip(best, score)]
-                continue
-            came = [max(range(4), key=lambda k: best[k] + self.move[k][j]) for j in range(4)]
-            best = [best[came[j]] + self.move[came[j]][j] + score[j] for j in range(4)]
-            back.append(came)
-        state = max(range(4), key=lambda j: best[j])
-        path = [state]
-        for came in reversed(back):
-            state = came[state]
-            path.append(state)
-        return [STATES[s] for s in reversed(path)]
-
-
-def furniture(lines: list[str], labels: list[str]) -> set[int]:
-    """The lines that are furniture beyond doubt: exact check of the labels."""
-    out = set()
-    for i, (line, label) in enumerate(zip(lines, labels)):
-        if label == "page_number" and _PAGE.match(line):
-            last = i == len(lines) - 1 and i > 0 and _LAST_IS_OPERAND.search(lines[i - 1])
-            if not last:
-                out.add(i)
-        elif label == "header" and any(_features(line, "")[k] for k in (1, 2, 3, 4, 5, 15)) and re.search(r"[^\W\d_]{2}", line) and not _KIND.match(line) and not re.match(r"\s*(?:[#>|!+*-]|==|\{|\[\[|\\|<|`)", line):
-            out.add(i)
-    return out
-
-
-def noise_of(text: str, model: LineModel, ordinary: dict[str, int], alone: bool | None = None) -> set[str]:
-    """The kinds of line noise in one text. ``alone``: it is a block in (True) or out of the place of furniture."""
-    lines = text.split("\n")
-    labels = model.label(lines, alone if len(lines) == 1 else None)
-    outer = furniture(lines, labels)
-    kinds = {"page_number" if labels[i] == "page_number" else "header" for i in outer}
-    for i, line in enumerate(lines):
-        if i in outer:
-            continue
-        m = _BROKEN.search(line)
-        if not m or not line.rstrip().endswith(tuple(_HYPHENS)):
-            continue
-        rest = next((lines[j] for j in range(i + 1, len(lines)) if j not in outer and lines[j].strip()), "")
-        follow = re.match(r"\s*([^\W\d_]+)", rest)
-        if follow and follow.group(1)[0].islower() and splits_word(m.group(1), follow.group(1), line.rstrip()[-1], ordinary):
-            kinds.add("hyphenation")
-    return kinds
+# Signs of furniture in a line without outer blanks; the first that holds is the line's sign.
+_PAGE = r"(?i)^(?:[\[(–—·•*-]\s*)?(?:(?:page|p\.|seite|s\.)\s*)?(?:\d{1,4}|[ivxlc]{1,7})(?:\s*[\])–—·•*-])?$"
+_SIGNS = (
+    _PAGE,
+    r"^\d+(?:\.\d+)+\s+\p{Lu}.*\s{2,}\d+$",  # section and page
+    r"^\d+(?:\s{2,}|\s*\|\s*)\pL",  # number in front
+    r"\pL(?:\s{2,}|\s*\|\s*)\d+$",  # number behind
+    r"(?i)^(?:chap(?:ter|\.)|kap(?:itel|\.))\s*\d",
+    r"^(?:[^\pL]*\p{Lu}){8}[^\p{Ll}]*$",  # capitals only
+)
+#: Three more signs (a number where an operand is due, title case, title case but for one word) and none.
+SIGNS = len(_SIGNS) + 4
+# Other shape features.
+_BROKEN, _LOWER = r"\pL[-‐\x{ad}¬]$", r"^\p{Ll}"
+_MARKUP = r"^(?:#|==|\{|\[\[|\\|<|`)"
+_SHAPES = (
+    r"[.!?;,:∎□]$",
+    r"[=<>≤≥∈⊂⊃∩→‖ε²{}\\$&*`]",
+    r"(?i)^(?:definition|theorem|lemma|proposition|corollary|example|remark|exercise|proof|def|thm|lem|prop|cor|exmp|rem|exerc)\b",
+    r"^[>|!+*-]",  # begins like a list or table
+    _MARKUP,
+    r"^[^\pL\pN]*$",  # a rule
+    r"^.{60}",
+)
+_RUNS_ON = r"^(?:(?i:chapter \d+\.|chap\w*\.))?.*(?:[.;,]\s|\pL–\pL)"
+_LONG_WORD, _LONG_CAPITAL = r"\pL{4,}", r"(?:^|[^\pL])\p{Lu}\pL{3,}"
+_OPERAND_NEXT = r"[=<>≤≥+*·−∈⊂∩∖→,(|]$"
+
+
+def _flags(lines: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(lines, pattern).to_numpy(zero_copy_only=False)
+
+
+def _counts(lines: pa.Array, pattern: str) -> np.ndarray:
+    return pc.count_substring_regex(lines, pattern).to_numpy(zero_copy_only=False)
+
+
+class Lines:
+    """The lines of many texts, one after the other, and their features as a matrix of flags."""
+
+    def __init__(self, texts: pa.Array):
+        split = pc.split_pattern(texts.cast(pa.string()), "\n")
+        self.lines = split.flatten()
+        self.counts = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        self.starts = np.concatenate([[0], np.cumsum(self.counts)[:-1]]).astype(np.int64)
+        self.stripped = pc.utf8_trim_whitespace(self.lines)
+        signs = [_flags(self.stripped, p) for p in _SIGNS]
+        self.blank = pc.equal(self.stripped, "").to_numpy(zero_copy_only=False)
+        page, broken = signs[0], _flags(self.stripped, _BROKEN)
+        # A number in small Roman digits does not begin a sentence's second half.
+        lower = _flags(self.stripped, _LOWER) & ~page
+        n = len(self.lines)
+        first = np.repeat(self.starts, self.counts)
+        # The line before, furniture of mere numbers and blank lines passed over.
+        seen = np.maximum.accumulate(np.where(~self.blank & ~page, np.arange(n), -1)) if n else np.zeros(0, np.int64)
+        before = np.concatenate([[-1], seen[:-1]]) if n else seen
+        before = np.where(before >= first, before, -1)
+        goes_on = np.where(before >= 0, broken[before], False)
+        operand = np.where(before >= 0, _flags(self.stripped, _OPERAND_NEXT)[before], False)
+        last = np.zeros(n, bool)
+        last[self.starts + self.counts - 1] = True
+        words, capitals = _counts(self.stripped, _LONG_WORD), _counts(self.stripped, _LONG_CAPITAL)
+        runs_on = _flags(self.stripped, _RUNS_ON)
+        titled = ~runs_on & (words >= 2) & ~_flags(self.stripped, _MARKUP)
+        # A mere number that ends the text where an operand is due is a sign of its own.
+        signs = [page & operand & last, *signs]
+        signs += [titled & (capitals == words), titled & (words >= 4) & (capitals == words - 1)]
+        sign = np.select(signs, range(len(signs)), len(signs))
+        self.features = np.column_stack([
+            *(sign == k for k in range(SIGNS)),
+            *(_flags(self.stripped, p) for p in _SHAPES),
+            ~page & ~_flags(self.stripped, r"\pL{2}"),
+            broken,
+            lower,
+            runs_on,
+            words - capitals >= 2,
+            goes_on & lower,
+            goes_on & ~lower & ~page,
+        ]).astype(np.float64)
+        self.broken, self.mere = broken, page
+
+
+FEATURES = SIGNS + len(_SHAPES) + 7
 
 
-def splits_word(left: str, right: str, hyphen: str, ordinary: dict[str, int]) -> bool:
-    """Whether ``left`` and ``right`` are one word; a compound that has its hyphen anyway is none."""
-    whole = (left + right).lower()
-    if hyphen != "-" or whole in ordinary:
-        return True
-    compound = left.lower() in ordinary or len(left) == 1 or left.lower() in _COMPOUND_HEADS
-    return not (compound and (right.lower() in ordinary or right.lower() in _COMPOUND_TAILS))
-
-
-# First and last parts of hyphenated compounds.
-_COMPOUND_HEADS = frozenset("non well self semi quasi pre post co sub anti multi over under half all ever cross finite first second third higher lower".split())
-_COMPOUND_TAILS = frozenset("free order type field tailed integrable founded empty uniform admissible ordering negative trivial zero valued dimensional".split())
+class LineModel:
+    """Log odds of the features per state, and log chances of the moves between states."""
+
+    def __init__(self, on: np.ndarray, lines: np.ndarray, moves: np.ndarray, first: np.ndarray):
+        """``on``: (states, features) counts; ``lines``: lines per state; ``moves``: (from, to) counts; ``first``: first lines per state."""
+        one = np.clip((on[:, :SIGNS] + 0.1) / (lines[:, None] + 0.1 * SIGNS), 1e-4, 1.0)
+        share = np.clip((on[:, SIGNS:] + 0.2) / (lines[:, None] + 0.4), 1e-4, 1 - 1e-4)
+        self.base = np.log(1 - share).sum(axis=1)
+        self.gain = np.column_stack([np.log(one), np.log(share) - np.log(1 - share)]).T
+        self.move = np.log((moves + 0.5) / (moves + 0.5).sum(axis=1, keepdims=True))
+        self.first = np.log((first + 0.5) / (first + 0.5).sum())
+
+    def label(self, lines: Lines, place: np.ndarray | None = None) -> np.ndarray:
+        """The likeliest states of all lines of each text together (Viterbi). Blank lines are body.
+
+        ``place`` (a number of PLACES per text) is evidence for a lone line, and for every line of a block at the edge.
+        """
+        sign = lines.features[:, :SIGNS] @ self.gain[:SIGNS]
+        # A mere number can't show any other feature: their absence says nothing.
+        emission = sign + np.where(lines.mere[:, None], 0.0, self.base + lines.features[:, SIGNS:] @ self.gain[SIGNS:])
+        if place is not None:
+            known = np.where((lines.counts == 1) | (place == EDGE), place, UNKNOWN)
+            emission = emission + np.log(np.array(PLACES))[np.repeat(known, lines.counts)]
+        emission[lines.blank] = (0.0, -99.0, -99.0, -99.0)
+        return _viterbi(emission, lines.starts, lines.counts, self.move, self.first)
+
+
+def _viterbi(emission: np.ndarray, starts: np.ndarray, counts: np.ndarray, move: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """All texts at once, line by line; the longest texts come first, so those that go on are a prefix."""
+    labels = np.zeros(len(emission), np.int8)
+    if not len(starts):
+        return labels
+    order = np.argsort(-counts, kind="stable")
+    begin, size = starts[order], counts[order]
+    best = first + emission[begin]
+    came = np.zeros(emission.shape, np.int8)
+    going = [len(size)]
+    for t in range(1, int(size[0])):
+        m = int(np.searchsorted(-size, -t, side="left"))
+        at = begin[:m] + t
+        reach = best[:m, :, None] + move
+        came[at] = reach.argmax(axis=1)
+        best[:m] = reach.max(axis=1) + emission[at]
+        going.append(m)
+    labels[begin + size - 1] = best.argmax(axis=1)
+    for t in range(int(size[0]) - 1, 0, -1):
+        at = begin[: going[t]] + t
+        labels[at - 1] = came[at, labels[at]]
+    return labels
+
+
+def _tally(lines: Lines, labels: np.ndarray, place: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Counts of features, lines, moves and first lines per state; blank lines have no features to learn from.
+
+    With ``place``, the layout teaches the look: lines of blocks at the edge are furniture, all others
+    body or break, whatever their label says (mere numbers labelled as page numbers are left out);
+    the labels teach the moves and which of the two it is.
+    """
+    seen, looks = ~lines.blank, labels
+    if place is not None:
+        edge = np.repeat(place == EDGE, lines.counts)
+        seen &= np.where(edge, labels >= HEADER, ~lines.mere | (labels != PAGE_NUMBER))
+        looks = np.where(edge | (labels < HEADER), labels, np.where(lines.broken, BREAK, BODY))
+    on = np.array([lines.features[seen & (looks == s)].sum(axis=0) for s in range(4)])
+    many = lines.counts > 1
+    inner = np.ones(len(labels), bool)
+    inner[lines.starts] = False
+    at = np.flatnonzero(inner)
+    moves = np.zeros((4, 4))
+    np.add.at(moves, (labels[at - 1], labels[at]), 1)
+    first = np.bincount(labels[lines.starts[many]], minlength=4).astype(float)
+    return on, np.bincount(looks[seen], minlength=4).astype(float), moves, first
+
+
+def _examples() -> tuple[np.ndarray, ...]:
+    lines = Lines(pa.array(["\n".join(line for _, line in text) for text in EXAMPLES]))
+    return _tally(lines, np.array([STATES.index(state) for text in EXAMPLES for state, _ in text]))
+
+
+def train(texts: pa.Array | None = None, place: np.ndarray | None = None, rounds: int = 6, weight: float = 3.0) -> LineModel:
+    """A model from the examples (each counts ``weight`` times) and, if given, unlabelled texts.
+
+    Hard expectation-maximisation: the texts are labelled by the model so far, the counts of these labels
+    make the next one, until no label changes or ``rounds`` are over.
+    """
+    given = [weight * x for x in _examples()]
+    model = LineModel(*given)
+    if texts is None or not len(texts):
+        return model
+    lines, old = Lines(texts), None
+    for _ in range(rounds):
+        labels = model.label(lines, place)
+        if old is not None and np.array_equal(labels, old):
+            break
+        old = labels
+        model = LineModel(*(a + b for a, b in zip(given, _tally(lines, labels, place))))
+    return model
 
 
-def _learn_lines(blocks: DataFrame, sample: int = 20_000) -> dict[str, list[float]]:
-    """Feature counts per state from at most ``sample`` blocks (those with the smallest hashes).
+def scan_texts(units: DataFrame, pages: DataFrame) -> DataFrame:
+    """(kind, id, block_id, text, place) of unit contents and page blocks with a text; ``place`` as in PLACES.
 
-    Furniture: small type in the outer margin. Body: everything in reading size but headings.
+    NULL, blank and image texts are left out.
     """
-    chosen = blocks.where(F.col("text").isNotNull() & (F.col("block_type") != "heading")).orderBy(F.xxhash64("id", "block_id"), "id", "block_id").limit(sample)
-    counts = {s: [0.0] * (_FEATURES + 1) for s in STATES}
-    for r in chosen.select("text", "outer").collect():
-        lines = r["text"].split("\n")
-        for i, line in enumerate(lines):
-            if not line.strip():
-                continue
-            if r["outer"]:
-                state = "page_number" if _PAGE.match(line) else "header"
-            else:
-                state = "break" if i + 1 < len(lines) and _BROKEN.search(line) else "body"
-            for k, on in enumerate(_features(line, lines[i - 1] if i else "")):
-                counts[state][k] += on
-            counts[state][-1] += 1
-    return counts
-
-
-def blocks_of(pages: DataFrame) -> DataFrame:
-    """(id, block_id, text, block_type, outer): a row per block; ``outer``: small type near the page's edge."""
+    of_units = units.select(F.lit("unit").alias("kind"), F.col("unit_id").cast("bigint").alias("id"), F.lit(-1).alias("block_id"), F.col("content").alias("text"), F.lit(UNKNOWN).alias("place"))
     b = F.col("b")
     top, bottom = F.try_element_at(b["bbox"], F.lit(2)), F.try_element_at(b["bbox"], F.lit(4))
     height = F.coalesce("page_height", F.lit(666.0))
-    edge = (top < 0.08 * height) | (bottom > 0.9 * height)
-    return pages.select(F.col("scan_id").cast("bigint").alias("id"), "page_height", F.explode("blocks").alias("b")).select(
-        "id",
-        b["block_id"].alias("block_id"),
-        b["text"].alias("text"),
-        b["block_type"].alias("block_type"),
-        F.coalesce((b["font_size"] < HEADER_FONT) & (b["font_size"] > 0) & edge, F.lit(False)).alias("outer"),
-    )
+    edge = (b["font_size"] < HEADER_FONT) & (b["font_size"] > 0) & ((top < 0.08 * height) | (bottom > 0.9 * height))
+    place = F.when(edge, EDGE).when((b["block_type"] == "heading") | (b["font_size"] > LARGE_FONT), LARGE).otherwise(READING)
+    each = pages.select(F.col("scan_id").cast("bigint").alias("id"), "page_height", F.explode("blocks").alias("b"))
+    of_blocks = each.where(F.coalesce(b["block_type"] != "image", F.lit(True))).select(F.lit("block").alias("kind"), "id", b["block_id"].cast("int").alias("block_id"), b["text"].alias("text"), place.alias("place"))
+    return of_units.unionByName(of_blocks).where(F.col("text").rlike(r"\S"))
 
 
-def scan_texts(units: DataFrame, pages: DataFrame) -> DataFrame:
-    """(kind, id, block_id, text, block_type, outer) of unit contents and page blocks with a text."""
-    of_units = units.select(F.lit("unit").alias("kind"), F.col("unit_id").cast("bigint").alias("id"), F.lit(-1).alias("block_id"), F.col("content").alias("text"), F.lit(None).cast("string").alias("block_type"), F.lit(None).cast("boolean").alias("outer"))
-    of_blocks = blocks_of(pages).select(F.lit("block").alias("kind"), "id", F.col("block_id").cast("int").alias("block_id"), "text", "block_type", "outer")
-    return of_units.unionByName(of_blocks).where(F.col("text").rlike(r"\S") & F.coalesce(F.col("block_type") != "image", F.lit(True)))
+def learn_lines(texts: DataFrame, sample: int = 20_000) -> LineModel:
+    """The line model of a corpus, trained on about ``sample`` of its texts (chosen by hash, bounded by that parameter).
+
+    The sample is read by one task; what comes to the driver is the model's few hundred numbers.
+    """
+    total = texts.count()
+    share = min(1.0, sample / max(total, 1))
+    chosen = texts.where(F.pmod(F.xxhash64("kind", "id", "block_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        model = train(whole["text"].combine_chunks(), whole["place"].to_numpy()) if whole is not None else train()
+        numbers = [model.base, model.gain.ravel(), model.move.ravel(), model.first]
+        yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in numbers], pa.list_(pa.float64())), pa.array(range(4), pa.int32())], names=["x", "i"])
 
+    rows = sorted(chosen.coalesce(1).mapInArrow(run, "x array<double>, i int").collect(), key=lambda r: r["i"])
+    model = train()
+    if rows:
+        base, gain, move, first = (np.array(r["x"]) for r in rows)
+        model.base, model.gain, model.move, model.first = base, gain.reshape(FEATURES, 4), move.reshape(4, 4), first
+    return model
 
-def line_noise(texts: DataFrame, counts: dict[str, list[float]], ordinary: dict[str, int]) -> DataFrame:
-    """(kind, id, block_id, noise) of the texts with header, page_number or hyphenation lines.
 
-    Only texts of several lines and lone short blocks can have any; the rest never reaches Python.
+_LEFT, _RIGHT = re.compile(rf"([^\W\d_]+)[{_HYPHENS}]\s*$"), re.compile(r"\s*([^\W\d_]+)")
+
+
+def _splits(lines: Lines, labels: np.ndarray) -> Iterator[tuple[int, str | None]]:
+    """(text, pair) of each word split at a line labelled break: furniture and blank lines between are passed over.
+
+    ``pair`` is ``left-right`` in small letters if the hyphen may be the word's own, None if it is a mark of splitting only.
+    """
+    text_of = np.repeat(np.arange(len(lines.counts)), lines.counts)
+    end = lines.starts + lines.counts
+    for i in np.flatnonzero((labels == BREAK) & lines.broken):
+        left = _LEFT.search(lines.stripped[i].as_py())
+        j = i + 1
+        while j < end[text_of[i]] and (labels[j] >= HEADER or lines.blank[j]):
+            j += 1
+        right = _RIGHT.match(lines.stripped[j].as_py()) if j < end[text_of[i]] else None
+        if left and right and right.group(1)[0].islower():
+            own = left.group(0).rstrip()[-1] == "-"
+            yield int(text_of[i]), f"{left.group(1)}-{right.group(1)}".lower() if own else None
+
+
+def line_noise(texts: DataFrame, model: LineModel) -> DataFrame:
+    """(kind, id, block_id, noise, pair): header, page_number and hyphenation lines of the texts.
+
+    Every text is labelled. A row with a ``pair`` is a hyphenation only if the pair is one word (see
+    :meth:`lexicon.Words.joined`).
     """
-    shared = texts.sparkSession.sparkContext.broadcast(ordinary)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = LineModel(counts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for kind, uid, block, text, outer in zip(batch["kind"], batch["id"], batch["block_id"], batch["text"], batch["outer"]):
-                alone = None if outer is None or pd.isna(outer) else bool(outer)
-                rows += [(kind, uid, block, noise) for noise in noise_of(text, model, shared.value, alone)]
-            yield pd.DataFrame(rows, columns=["kind", "id", "block_id", "noise"]).astype({"id": "int64", "block_id": "int32"})
+            lines = Lines(batch.column(3))
+            labels = model.label(lines, batch.column(4).to_numpy())
+            text_of = np.repeat(np.arange(len(lines.counts)), lines.counts)
+            found = [(int(i), STATES[s], None) for s in (HEADER, PAGE_NUMBER) for i in np.unique(text_of[labels == s])]
+            found += [(i, "hyphenation", pair) for i, pair in set(_splits(lines, labels))]
+            rows = pa.array([f[0] for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[:3]), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.string())], names=["kind", "id", "block_id", "noise", "pair"])
+
+    return texts.select("kind", "id", "block_id", "text", "place").mapInArrow(run, "kind string, id bigint, block_id int, noise string, pair string")
 
-    lone = (F.col("kind") == "block") & (F.col("block_type") != "heading") & (F.length("text") <= 90) & (F.col("outer") | ~F.col("text").rlike(r"[.!?:;∎□]\s*$"))
-    likely = texts.where(F.col("text").contains("\n") | F.coalesce(lone, F.lit(False)))
-    return likely.select("kind", "id", "block_id", "text", "outer").mapInPandas(run, "kind string, id bigint, block_id int, noise string")
+
+def noise_signs(texts: DataFrame, words: lexicon.Words, model: LineModel) -> DataFrame:
+    """(kind, id, block_id, noise): a row per sign of noise, repeats of a kind in one text included."""
+    keys = ["kind", "id", "block_id"]
+    lines = materialize(line_noise(texts, model))
+    asked = lines.where("pair IS NOT NULL")
+    split = asked.join(words.joined(asked), "pair")
+    misread = lexicon.with_misread(texts, words.bad, keys).select(*keys, F.lit("misread").alias("noise"))
+    return lines.where("pair IS NULL").select(*keys, "noise").unionByName(split.select(*keys, "noise")).unionByName(misread)
 
 
 def scan_noise(units: DataFrame, pages: DataFrame) -> DataFrame:
@@ -250,60 +328,66 @@ def scan_noise(units: DataFrame, pages: DataFrame) -> DataFrame:
     NULL, blank and image texts have none; empty tables give an empty result.
     """
     texts = scan_texts(units, pages)
-    bad, ordinary = lexicon.learned(texts)
-    counts = _learn_lines(blocks_of(pages))
-    keys = ["kind", "id", "block_id"]
-    misread = lexicon.with_misread(texts, bad, keys).select(*keys, F.lit("misread").alias("noise"))
-    both = line_noise(texts, counts, ordinary).unionByName(misread)
-    return both.select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"), "block_id", "noise").distinct()
+    signs = noise_signs(texts, lexicon.Words(texts), learn_lines(texts))
+    return signs.select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"), "block_id", "noise").distinct()
 
 
 _OWN_LINE = re.compile(r"^\s*(?:#{1,6} |[-*+] |\d+[.)] |[>|!{]|==|\[\[|```|\\|<)")
 
 
-def repair_text(text: str | None, model: LineModel, ordinary: dict[str, int], correct: lexicon.Corrector, alone: bool | None = None) -> str | None:
-    """The text as continuous paragraphs: furniture dropped, split words joined, misread words put right.
+def reassemble(lines: list[str], labels: list[int], fixes: dict[str, str], one_word: set[str]) -> str:
+    """Continuous paragraphs from labelled lines: furniture dropped, split words joined, misread words put right.
 
-    Blank lines, list items, headings and other structured lines keep their place. NULL stays NULL.
+    Blank lines, list items, headings and other structured lines keep their place. ``fixes``: misread
+    word -> word meant; ``one_word``: the pairs that lose their hyphen.
     """
-    if text is None:
-        return None
-    lines = text.split("\n")
-    outer = furniture(lines, model.label(lines, alone if len(lines) == 1 else None))
-    out = ""
-    for i, line in enumerate(lines):
-        if i in outer:
+    out, broken = "", False
+    for line, label in zip(lines, labels):
+        if label >= HEADER:
             continue
-        m, follow = _BROKEN.search(out), re.match(r"\s*([^\W\d_]+)", line)
+        right, left = _RIGHT.match(line), _LEFT.search(out) if broken else None
         if not line.strip() or not out or out.endswith("\n") or _OWN_LINE.match(line):
             out += ("\n" if out else "") + line
-        elif m and follow and follow.group(1)[0].islower():
-            hyphen = out.rstrip()[-1]
-            out = (out.rstrip()[:-1] if splits_word(m.group(1), follow.group(1), hyphen, ordinary) else out.rstrip()) + line.lstrip()
+        elif left and right and right.group(1)[0].islower():
+            joined = out.rstrip()[-1] != "-" or f"{left.group(1)}-{right.group(1)}".lower() in one_word
+            out = (out.rstrip()[:-1] if joined else out.rstrip()) + line.lstrip()
         else:
             out = out.rstrip() + " " + line.lstrip()
+        broken = label == BREAK if line.strip() else broken
 
     def put_right(m: re.Match) -> str:
         word = m.group(0)
-        meant = correct(word) if re.search(r"[0-9�]", word) or (len(word) > 2 and word.lower() not in ordinary) else None
+        meant = fixes.get(word.lower())
         return (meant.capitalize() if word[0].isupper() else meant) if meant else word
 
-    return re.sub(r"[A-Za-z0-9�]*[a-z][A-Za-z0-9�]*", put_right, out)
+    return re.sub(r"[^\W_�]*(?:�[^\W_�]*)*", put_right, out) if fixes else out
 
 
 def repaired(units: DataFrame, pages: DataFrame) -> DataFrame:
-    """(record_kind, record_id, block_id, text): the texts of :func:`scan_texts` put right."""
+    """(record_kind, record_id, block_id, text): the texts of :func:`scan_texts` put right.
+
+    What a text needs (the words misread in it, the pairs it splits) is joined to it, one row per text.
+    """
+    keys = ["kind", "id", "block_id"]
     texts = scan_texts(units, pages)
-    _, ordinary = lexicon.learned(texts)
-    counts = _learn_lines(blocks_of(pages))
-    shared = texts.sparkSession.sparkContext.broadcast(ordinary)
+    words, model = lexicon.Words(texts), learn_lines(texts)
+    asked = line_noise(texts, model).where("pair IS NOT NULL").select(*keys, "pair")
+    asked = materialize(asked)
+    pairs = asked.join(words.joined(asked), "pair").select(*keys, "pair", F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("meant"))
+    misread = lexicon.with_misread(texts, words.bad, keys).select(*keys, F.lit(None).cast("string").alias("pair"), "word", "meant")
+    fixes = F.collect_set(F.when(F.col("word").isNotNull(), F.struct("word", "meant")))
+    needs = pairs.unionByName(misread).groupBy(*keys).agg(F.collect_set("pair").alias("pairs"), fixes.alias("fixes"))
+    joined = texts.join(needs.select(*[F.col(k).alias(f"n_{k}") for k in keys], "pairs", "fixes"), [F.col(k).eqNullSafe(F.col(f"n_{k}")) for k in keys], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, known = LineModel(counts), shared.value
-        correct = lexicon.Corrector(known)
         for batch in batches:
-            alone = [None if o is None or pd.isna(o) else bool(o) for o in batch["outer"]]
-            fixed = [repair_text(t, model, known, correct, a) for t, a in zip(batch["text"], alone)]
-            yield pd.DataFrame({"record_kind": batch["kind"], "record_id": batch["id"], "block_id": batch["block_id"], "text": fixed})
-
-    return texts.select("kind", "id", "block_id", "text", "outer").mapInPandas(run, "record_kind string, record_id bigint, block_id int, text string")
+            lines = Lines(pa.array(batch["text"], pa.string()))
+            labels, at, out = model.label(lines, batch["place"].to_numpy()).tolist(), 0, []
+            for text, pairs, fixes in zip(batch["text"], batch["pairs"], batch["fixes"]):
+                own = text.split("\n")
+                known = {f["word"]: f["meant"] for f in fixes} if fixes is not None else {}
+                out.append(reassemble(own, labels[at : at + len(own)], known, set(pairs) if pairs is not None else set()))
+                at += len(own)
+            yield pd.DataFrame({"record_kind": batch["kind"], "record_id": batch["id"], "block_id": batch["block_id"], "text": out})
+
+    return joined.select(*keys, "text", "place", "pairs", "fixes").mapInPandas(run, "record_kind string, record_id bigint, block_id int, text string")

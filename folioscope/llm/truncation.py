@@ -2,9 +2,11 @@
 
 Cut lengths show as spikes of the discrete length hazard (the share of values that end at a length
 among those that reach it). Each hazard is tested against the hazards of its neighbourhood, in
-characters and in bytes, under false-discovery control. At significant lengths every ending that is
-not plainly final is a cut; at other lengths (values broken off in transfer have no length in common)
-only an ending inside a word, number, name or sentence is.
+characters and in bytes, under false-discovery control. Values broken off in transfer have no length in
+common, so the significant lengths are also what teaches how a cut value ends: a class of endings
+counts as incomplete elsewhere only if it is no rarer at the significant lengths than at others. An
+ending that contradicts the record itself (half a kind word, fewer numbers than the record has, an
+open name) is incomplete by itself; a final one never is.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql.types import DoubleType
 
 from folioscope.functions.labels import parse_number
 from folioscope.session import materialize
-from folioscope.vocab import KIND_ABBREVIATIONS, KINDS
+from folioscope.vocab import BLANKS, KIND_ABBREVIATIONS, KINDS
 
 _TRIM = r"[\s   -   　​⁠﻿]+$"
 _CLOSERS = r"[\"'”’»)\]）】*_]*"
@@ -28,7 +30,7 @@ _OPEN_SUM = r"([+*·,<=≤≥−＋-]\s*|\s>\s*)[.．]{1,3}$|[.．][.．]$|…$"
 _END_MARK = r"[∎□■]\)?$|(?i)\bq\.?e\.?d\.?$"
 _END_MARKUP = r"</[A-Za-z][A-Za-z0-9]*\s*>$|<(?:br|hr|BR|HR)\s*/?>$|-->$|```$|~~~$|\|\}$|\]\]$|\}\}$|\\\]$|\\\)$|[^\s$]\s?\$\$?$|\\end\{[A-Za-z]+\*?\}$|(?m:^)[ \t]*\|[^\n]*\|\z|\n(?:={3,}|-{3,})$|\]\([^()\s]+\)$"
 # A formula after a colon is whole if it has a relation, ends with an operand and its brackets close.
-_COLON_FORMULA = r"\p{L}{2,}\s?[:：]\s*([^?!]{3,100})$"
+_COLON_FORMULA = r"\p{L}{2,}\s?[:：]\s*((?:(?!\p{L}{2,}\s?[:：])[^?!]){3,})$"
 _PROSE = r"\p{L}{4,}|\.\s+\p{Lu}"
 _RELATION = r"[=<>≤≥∈⊂⊃≠→∼≅:]"
 _OPERAND_END = r"[\p{L}\p{N}²³}\])|‖∅]$"
@@ -56,35 +58,53 @@ def content_ends_in_formula(text: Column) -> Column:
     return (formula != "") & ~formula.rlike(_PROSE) & formula.rlike(_RELATION) & formula.rlike(_OPERAND_END) & ~formula.rlike(_OPEN_SUM) & _balanced(formula)
 
 
-def label_broken(label: Column, numbers: Column, depth: Column) -> Column:
-    """Whether a label breaks off inside its kind word, number or name.
-
-    ``numbers`` are the unit's number components as delivered apart from the label, NULL if unknown;
-    ``depth`` is the usual count of components of such labels in the book, NULL if unknown.
-    """
-    text = F.trim(F.regexp_replace(label, r"[\s   -   　]+", " "))
+def _label_parts(label: Column, numbers: Column) -> tuple[Column, Column, Column, Column]:
+    """(text, number pieces, whether it is in itself cut, whether it ends in a number) of a label."""
+    text = F.trim(F.regexp_replace(label, rf"{BLANKS}+", " "))
     word = F.lower(F.regexp_extract(text, r"^(\p{L}+)", 1))
-    whole_words = [*KINDS]
-    known = word.isin(*whole_words, *KIND_ABBREVIATIONS)
     begins = F.lit(False)
-    for w in whole_words:
+    for w in KINDS:
         begins = begins | F.lit(w).startswith(word)
     number = parse_number(text)
     pieces = F.when(number.isNotNull(), F.size(F.split(number, r"\."))).otherwise(0)
-    wanted = F.when(F.size(numbers) > 0, F.size(numbers)).otherwise(depth)
     bare = text.rlike(r"^\p{L}+$")
-    half_word = bare & ~word.isin(*whole_words) & begins
-    no_number = bare & word.isin(*whole_words) & (F.coalesce(F.size(numbers), F.lit(0)) > 0)
-    half_number = number.isNotNull() & (pieces < wanted) & text.rlike(r"[\d.]$")
-    half_name = (_count(text, "(") > _count(text, ")")) | (text.rlike(r"\($"))
-    return F.coalesce((half_word | no_number | (known & half_number) | half_name), F.lit(False)) & (text != "")
+    half_word = bare & ~word.isin(*KINDS) & begins
+    no_number = bare & word.isin(*KINDS) & (F.coalesce(F.size(numbers), F.lit(0)) > 0)
+    named = word.isin(*KINDS, *KIND_ABBREVIATIONS) & number.isNotNull() & text.rlike(r"[\d.]$")
+    half_number = named & (F.size(numbers) > 0) & (pieces < F.size(numbers))
+    half_name = (_count(text, "(") > _count(text, ")")) | text.rlike(r"\($")
+    return text, pieces, F.coalesce(half_word | no_number | half_number | half_name, F.lit(False)) & (text != ""), named
+
+
+def label_broken(label: Column, numbers: Column, depth: Column) -> Column:
+    """Whether a label breaks off inside its kind word, number or name.
+
+    ``numbers`` are the unit's number components as delivered apart from the label, NULL if unknown;
+    ``depth`` is the usual count of components of such labels in the book, NULL if unknown.
+    """
+    text, pieces, cut, named = _label_parts(label, numbers)
+    unknown = F.coalesce(F.size(numbers), F.lit(0)) <= 0
+    return cut | (F.coalesce(named & unknown & (pieces < depth), F.lit(False)) & (text != ""))
+
+
+def label_ending(label: Column, numbers: Column, depth: Column) -> Column:
+    """``open`` (cut by its own record's evidence), ``short`` (fewer numbers than usual, the record's own unknown) or ``final``."""
+    _, _, cut, _ = _label_parts(label, numbers)
+    return F.when(cut, "open").when(label_broken(label, numbers, depth), "short").otherwise("final")
+
+
+def content_ending(text: Column) -> Column:
+    """``final`` (plainly whole), ``formula`` (whole formula behind a colon), ``open`` (an ellipsis, or a sum that
+    goes on), else what it ends in: ``letter``, ``digit`` or ``sign``."""
+    end = F.regexp_replace(text, _TRIM, "")
+    last = F.when(end.rlike(_OPEN_SUM), "open").when(end.rlike(r"\p{L}$"), "letter").when(end.rlike(r"\p{N}$"), "digit").otherwise("sign")
+    return F.when(content_final(text), "final").when(content_ends_in_formula(text), "formula").otherwise(last)
 
 
 def field_values(units: DataFrame) -> DataFrame:
-    """(unit_id, method, field_name, chars, bytes, final, broken): a row per non-blank value.
+    """(unit_id, method, field_name, chars, bytes, ending): a row per non-blank value.
 
-    ``final``: plainly whole ending. ``broken``: it ends inside something. NULL and blank values are
-    no values. A NULL method is its own source.
+    NULL and blank values are no values. A NULL method is its own source.
     """
     base = units.select("unit_id", "method", F.col("_doc_id").alias("doc"), "label", "content", "number_components")
     kind = F.lower(F.regexp_extract("label", r"^\s*(\p{L}{2})", 1))
@@ -98,11 +118,9 @@ def field_values(units: DataFrame) -> DataFrame:
     guessed = labels.where(need).withColumn("kind2", kind).join(usual, ["doc", "kind2"], "left").drop("kind2")
     both = known.unionByName(guessed)
     sizes = lambda c: [F.length(c).alias("chars"), F.octet_length(c).alias("bytes")]
-    broken = label_broken(F.col("label"), F.col("number_components"), F.col("depth"))
-    of_labels = both.select("unit_id", "method", F.lit("label").alias("field_name"), *sizes(F.col("label")), (~broken).alias("final"), broken.alias("broken"))
+    of_labels = both.select("unit_id", "method", F.lit("label").alias("field_name"), *sizes(F.col("label")), label_ending(F.col("label"), F.col("number_components"), F.col("depth")).alias("ending"))
     content = F.col("content")
-    of_contents = base.where(content.rlike(r"\S")).select("unit_id", "method", F.lit("content").alias("field_name"), *sizes(content), content_final(content).alias("final"), content_ends_in_formula(content).alias("formula"))
-    of_contents = of_contents.select("unit_id", "method", "field_name", "chars", "bytes", "final", (~F.col("final") & ~F.col("formula")).alias("broken"))
+    of_contents = base.where(content.rlike(r"\S")).select("unit_id", "method", F.lit("content").alias("field_name"), *sizes(content), content_ending(content).alias("ending"))
     return of_labels.unionByName(of_contents)
 
 
@@ -135,7 +153,7 @@ def significant_lengths(values: DataFrame, reach: int = 12, gap: int = 3, fdr: f
     of what reaches it. Windows run over length counts, never rows.
     """
     counted = (
-        values.select("method", "field_name", "final", F.explode(F.create_map(F.lit("chars"), F.col("chars"), F.lit("bytes"), F.col("bytes"))).alias("measure", "length"))
+        values.select("method", "field_name", (F.col("ending") == "final").alias("final"), F.explode(F.create_map(F.lit("chars"), F.col("chars"), F.lit("bytes"), F.col("bytes"))).alias("measure", "length"))
         .groupBy("method", "field_name", "measure", "length")
         .agg(F.count_if(~F.col("final")).alias("ended"), F.count(F.lit(1)).alias("values"))
     )
@@ -163,25 +181,67 @@ def significant_lengths(values: DataFrame, reach: int = 12, gap: int = 3, fdr: f
     )
 
 
-def _flagged(units: DataFrame) -> DataFrame:
+class Endings:
+    """What the significant lengths say of each class of endings."""
+
+    #: Classes that are incomplete or whole by themselves; the others are judged by the lengths.
+    SURE = {"open": True, "final": False}
+
+    def __init__(self, counts: list):
+        """``counts``: rows (field_name, ending, at_limit, n)."""
+        self.n: dict[tuple, int] = {(r["field_name"], r["ending"], r["at_limit"]): r["n"] for r in counts}
+
+    def evidence(self, field: str, ending: str) -> float | None:
+        """Log ratio of how often the class stands at significant lengths and how often it would by its share elsewhere."""
+        at = sum(n for (f, _, limit), n in self.n.items() if f == field and limit)
+        off = sum(n for (f, _, limit), n in self.n.items() if f == field and not limit)
+        if not at:
+            return None
+        expected = at * self.n.get((field, ending, False), 0) / max(off, 1)
+        return math.log((self.n.get((field, ending, True), 0) + 1) / (expected + 1))
+
+    def incomplete(self, least: float = -0.1) -> list[tuple[str, str]]:
+        """The (field, class) that count as incomplete at any length: no significant length speaks against them.
+
+        A whole formula counts only where the lengths speak for it (it ends many whole texts); without any
+        significant length there is nothing to learn from, and the other classes count as they stand.
+        """
+        out = []
+        for field, ending in sorted({(f, e) for f, e, _ in self.n}):
+            evidence = self.evidence(field, ending)
+            sure = self.SURE.get(ending)
+            learned = evidence is not None and evidence > 1.0 if ending == "formula" else evidence is None or evidence >= least
+            if sure if sure is not None else learned:
+                out.append((field, ending))
+        return out
+
+
+def _flagged(units: DataFrame, hazards: bool = True) -> DataFrame:
     values = materialize(field_values(units))
-    spikes = significant_lengths(values)
-    at = lambda m: F.broadcast(spikes.where(F.col("measure") == m).select(F.col("method").alias("m"), F.col("field_name").alias("f"), F.col("length").alias(f"spike_{m}")))
+    spikes = materialize(significant_lengths(values) if hazards else significant_lengths(values).limit(0))
     out = values
-    # Significant lengths are a handful per source and field, whatever the data.
+    # Significant lengths are a handful per source and field; whether they are broadcast is left to the planner.
     for measure in ("chars", "bytes"):
-        out = out.join(at(measure), F.col("method").eqNullSafe(F.col("m")) & (F.col("field_name") == F.col("f")) & (F.col(measure) == F.col(f"spike_{measure}")), "left").drop("m", "f")
-    spiked = F.col("spike_chars").isNotNull() | F.col("spike_bytes").isNotNull()
-    return out.withColumn("at_limit", spiked & ~F.col("final")).withColumn("cut", F.col("at_limit") | F.col("broken"))
+        at = spikes.where(F.col("measure") == measure).select(F.col("method").alias("m"), F.col("field_name").alias("f"), F.col("length").alias(f"spike_{measure}")).distinct()
+        out = out.join(at, F.col("method").eqNullSafe(F.col("m")) & (F.col("field_name") == F.col("f")) & (F.col(measure) == F.col(f"spike_{measure}")), "left").drop("m", "f")
+    out = out.withColumn("at_limit", F.col("spike_chars").isNotNull() | F.col("spike_bytes").isNotNull())
+    endings = Endings(out.groupBy("field_name", "ending", "at_limit").agg(F.count(F.lit(1)).alias("n")).collect())
+    listed = [F.concat_ws("/", F.lit(f), F.lit(e)) for f, e in endings.incomplete()]
+    broken = F.concat_ws("/", "field_name", "ending").isin(*listed) if listed else F.lit(False)
+    at_limit = F.col("at_limit") & ~F.col("ending").isin("final", "formula")
+    return out.withColumn("at_limit", at_limit | (F.col("at_limit") & broken)).withColumn("cut", F.col("at_limit") | broken)
+
 
+def cut_values(units: DataFrame, hazards: bool = True) -> DataFrame:
+    """(unit_id, field_name): the values that were cut off. Repeated unit ids give a row each time they occur.
 
-def cut_values(units: DataFrame) -> DataFrame:
-    """(unit_id, field_name): the values that were cut off. Repeated unit ids give a row each time they occur."""
-    return _flagged(units).where("cut").select("unit_id", "field_name")
+    ``hazards`` = False leaves out the test of the lengths, for comparison.
+    """
+    return _flagged(units, hazards).where("cut").select("unit_id", "field_name")
 
 
 def cut_rates(units: DataFrame) -> DataFrame:
-    """Per method and field: values, those cut, those of them at a significant length, and the share cut."""
+    """Per method and field: values, those cut, those of them at a significant length (the others broke off in transfer), and the share cut."""
     return (
         _flagged(units)
         .groupBy("method", "field_name")

@@ -1,16 +1,19 @@
 """Markup residue in text documents.
 
 Three steps. (1) Every text's containers (tags, fences, lists, environments ...) are found and
-scored; a container is named by a generalised path: the families' construct with its tag and class
-path, plus the kind of place it stands in. (2) The paths are put to the vote per host in Spark,
-smoothed by all hosts, so ``+ x`` at the start of a wrapped formula line and a true list item fall
-apart. (3) The texts are extracted again under the winning paths of their host.
+scored by the evidence at hand (closed, words inside, neighbours of the same sort, beginning of a
+line or paragraph); a container is named by a generalised path: the family's construct with its tag
+and class path, plus the kind of place it stands in, never by its score. (2) The paths are put to the
+vote per host in Spark, smoothed by all hosts. (3) The texts are extracted again under the winning
+paths of their host: a container counts if its path won, however weak its own score, so that
+``+ x`` at the start of a wrapped formula line and a list item without words fall apart.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,7 +50,7 @@ _PRE = re.compile(r"<pre\b[^>]*>(.*?)</pre>", re.S | re.I)
 _VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting)\}(.*?)\\end\{\1\}", re.S)
 _TICK = re.compile(r"(?<!`)`([^`\n]+)`(?!`)")
 _ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S[^\n]*)$", re.M)
-_SETEXT = re.compile(r"^(?=[^\n]*\w)([^\n|]{1,200})\n(={3,}|-{3,})[ \t]*$", re.M)
+_SETEXT = re.compile(r"^(?=[^\n]*\w)([^\n|]+)\n(={3,}|-{3,})[ \t]*$", re.M)
 _ITEM = re.compile(r"^([ \t]*)([-+*]|\d{1,3}[.)])[ \t]+(\[[ xX]\] )?(\S[^\n]*)$", re.M)
 _QUOTE = re.compile(r"^ {0,3}>[ \t]?([^\n]*)$", re.M)
 _PIPES = re.compile(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*$", re.M)
@@ -123,7 +126,10 @@ def _located(text: str) -> list[tuple[str, str, float, list[tuple[int, int]]]]:
     rest = _mask(rest, _TICK)
 
     stack: list[str] = []
-    for m in _TAG.finditer(rest):
+    tags = list(_TAG.finditer(rest))
+    opened = Counter(m.group(2).lower() for m in tags if not m.group(1))
+    closed = Counter(m.group(2).lower() for m in tags if m.group(1))
+    for m in tags:
         closing, name, attrs, void = m.group(1), m.group(2).lower(), m.group(3), m.group(4)
         family = "wiki" if name in _WIKI_TAGS else "html"
         known = name in _TAGS or family == "wiki"
@@ -133,7 +139,8 @@ def _located(text: str) -> list[tuple[str, str, float, list[tuple[int, int]]]]:
                 if stack[at].partition(".")[0] == name:
                     del stack[at:]
                     break
-        add(m, family, "/".join([*stack[-3:], step]) if known else f"unknown.{name}", 1.0 if known else 0.2)
+        paired = void or name in _VOID or opened[name] == closed[name]
+        add(m, family, "/".join([*stack[-3:], step]) if known else "unknown", (0.65 if known else 0.05) + 0.3 * bool(paired) + 0.05 * bool(attrs.strip() or void))
         if not (closing or void or name in _VOID) and known:
             stack.append(step)
     rest = _mask(rest, _TAG)
@@ -147,8 +154,9 @@ def _located(text: str) -> list[tuple[str, str, float, list[tuple[int, int]]]]:
     math_free = _mask(rest, _DISPLAY)
     for m in _INLINE.finditer(math_free):
         body = m.group(1) or m.group(2)
-        money = m.group(2) is not None and re.match(r"\d", body) and _words(body) > 0.4
-        add(m, "latex", "inline.money" if money else "inline", 0.1 if money else 1.0, *(around(m) if money else []))
+        # Two sums of money with words between look like a formula: what follows a dollar sign with a digit has its own vote.
+        sum_ = m.group(2) is not None and re.match(r"\d", body)
+        add(m, "latex", "inline.digit" if sum_ else "inline", (0.8 if sum_ else 1.0) - 0.7 * min(1.0, 2 * _words(body)) * bool(sum_ or not re.search(r"[\\^_=<>{}]", body)), *(around(m) if sum_ else []))
     math_free = _mask(math_free, _INLINE)
     for m in _ENV.finditer(math_free):
         add(m, "latex", f"env.{m.group(2)}", 1.0)
@@ -162,7 +170,7 @@ def _located(text: str) -> list[tuple[str, str, float, list[tuple[int, int]]]]:
     for m in _WIKI_HEAD.finditer(flat):
         add(m, "wiki", "heading", 1.0, *around(m))
     for m in _WIKI_LINK.finditer(flat):
-        add(m, "wiki", "link", 1.0 if re.search(r"[^\W\d]{2,}", m.group(1)) else 0.2)
+        add(m, "wiki", "link", 1.0 if re.search(r"[^\W\d]{2,}", m.group(1)) else 0.4)
     for m in _WIKI_URL.finditer(flat):
         add(m, "wiki", "url", 1.0)
     for m in _TEMPLATE.finditer(flat):
@@ -174,9 +182,9 @@ def _located(text: str) -> list[tuple[str, str, float, list[tuple[int, int]]]]:
     flat = _mask(_mask(flat, _WIKI_LINK), _WIKI_WORD)
 
     for m in _ATX.finditer(flat):
-        add(m, "markdown", "heading", 1.0 if _words(m.group(2)) > 0 else 0.2, (m.start(), m.start(2)))
+        add(m, "markdown", "heading", 0.3 + 0.7 * min(1.0, 2 * _words(m.group(2))), (m.start(), m.start(2)))
     for m in _SETEXT.finditer(flat):
-        add(m, "markdown", "setext", 1.0, m.span(2))
+        add(m, "markdown", "setext", 0.4 + 0.6 * min(1.0, 2 * _words(m.group(1))), m.span(2))
     items = list(_ITEM.finditer(flat))
     starts = {m.start() for m in items}
     for m in items:
@@ -184,26 +192,27 @@ def _located(text: str) -> list[tuple[str, str, float, list[tuple[int, int]]]]:
         fresh = m.start() == 0 or not before.strip() or before.rstrip().endswith(":")
         run = (m.end() + 1) in starts or any(x.end() + 1 == m.start() for x in items)
         number = mark[:-1].isdigit()
-        start = fresh or run
         place = ("fresh" if fresh else "run" if run else "loose") + (".task" if m.group(3) else "")
-        likely = start and _words(m.group(4)) >= 0.3 and not (number and not run and mark[:-1] != "1")
-        add(m, "markdown", f"item.{'n' if number else mark}.{place}" + ("" if likely else ".weak"), 1.0 if likely else 0.1, (m.start(), m.start(4)))
+        worded = min(1.0, 2 * _words(m.group(4)))
+        odd = number and not run and mark[:-1] != "1"
+        score = 0.1 + 0.5 * worded + 0.25 * fresh + 0.25 * run + 0.15 * bool(m.group(3)) - 0.3 * (mark in "+*" and not worded) - 0.4 * odd
+        add(m, "markdown", f"item.{'n' if number else mark}.{place}", max(0.0, min(1.0, score if fresh or run else 0.4 * worded)), (m.start(), m.start(4)))
     quotes = list(_QUOTE.finditer(flat))
     for m in quotes:
         before = _line_before(flat, m.start())
         fresh = m.start() == 0 or not before.strip() or before.lstrip().startswith(">") or before.lstrip("\x00 \t") == "" or before.rstrip().endswith((".", ":", "}", "]", ">", "|", "∎"))
-        sure = fresh and _words(m.group(1)) >= 0.3
-        add(m, "markdown", "quote" if sure else "quote.loose", 1.0 if sure else 0.1, (m.start(), m.start(1)))
+        worded = min(1.0, 2 * _words(m.group(1)))
+        add(m, "markdown", "quote" if fresh else "quote.loose", 0.3 * fresh + 0.7 * worded if fresh else 0.3 * worded, (m.start(), m.start(1)))
     for m in _PIPES.finditer(flat):
         if "|" in m.group(0):
-            add(m, "markdown", "table", 1.0 if "|" in _line_before(flat, m.start()) else 0.2)
+            add(m, "markdown", "table", 1.0 if "|" in _line_before(flat, m.start()) else 0.3)
     for pattern, path in ((_IMAGE, "image"), (_LINK, "link"), (_STRIKE, "strike"), (_BOLD, "bold")):
         for m in pattern.finditer(flat):
             add(m, "markdown", path, 1.0, *around(m))
     for m in _EMPH.finditer(_mask(flat, _BOLD)):
         inner = m.group(1) or m.group(2)
-        plain = _words(inner) >= 0.5
-        add(m, "markdown", "emphasis" if plain else "emphasis.symbol", 0.9 if plain else 0.2, *around(m))
+        worded = re.search(r"[^\W\d_]{2,}", inner) is not None
+        add(m, "markdown", "emphasis" if worded else "emphasis.symbol", 0.2 + 0.7 * min(1.0, 2 * _words(inner)), *around(m))
     return out
 
 
@@ -245,11 +254,16 @@ def path_votes(scored: DataFrame, weight: float = 3.0, quorum: float = 0.5) -> D
     return local.join(overall, "path").select("host", "path", "texts", support.alias("support"), (support >= quorum).alias("wins"))
 
 
-def markup_families(texts: DataFrame) -> DataFrame:
-    """(id, family): the families of which a text holds at least one container on a winning path."""
+def markup_families(texts: DataFrame, votes: bool = True) -> DataFrame:
+    """(id, family): the families of which a text holds at least one container on a winning path.
+
+    ``votes`` = False lets every text's own score decide, for comparison.
+    """
     scored = materialize(scored_containers(texts))
-    won = path_votes(scored).where("wins").select(F.col("host").alias("h"), F.col("path").alias("p"))
-    return scored.join(won, F.col("host").eqNullSafe(F.col("h")) & (F.col("path") == F.col("p"))).select("id", "family").distinct()
+    if not votes:
+        return scored.where("score >= 0.5").select("id", "family").distinct()
+    won = path_votes(scored).where("wins").groupBy(F.col("host").alias("h")).agg(F.collect_set("path").alias("won"))
+    return scored.join(won, F.col("host").eqNullSafe(F.col("h"))).where(F.array_contains("won", F.col("path"))).select("id", "family").distinct()
 
 
 def _tex_to_text(text: str) -> str:
@@ -266,8 +280,9 @@ def _tex_to_text(text: str) -> str:
         part = re.sub(r"\\item\s*", "\n- ", part)
         part = re.sub(r"\\(?:begin|end)\{[A-Za-z]+\*?\}", "\n", part)
         part = _GROUP.sub(r"\1", part)
-        for _ in range(3):
-            part = re.sub(r"\\[A-Za-z]+\*?\{([^{}]*)\}", r"\1", part)
+        unwrapped = None
+        while unwrapped != part:
+            unwrapped, part = part, re.sub(r"\\[A-Za-z]+\*?\{([^{}]*)\}", r"\1", part)
         part = re.sub(r"((?:\\[A-Za-z]+\s*)+)", lambda m: f"${m.group(1).strip()}$ ", part)
         formulas[i] = part.replace("\\\\", "\n")
     return "".join(formulas)
@@ -344,9 +359,9 @@ def clean_text(text: str | None, lost: frozenset[str] = frozenset()) -> str | No
     text = _pipe_tables(text)
     text = _LINK.sub(r"\1", _IMAGE.sub(r"\1", text))
     text = _STRIKE.sub(r"\1", _BOLD.sub(lambda m: m.group(1) or m.group(2), text))
-    text = _EMPH.sub(lambda m: m.group(0) if _words(m.group(1) or m.group(2)) < 0.5 else (m.group(1) or m.group(2)), text)
-    text = _QUOTE.sub(lambda m: m.group(1) if _words(m.group(1)) >= 0.3 else m.group(0), text)
-    text = re.sub(r"^([ \t]*)[-*+] \[[ xX]\] ", r"\1- ", text, flags=re.M)
+    text = _EMPH.sub(lambda m: m.group(1) or m.group(2), text)
+    text = _QUOTE.sub(r"\1", text)
+    text = _ITEM.sub(lambda m: f"{m.group(1)}{m.group(2) if m.group(2)[0].isdigit() else '-'} {m.group(4)}", text)
     for i in range(len(kept) - 1, -1, -1):
         text = text.replace(f"\x01{i}\x02", kept[i])
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+$", "", text, flags=re.M)).strip()

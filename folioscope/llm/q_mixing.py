@@ -19,5 +19,9 @@ def p8_reached_shares(spark, sf_dir):
     return mixing.reached_shares(materialize(mixing.mixture(documents, targets)), targets)
 
 
-QUERIES = {"p8_mixture": p8_mixture, "p8_reached_shares": p8_reached_shares}
+def p8_fit(spark, sf_dir):
+    return mixing.fit_report(*_tables(spark, sf_dir))
+
+
+QUERIES = {"p8_mixture": p8_mixture, "p8_reached_shares": p8_reached_shares, "p8_fit": p8_fit}
 ORACLE: dict[str, str] = {}

@@ -17,5 +17,9 @@ def p9_make_up(spark, sf_dir):
     return subjects.corpus_make_up(*_tables(spark, sf_dir))
 
 
-QUERIES = {"p9_found": p9_found, "p9_make_up": p9_make_up}
+def p9_propagation(spark, sf_dir):
+    return subjects.propagation_report(*_tables(spark, sf_dir))
+
+
+QUERIES = {"p9_found": p9_found, "p9_make_up": p9_make_up, "p9_propagation": p9_propagation}
 ORACLE: dict[str, str] = {}

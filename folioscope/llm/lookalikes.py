@@ -55,7 +55,7 @@ def _through_duckdb(sql: str):
         base = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
         for batch in batches:
             base.register("batch", pa.Table.from_batches([batch]))
-            yield from base.execute(sql).to_arrow_table().to_batches()
+            yield from base.sql(sql).to_arrow_table().to_batches()
             base.unregister("batch")
 
     return run
@@ -89,11 +89,25 @@ def same_look_classes(keys: DataFrame) -> DataFrame:
     return forms.join(mixed, "look", "left_semi")
 
 
+def same_look_members(df: DataFrame, id_column: str = "unit_id", text_column: str = "content") -> DataFrame:
+    """(unit_id, class_id, form_id, forms, records): membership in the looks that are coded in two or more forms.
+
+    ``class_id`` is the smallest id of the look, ``form_id`` of the form; ``forms`` and ``records`` count the
+    look's. One row per record however many copies a look has; pairs follow from it (:func:`same_look_pairs`).
+    """
+    keys = materialize(canonical_keys(df, id_column, text_column))
+    forms = same_look_classes(keys)
+    looks = forms.groupBy("look").agg(F.count(F.lit(1)).alias("forms"), F.sum("members").alias("records"), F.min("representative").alias("class_id"))
+    listed = forms.join(looks, "look").select("look", "form", "class_id", F.col("representative").alias("form_id"), "forms", "records")
+    return keys.join(listed, ["look", "form"]).select(F.col("id").alias("unit_id"), "class_id", "form_id", "forms", "records").distinct()
+
+
 def same_look_pairs(df: DataFrame, id_column: str = "unit_id", text_column: str = "content") -> DataFrame:
     """(unit_id_a, unit_id_b): texts that look the same and are coded differently, a below b.
 
     Each record is paired with the representative (smallest id) of every other form of its look, so
-    exact copies add a row per form, not per copy. Repeated ids count once.
+    exact copies add a row per form, not per copy; a look coded anew in every copy has a row for each two
+    of them, as each two are a case (:func:`same_look_members` has one row per record). Repeated ids count once.
     """
     keys = materialize(canonical_keys(df, id_column, text_column))
     classes = materialize(same_look_classes(keys))

@@ -114,7 +114,8 @@ def delimiter_state(text: Column) -> Column:
 
     A fold over the delimiters alone; it stays as it is at the first wrong closer.
     """
-    only = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^()\[\]{}]", "")
+    base = F.coalesce(text, F.lit(""))
+    only = F.regexp_replace(base, r"[^()\[\]{}]+", "")
     start = F.struct(F.lit("").alias("open"), F.lit(False).alias("broken"))
 
     def step(state: Column, c: Column) -> Column:
@@ -150,9 +151,12 @@ def repair_contexts(text: Column, window: int = 30) -> Column:
 
     ``pos`` counts from 0. Texts without one give an empty array.
     """
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(text, i, F.lit(1)) == LOST)
+    # The pieces between lost characters give the places; the text is split once, not looked at letter by letter.
+    pieces = F.split(text, LOST, -1)
+    ends = F.aggregate(F.transform(pieces, F.length), F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n + 1)))
+    places = F.slice(ends, F.lit(1), F.size(pieces) - 1)
     around = lambda i: F.replace(F.substr(text, F.greatest(i - window, F.lit(1)), i + window + 1 - F.greatest(i - window, F.lit(1))), F.lit("\n"), F.lit(" "))
-    return F.transform(places, lambda i: F.struct((i - 1).alias("pos"), around(i).alias("context")))
+    return F.coalesce(F.transform(places, lambda i: F.struct((i - 1).alias("pos"), around(i).alias("context"))), F.array().cast("array<struct<pos:int,context:string>>"))
 
 
 def apply_at(text: Column, fixes: Column) -> Column:
@@ -208,6 +212,11 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype=float)
 
 
+def sequence_distance(a: Column, b: Column) -> Column:
+    """The complement of :func:`sequence_ratio`, of whole texts."""
+    return 1 - sequence_ratio(a, b)
+
+
 def similarity(a: Column, b: Column, first: int = 300) -> Column:
     """:func:`sequence_ratio` of the first so many characters in small letters."""
     return sequence_ratio(F.left(F.lower(F.coalesce(a, F.lit(""))), F.lit(first)), F.left(F.lower(F.coalesce(b, F.lit(""))), F.lit(first)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.operators.metrics import env_type
 from folioscope.operators.segment import HEADING, is_proof_start
 
 
@@ -15,14 +16,18 @@ def locate_units(gold: DataFrame, blocks: DataFrame, exact: bool = False) -> Dat
     Per page the first block that has the unit's kind word and number opens it; it runs to the next
     numbered start, proof or heading. The most similar page wins, the earliest of equals; score 0 never
     does. ``exact`` asks for the whole number (``1.1`` is then not in ``1.10``). Units without a label
-    with a number are not located. Pages are joined on (book, kind word), not on the book alone.
+    with a number are not located. Blocks are joined on (book, kind word, number): every run of digits and dots
+    of a block stands for all its parts, as a number counts wherever it occurs in the text.
     """
     label = T.canonical_label(F.col("label"))
-    g = gold.select(F.col("_doc_id").alias("doc_id"), "unit_id", F.split(label, " ")[0].alias("word"), F.split(label, " ")[1].alias("number"), T.strip_latex(F.col("content"), lower=False).alias("wanted")).where("number IS NOT NULL")
+    g = gold.select(F.col("_doc_id").alias("doc_id"), "unit_id", F.split(label, " ")[0].alias("word"), F.split(label, " ")[1].alias("number"), T.strip_latex(F.col("content"), lower=False, unwrap="textbf|emph|textit").alias("wanted")).where("number IS NOT NULL")
+    runs = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\d.]+"), 0))
+    parts = lambda r: F.flatten(F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.transform(F.sequence(F.lit(1), F.length(r) - i + 1), lambda n: F.substr(r, i, n))))
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(?i)(Definition|Theorem|Lemma|Proposition|Corollary|Example|Remark|Exercise)"), 1), lambda w: F.initcap(F.lower(w))))
-    keyed = blocks.select("doc_id", "page_id", "pos", "text", F.explode(words).alias("word"))
+    worded = blocks.select("doc_id", "page_id", "pos", "text", F.explode(words).alias("word"), runs.alias("runs"))
+    keyed = worded.select("doc_id", "page_id", "pos", "text", "word", F.explode(F.array_distinct(F.flatten(F.transform("runs", parts)))).alias("number"))
     holds = F.col("text").contains(F.col("number")) if not exact else F.regexp_like("text", F.concat(F.lit(r"(^|[^\d.])"), F.replace("number", F.lit("."), F.lit(r"\.")), F.lit(r"($|[^\d.]|\.(\D|$))")))
-    opened = g.join(keyed, ["doc_id", "word"]).where(holds).groupBy("doc_id", "unit_id", "wanted", "page_id").agg(F.min("pos").alias("first"))
+    opened = g.join(keyed, ["doc_id", "word", "number"]).where(holds).groupBy("doc_id", "unit_id", "wanted", "page_id").agg(F.min("pos").alias("first"))
     order = Window.partitionBy("doc_id", "page_id").orderBy("pos")
     stops = is_proof_start(F.col("text")) | (F.col("block_type") == "heading") | (F.regexp_extract(T.strip(F.col("text")), HEADING, 2) != "")
     marked = blocks.select("doc_id", "page_id", "pos", "block_id", "text", stops.alias("stops"))
@@ -35,3 +40,23 @@ def locate_units(gold: DataFrame, blocks: DataFrame, exact: bool = False) -> Dat
     scored = texts.withColumn("score", T.similarity(F.col("wanted"), F.array_join(F.transform("b", lambda x: x["text"]), " "))).where("score > 0")
     best = scored.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "unit_id").orderBy(F.desc("score"), "page_id"))).where("rn = 1")
     return best.select("doc_id", "unit_id", "page_id", F.transform("b", lambda x: x["block_id"]).alias("blocks"), "score")
+
+
+def built_gold(units: DataFrame, blocks: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(block-form gold units, count of units not located per book) of annotated env-form units.
+
+    The statement is the text of the located blocks, not the annotation's; formula blocks become formula
+    spans; ids number a book's units in the order of their annotation (``unit_id``), located or not.
+    """
+    numbered = units.withColumn("seq", F.row_number().over(Window.partitionBy("_doc_id").orderBy("unit_id")) - 1)
+    found = locate_units(units, blocks, exact).select(F.col("doc_id"), "unit_id", "page_id", "blocks")
+    looked_up = found.select("doc_id", "unit_id", "page_id", F.posexplode("blocks").alias("i", "block_id")).join(blocks.select("doc_id", "page_id", "block_id", T.strip(F.col("text")).alias("text"), "block_type"), ["doc_id", "page_id", "block_id"])
+    entry = F.struct("i", "block_id", "text", "block_type")
+    put = looked_up.groupBy("doc_id", "unit_id", "page_id").agg(F.array_sort(F.collect_list(entry)).alias("b"))
+    spans = F.transform(F.filter("b", lambda x: x["block_type"] == "formula"), lambda x, i: F.struct(F.format_string("f_%s_%02d", F.col("page_id"), i + 1).alias("formula_id"), x["text"].alias("text"), x["block_id"].alias("source_block")))
+    ids = F.transform("b", lambda x: x["block_id"])
+    statement = F.array_join(F.transform("b", lambda x: x["text"]), " ")
+    meta = numbered.select("unit_id", "seq", env_type(F.col("env")).alias("unit_type"), T.strip(F.col("label")).alias("title"))
+    gold = put.join(meta, "unit_id").select("doc_id", "page_id", F.format_string("gold_%s_%04d", "doc_id", "seq").alias("gold_id"), "unit_type", "title", statement.alias("statement_text"), spans.alias("formula_spans"), ids.alias("source_blocks"), ids.alias("reading_order"))
+    missing = units.select(F.col("_doc_id").alias("doc_id"), "unit_id").join(found.select("unit_id"), "unit_id", "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("not_located"))
+    return gold, missing

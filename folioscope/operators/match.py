@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import canonical_label, jaccard, tokens
 from folioscope.operators.dedup import keep_first
+from folioscope.session import materialize
 
 
 def match_labels_v1(gold: DataFrame, pred: DataFrame, book: str = "_doc_id") -> DataFrame:
     """Full outer join on canonical labels. Of gold duplicates the last counts, of predicted ones the longest.
 
-    Columns: book, key, gold_id, pred_id (NULL where one side is missing).
+    Columns: book, key, gold_id, pred_id (NULL where one side is missing). A predicted unit without label
+    goes by its title, if there is such a column.
     """
+    named = F.coalesce(F.nullif(F.col("label"), F.lit("")), F.col("title")) if "title" in pred.columns else F.col("label")
     g = gold.select(book, canonical_label(F.col("label")).alias("key"), F.col("unit_id").alias("gold_id")).where("key IS NOT NULL")
-    p = pred.select(book, canonical_label(F.col("label")).alias("key"), F.col("unit_id").alias("pred_id"), F.length(F.coalesce("content", F.lit(""))).alias("size")).where("key IS NOT NULL")
+    p = pred.select(book, canonical_label(named).alias("key"), F.col("unit_id").alias("pred_id"), F.length(F.coalesce("content", F.lit(""))).alias("size")).where("key IS NOT NULL")
     g = keep_first(g, [book, "key"], [F.col("gold_id").desc()])
     p = keep_first(p, [book, "key"], [F.col("size").desc(), F.col("pred_id")]).drop("size")
     return g.join(p, [book, "key"], "full_outer")
@@ -36,18 +39,24 @@ def match_labels_v2(gold: DataFrame, pred: DataFrame, book: str = "_doc_id") ->
 def _similar_pairs(gold: DataFrame, pred: DataFrame, book: str, threshold: float) -> DataFrame:
     """(book, gold_id, pred_id, sim) of pairs whose token sets have a Jaccard above ``threshold``.
 
-    Prefix filtering: sets that similar share one of their rarest tokens, so pairs are made only there.
+    Prefix filtering: sets that similar share one of their rarest tokens, so pairs are made only there,
+    and only of sizes and places in the order of rareness that can still reach the threshold.
     """
     sets = gold.select(book, F.lit("g").alias("side"), F.col("unit_id").alias("id"), F.array_distinct(tokens(F.col("content"))).alias("t")).unionByName(
         pred.select(book, F.lit("p").alias("side"), F.col("unit_id").alias("id"), F.array_distinct(tokens(F.col("content"))).alias("t"))
     ).where(F.size("t") > 0)
-    exploded = sets.select(book, "side", "id", F.explode("t").alias("tok"))
+    sets = materialize(sets.withColumn("size", F.size("t")))
+    exploded = sets.select(book, "side", "id", "size", F.explode("t").alias("tok"))
     rare = exploded.groupBy(book, "tok").agg(F.count(F.lit(1)).alias("df"))
-    ranked = exploded.join(rare, [book, "tok"]).groupBy(book, "side", "id").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("r"))
-    keep = F.greatest(F.size("r") - F.ceil(threshold * F.size("r")).cast("int") + 1, F.lit(1))
-    probes = ranked.select(book, "side", "id", F.explode(F.transform(F.slice("r", F.lit(1), keep), lambda x: x["tok"])).alias("tok"))
-    g, p = probes.where("side = 'g'").select(book, "tok", F.col("id").alias("gold_id")), probes.where("side = 'p'").select(book, "tok", F.col("id").alias("pred_id"))
-    pairs = g.join(p, [book, "tok"]).select(book, "gold_id", "pred_id").distinct()
+    ranked = exploded.join(rare, [book, "tok"]).groupBy(book, "side", "id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("r"))
+    keep = F.greatest(F.col("size") - F.ceil(threshold * F.col("size")).cast("int") + 1, F.lit(1))
+    probes = materialize(ranked.select(book, "side", "id", "size", F.posexplode(F.transform(F.slice("r", F.lit(1), keep), lambda x: x["tok"])).alias("place", "tok")))
+    side = lambda s, n: probes.where(F.col("side") == s).select(book, "tok", F.col("id").alias(f"{n}_id"), F.col("size").alias(f"{n}_size"), F.col("place").alias(f"{n}_place"))
+    # A pair above the threshold has sizes within it, and from its first common token on enough tokens left.
+    small, large = F.least("gold_size", "pred_size"), F.greatest("gold_size", "pred_size")
+    left = F.least(F.col("gold_size") - F.col("gold_place"), F.col("pred_size") - F.col("pred_place"))
+    needed = threshold / (1 + threshold) * (F.col("gold_size") + F.col("pred_size"))
+    pairs = side("g", "gold").join(side("p", "pred"), [book, "tok"]).where((small >= threshold * large) & (left >= needed - 1e-9)).select(book, "gold_id", "pred_id").distinct()
     gt = sets.where("side = 'g'").select(book, F.col("id").alias("gold_id"), F.col("t").alias("gt"))
     pt = sets.where("side = 'p'").select(book, F.col("id").alias("pred_id"), F.col("t").alias("pt"))
     return pairs.join(gt, [book, "gold_id"]).join(pt, [book, "pred_id"]).withColumn("sim", jaccard(F.col("gt"), F.col("pt"))).where(F.col("sim") > threshold).drop("gt", "pt")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import scores as S
 from folioscope.functions import text as T
-from folioscope.vocab import ENV_TO_TYPE
+from folioscope.vocab import ENV_TO_TYPE, TYPE_GROUPS
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -23,10 +23,17 @@ def env_type(env: Column) -> Column:
     return F.coalesce(*[F.when(env == e, t) for e, t in ENV_TO_TYPE.items()], F.lit("other"))
 
 
+def type_group(env: Column) -> Column:
+    """The group of types an environment is reported in."""
+    kind = env_type(env)
+    return F.coalesce(*[F.when(kind.isin(*types), g) for g, types in TYPE_GROUPS.items()])
+
+
 def with_units(pairs: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Pairs with both units as structs ``g`` and ``p``."""
-    g = gold.select(F.col("unit_id").alias("gold_id"), F.struct(*[c for c in gold.columns]).alias("g"))
-    p = pred.select(F.col("unit_id").alias("pred_id"), F.struct(*[c for c in pred.columns]).alias("p"))
+    """Pairs with the scored fields of both units as structs ``g`` and ``p``."""
+    side = lambda df, fields: F.struct(*[c for c in fields if c in df.columns])
+    g = gold.select(F.col("unit_id").alias("gold_id"), side(gold, ("env", "content")).alias("g"))
+    p = pred.select(F.col("unit_id").alias("pred_id"), side(pred, ("label", "env", "content", "proof", "number_components", "context", "_formula_spans", "_doc_id", "_page_id")).alias("p"))
     return pairs.join(g, "gold_id").join(p, "pred_id")
 
 
@@ -109,14 +116,18 @@ def macro(per_chapter: DataFrame, keys: list[str], measures: list[str], chapter_
 def bootstrap(per_chapter: DataFrame, measure: str, resamples: int = 10_000, seed: int = 42, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """(mean, low, high) of the mean over chapters by resampling them with replacement.
 
-    Draws come from hashes of (seed, resample, draw), so they repeat. Chapters are numbered first; a
-    resample is as many draws as there are chapters.
+    Draws come from a linear congruential generator on (resample, draw), so they repeat anywhere. Chapters
+    are numbered first, in one task: they are few; a resample is as many draws as there are chapters.
     """
     base = per_chapter.where(F.col(measure).isNotNull()).select(F.col(measure).alias("v"))
     numbered = base.withColumn("i", F.row_number().over(Window.orderBy("v")) - 1)
-    n = numbered.count()
+    n = max(numbered.count(), 1)
     spark = per_chapter.sparkSession
-    draws = spark.range(resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("d")).withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "b", "d"), F.lit(max(n, 1))).cast("int"))
+    prime = F.lit(2147483647)
+    x = (F.col("b") * 7919 + F.col("d") * 104729 + F.lit(seed * 1299709).cast("bigint")) % prime
+    for _ in range(2):
+        x = (x * 48271) % prime
+    draws = spark.range(resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("d")).withColumn("i", (x % n).cast("int"))
     means = draws.join(numbered, "i").groupBy("b").agg(F.avg("v").alias("m"))
     ranked = means.withColumn("r", F.row_number().over(Window.orderBy("m")) - 1)
     at = lambda q: F.max(F.when(F.col("r") == int(q * resamples), F.col("m")))

@@ -9,7 +9,8 @@ from folioscope.functions import text as T
 from folioscope.operators.dedup import keep_first
 from folioscope.vocab import TYPE_ALIASES
 
-ANSWER = "array<struct<page_id:string,unit_type:string,title:string,statement_text:string,source_blocks:string,reading_order:string,confidence_score:string,formula_spans:string>>"
+ANSWER = "array<struct<page_id:string,unit_type:string,title:string,statement_text:string,source_blocks:string,reading_order:string,confidence_score:string,formula_spans:string,doc_id:string,notes:string>>"
+SPAN_ITEM = "array<struct<text:string,source_block:string>>"
 
 
 def canonical_type(value: Column) -> Column:
@@ -22,22 +23,49 @@ def parse_answers(raw: DataFrame) -> DataFrame:
     """(page_id, seq, item struct) of the raw answers: a list, one object, or an object with ``units``. Unreadable ones give none."""
     blob = T.json_blob(F.col("raw_output"))
     text = F.coalesce(F.get_json_object("blob", "$.units"), F.when(F.col("blob").startswith("{"), F.concat(F.lit("["), F.col("blob"), F.lit("]"))).otherwise(F.col("blob")))
-    return raw.withColumn("blob", blob).where("blob IS NOT NULL").select("page_id", "candidate_source_blocks", "valid_ids", F.posexplode(F.from_json(text, ANSWER)).alias("seq", "item"))
+    return raw.withColumn("blob", blob).where("blob IS NOT NULL").select(*[c for c in ("doc_id", "notes") if c in raw.columns], "page_id", "candidate_source_blocks", "valid_ids", F.posexplode(F.from_json(text, ANSWER)).alias("seq", "item"))
 
 
 def stage1(raw: DataFrame) -> DataFrame:
-    """(page_id, candidate_id, source_blocks): candidates with at least one valid block, each block list once per page.
+    """(doc_id if given, page_id, candidate_id, source_blocks): candidates with at least one valid block, each block list once per page.
 
-    ``raw``: (page_id, raw_output, candidate_source_blocks, valid_ids). The page of the record holds, not the answer's.
+    ``raw``: (doc_id if there are several books, page_id, raw_output, candidate_source_blocks, valid_ids). The page of the record holds, not the answer's.
     """
     items = parse_answers(raw).withColumn("source_blocks", T.valid_blocks(F.col("item.source_blocks"), F.col("valid_ids"))).where(F.size("source_blocks") > 0)
-    once = keep_first(items, ["page_id", "source_blocks"], [F.col("seq")])
-    number = F.row_number().over(Window.partitionBy("page_id").orderBy("seq"))
-    return once.select("page_id", F.format_string("cand_%s_%02d", F.col("page_id"), number).alias("candidate_id"), "source_blocks")
+    page = [c for c in ("doc_id", "page_id") if c in raw.columns]
+    once = keep_first(items, [*page, "source_blocks"], [F.col("seq")])
+    number = F.row_number().over(Window.partitionBy(*page).orderBy("seq"))
+    return once.select(*page, F.format_string("cand_%s_%02d", F.col("page_id"), number).alias("candidate_id"), "source_blocks")
+
+
+def answered_spans(raw: Column, page: Column, valid: Column) -> Column:
+    """Formula spans of an answer: a list of objects or texts, one object, or one text.
+
+    Blanks are collapsed; spans without text or without a known block are left out; ids number the
+    answer's list, so they may have gaps.
+    """
+    bare = F.trim(F.coalesce(raw, F.lit("")))
+    listed = F.when(bare.startswith("["), bare).when(bare.startswith("{"), F.concat(F.lit("["), bare, F.lit("]"))).otherwise(F.lit("[]"))
+    objects = F.coalesce(F.from_json(listed, SPAN_ITEM), F.array().cast(SPAN_ITEM))
+    numbered = F.transform(objects, lambda s, i: F.struct(F.format_string("f_%s_%02d", page, i + 1).alias("formula_id"), T.collapse(s["text"]).alias("text"), s["source_block"].try_cast("int").alias("source_block")))
+    return F.filter(numbered, lambda s: (s["text"] != "") & F.coalesce(F.array_contains(valid, s["source_block"]), F.lit(False)))
+
+
+def page_block_ids(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_id, valid_ids): the block ids of each page; a block without one goes by its place."""
+    ids = F.transform(F.coalesce("blocks", F.array()), lambda b, i: F.coalesce(b["block_id"], i))
+    return pages.select("doc_id", "page_id", ids.alias("valid_ids"))
+
+
+def with_valid_ids(answers: DataFrame, pages: DataFrame) -> DataFrame:
+    """Raw answers with the block ids of their page, none where the page is unknown."""
+    keys = ["doc_id", "page_id"] if "doc_id" in answers.columns else ["page_id"]
+    known = page_block_ids(pages).groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("valid_ids"))).alias("valid_ids"))
+    return answers.join(known, keys, "left").withColumn("valid_ids", F.coalesce("valid_ids", F.array().cast("array<int>")))
 
 
 def stage2(raw: DataFrame) -> DataFrame:
-    """Validated units: (page_id, unit_id, unit_type, title, statement_text, source_blocks, reading_order, confidence_score).
+    """Validated units: (doc_id, page_id, unit_id, unit_type, title, statement_text, formula_spans, source_blocks, reading_order, confidence_score, notes).
 
     Missing blocks fall back to the candidate's; a reading order must be among the blocks, else it is
     the blocks; blank statements and units without blocks are dropped; of equal units the most confident stays.
@@ -45,11 +73,12 @@ def stage2(raw: DataFrame) -> DataFrame:
     items = parse_answers(raw)
     own = T.valid_blocks(F.col("item.source_blocks"), F.col("valid_ids"))
     fallback = F.filter(F.coalesce("candidate_source_blocks", F.array().cast("array<int>")), lambda x: F.array_contains("valid_ids", x))
-    units = items.select("page_id", "seq", canonical_type(F.col("item.unit_type")).alias("unit_type"), T.collapse(F.col("item.title")).alias("title"), T.collapse(F.col("item.statement_text")).alias("statement_text"), F.when(F.size(own) > 0, own).otherwise(fallback).alias("source_blocks"), T.int_list(F.regexp_replace("item.reading_order", r"[\[\]\"]", " "), strict=False).alias("ro"), T.confidence(F.col("item.confidence_score")).alias("confidence_score"))
+    given = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"item.{c}"), F.lit("")) if c in items.columns else F.coalesce(f"item.{c}", F.lit(""))
+    units = items.select("page_id", "seq", given("doc_id").alias("doc_id"), given("notes").alias("notes"), answered_spans(F.col("item.formula_spans"), F.col("page_id"), F.col("valid_ids")).alias("formula_spans"), canonical_type(F.col("item.unit_type")).alias("unit_type"), T.collapse(F.col("item.title")).alias("title"), T.collapse(F.col("item.statement_text")).alias("statement_text"), F.when(F.size(own) > 0, own).otherwise(fallback).alias("source_blocks"), T.valid_blocks(F.col("item.reading_order"), F.col("valid_ids")).alias("ro"), T.confidence(F.col("item.confidence_score")).alias("confidence_score"))
     inside = (F.size("ro") > 0) & (F.size(F.array_except("ro", "source_blocks")) == 0)
     units = units.withColumn("reading_order", F.when(inside, F.col("ro")).otherwise(F.col("source_blocks"))).drop("ro").where((F.col("statement_text") != "") & (F.size("source_blocks") > 0))
-    best = keep_first(units.withColumn("norm", F.lower("statement_text")), ["page_id", "source_blocks", "unit_type", "norm"], [F.col("confidence_score").desc(), F.col("seq")]).drop("norm")
-    number = F.row_number().over(Window.partitionBy("page_id").orderBy("source_blocks", "seq"))
+    best = keep_first(units.withColumn("norm", F.lower("statement_text")), ["doc_id", "page_id", "source_blocks", "unit_type", "norm"], [F.col("confidence_score").desc(), F.col("seq")]).drop("norm")
+    number = F.row_number().over(Window.partitionBy("doc_id", "page_id").orderBy("source_blocks", "seq"))
     return best.withColumn("unit_id", F.format_string("pred_%s_%02d", F.col("page_id"), number)).drop("seq")
 
 

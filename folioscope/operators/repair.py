@@ -26,7 +26,9 @@ def offline_client() -> Callable[[str], str]:
 
 
 def ask(requests: DataFrame, make_client: Callable[[], Callable[[str], str]] = offline_client, tries: int = 3, wait: float = 1.0) -> DataFrame:
-    """(key, answer, attempts, seconds) for (key, prompt). Failures are tried again with doubled waits, then NULL.
+    """(key, answer, attempts, seconds, prompt_tokens, completion_tokens) for (key, prompt). Failures are tried again with doubled waits, then NULL.
+
+    A client answers with a text, or with (text, prompt tokens, completion tokens); unknown counts are NULL.
 
     Calls have effects outside Spark: write the result before using it twice, keyed by its request.
     """
@@ -44,10 +46,11 @@ def ask(requests: DataFrame, make_client: Callable[[], Callable[[str], str]] = o
                     except Exception:
                         if attempt < tries:
                             time.sleep(wait * 2 ** (attempt - 1))
-                rows.append((key, answer, attempt, time.time() - began))
-            yield pd.DataFrame(rows, columns=["key", "answer", "attempts", "seconds"])
+                text, asked, given = answer if isinstance(answer, tuple) else (answer, None, None)
+                rows.append((key, text, attempt, time.time() - began, asked, given))
+            yield pd.DataFrame(rows, columns=["key", "answer", "attempts", "seconds", "prompt_tokens", "completion_tokens"]).astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
 
-    return requests.select("key", "prompt").mapInPandas(run, "key string, answer string, attempts int, seconds double")
+    return requests.select("key", "prompt").mapInPandas(run, "key string, answer string, attempts int, seconds double, prompt_tokens bigint, completion_tokens bigint")
 
 
 def symbol_requests(units: DataFrame, window: int = 30) -> DataFrame:

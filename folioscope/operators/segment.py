@@ -83,7 +83,6 @@ def segment_blocks(blocks: DataFrame) -> DataFrame:
         .withColumn("unit", F.sum(F.col("starts").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .where("unit > 0")
     )
-    unit = Window.partitionBy(*PAGE, "unit").orderBy("pos")
     whole = Window.partitionBy(*PAGE, "unit")
     stopped = flagged.withColumn("stop", F.min(F.when(~F.col("starts") & (F.col("heads") | F.col("proves")), F.col("pos"))).over(whole))
     proof_at = F.min(F.when((F.col("pos") == F.col("stop")) & F.col("proves"), F.col("pos"))).over(whole)
@@ -94,7 +93,6 @@ def segment_blocks(blocks: DataFrame) -> DataFrame:
     in_proof = (F.col("pos") >= F.col("proof_at")) & (F.col("pos") < F.coalesce("head_at", far)) & (F.col("pos") <= F.coalesce("mark_at", far))
     in_content = F.col("starts") | ((F.coalesce("stop", far) > F.col("pos")) & (F.coalesce(F.col("block_type"), F.lit("")) != "image"))
     part = F.when(in_content, "content").when(F.coalesce(in_proof, F.lit(False)), "proof")
-    del unit
     return ended.withColumn("part", part).drop("stop", "proof_at", "head_at", "mark_at", "heads", "proves")
 
 

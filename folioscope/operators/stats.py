@@ -33,6 +33,17 @@ def detached_heading(title: Column, blocks: Column) -> Column:
     return F.coalesce((F.coalesce(title, F.lit("")) != "") & (F.size(blocks) >= 2) & (gap > 1), F.lit(False))
 
 
+def descriptive(units: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: tokens and formulas per unit, shares of detached headings and of units noted as adjacent to a proof, mean confidence (NULL ones left out)."""
+    noted = F.coalesce("notes", F.lit("")).rlike("(?i)proof_adjacent|adjacent_to_proof")
+    return units.groupBy(*keys).agg(
+        F.avg(F.size(T.symbol_tokens(F.col("content"), lower=False))).alias("avg_tokens_per_unit"),
+        F.avg(F.greatest(F.coalesce(F.size("_formula_spans"), F.lit(0)), F.lit(0))).alias("avg_formulas_per_unit"),
+        F.avg(detached_heading(F.col("label"), F.col("_source_blocks")).cast("int")).alias("detached_heading_ratio"),
+        F.avg(noted.cast("int")).alias("proof_adjacent_ratio"), F.avg("confidence_score").alias("avg_ocr_confidence"),
+    )
+
+
 def split_summary(units: DataFrame, split: str, kind: str, blocks: str, spans: str) -> DataFrame:
     """Per split and in total (split NULL): units, types, blocks and formulas per unit, share of multi-block units."""
     like = F.col(kind).isin("theorem", "lemma", "proposition", "corollary")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import scores as S
 from folioscope.functions import text as T
-from folioscope.operators import dedup, gold, layout, match, metrics, repair, segment, stats
+from folioscope.operators import dedup, gold, layout, match, metrics, page_model, postprocess, repair, segment, stats
 from folioscope.plans import pipelines
 from folioscope.session import materialize, spread
 
@@ -119,24 +119,24 @@ def scores_v1(spark, d):
     return _units(spark, d).select("unit_id", S.v1_parse(c("label"), c("env"), c("content")).alias("parse"), S.v1_retrieval(c("label"), c("env"), c("content"), c("_doc_id"), c("_page_id")).alias("retrieval"))
 
 
-@query()
-def symbol_score_v1(spark, d):
-    spans = F.transform("_formula_spans", lambda s: s["text"])
-    return _units(spark, d).select("unit_id", S.v1_symbol(F.col("content"), spans).alias("symbol"))
-
-
 _TYPE = "CASE env WHEN 'def' THEN 'definition' WHEN 'thm' THEN 'theorem' WHEN 'lem' THEN 'lemma' WHEN 'prop' THEN 'proposition' WHEN 'cor' THEN 'corollary' WHEN 'ex' THEN 'example' ELSE 'other' END"
 _BT = f"regexp_replace(coalesce(content, '') || ' ' || coalesce(array_to_string(list_transform(_formula_spans, lambda s: coalesce(s.text, '')), ' '), ''), '^\\s+|\\s+$', '', 'g')"
 
 
-@query(f"""SELECT unit_id, CASE WHEN coalesce(_doc_id,'')='' OR coalesce(_page_id,'')='' OR {_CS} = '' OR coalesce(len(_source_blocks),0)=0 THEN 0::DOUBLE ELSE 1::DOUBLE END AS parse,
-CASE WHEN {_BT} = '' THEN 0::DOUBLE ELSE {_CLAMP("1::DOUBLE" + _D(f"{_residue(_BT)} <> ''", .35) + _D(f"contains({_BT}, chr(65533)) OR regexp_matches({_BT}, '(^|[^0-9A-Za-z_])[Il1]{{5,}}([^0-9A-Za-z_]|$)') OR (regexp_matches({_BT}, '[^\\x00-\\x7F]{{4,}}') AND NOT contains({_BT}, 'σ') AND NOT contains({_BT}, 'π'))", .35) + _D(f"length({_CS}) < 10", .15) + _D("len(_source_blocks) <> len(list_distinct(_source_blocks))", .15))} END AS symbol,
-{_CLAMP("1::DOUBLE" + _D("coalesce(_doc_id,'')=''", .2) + _D("coalesce(_page_id,'')=''", .2) + _D("coalesce(len(_source_blocks),0)=0", .2) + _D("coalesce(len(_source_blocks),0)=0", .1) + _D(f"{_CS} = ''", .1))} AS retrieval FROM units""")
+_ORDER = "CASE WHEN unit_id % 3 = 0 THEN coalesce(_source_blocks, []) || coalesce(_source_blocks, [])[1:1] WHEN unit_id % 5 = 0 THEN [] ELSE list_reverse(coalesce(_source_blocks, [])) END"
+
+
+@query(f"""SELECT unit_id, CASE WHEN coalesce(_doc_id,'')='' OR coalesce(_page_id,'')='' OR {_CS} = '' OR coalesce(len(_source_blocks),0)=0 OR len({_ORDER}) = 0 THEN 0::DOUBLE ELSE 1::DOUBLE END AS parse,
+CASE WHEN {_BT} = '' THEN 0::DOUBLE ELSE {_CLAMP("1::DOUBLE" + _D(f"{_residue(_BT)} <> ''", .35) + _D(f"contains({_BT}, chr(65533)) OR regexp_matches({_BT}, '(^|[^0-9A-Za-z_])[Il1]{{5,}}([^0-9A-Za-z_]|$)') OR (regexp_matches({_BT}, '[^\\x00-\\x7F]{{4,}}') AND NOT contains({_BT}, 'σ') AND NOT contains({_BT}, 'π'))", .35) + _D(f"length({_CS}) < 10", .15) + _D(f"len({_ORDER}) <> len(list_distinct({_ORDER}))", .15))} END AS symbol,
+{_CLAMP("1::DOUBLE" + _D("coalesce(_doc_id,'')=''", .2) + _D("coalesce(_page_id,'')=''", .2) + _D("coalesce(len(_source_blocks),0)=0", .2) + _D(f"len({_ORDER}) = 0", .1) + _D(f"{_CS} = ''", .1))} AS retrieval FROM units""")
 def scores_blocks(spark, d):
+    """With reading orders of their own: reversed, with a repeat, or empty."""
     c = F.col
     spans = F.transform("_formula_spans", lambda s: F.coalesce(s["text"], F.lit("")))
     kind = metrics.env_type(c("env"))
-    return _units(spark, d).select("unit_id", S.blk_parse(c("_doc_id"), c("_page_id"), kind, c("content"), c("_source_blocks"), c("_source_blocks")).alias("parse"), S.blk_symbol(c("content"), spans, c("_source_blocks")).alias("symbol"), S.blk_retrieval(c("_doc_id"), c("_page_id"), kind, c("content"), c("_source_blocks"), c("_source_blocks")).alias("retrieval"))
+    own = F.coalesce("_source_blocks", F.array().cast("array<int>"))
+    order = F.when(c("unit_id") % 3 == 0, F.concat(own, F.slice(own, 1, 1))).when(c("unit_id") % 5 == 0, F.slice(own, 1, 0)).otherwise(F.reverse(own))
+    return _units(spark, d).select("unit_id", S.blk_parse(c("_doc_id"), c("_page_id"), kind, c("content"), c("_source_blocks"), order).alias("parse"), S.blk_symbol(c("content"), spans, order).alias("symbol"), S.blk_retrieval(c("_doc_id"), c("_page_id"), kind, c("content"), c("_source_blocks"), order).alias("retrieval"))
 
 
 # --- blocks and layout ----------------------------------------------------------------------------
@@ -147,20 +147,19 @@ _KEYED = r"(?i)^\s*(Definition|Theorem|Lemma|Proposition|Corollary|Example|Remar
 _MATH = layout.MATH_CHARACTERS
 
 
-@query(f"""WITH {_BLK} SELECT block_type, count(*) AS blocks, count(*) FILTER (WHERE kind = block_type) AS as_delivered FROM (SELECT block_type, CASE WHEN {_BS} = '' THEN 'empty'
+@query(f"""WITH {_BLK} SELECT doc_id, page_id, pos, CASE WHEN {_BS} = '' THEN 'empty'
  WHEN font_size > 13 OR (regexp_matches({_BS}, '^\\s*(\\d+\\.[\\d.]*)\\s+[A-Z]') AND font_size > 11) THEN 'heading'
  WHEN regexp_matches({_BS}, '{_KEYED}') THEN CASE WHEN length({_BS}) < 200 THEN 'theorem_heading' ELSE 'theorem_body' END
- WHEN (length({_BS}) - length(translate({_BS}, '{_MATH}', ''))) / length({_BS}) > 0.3 OR (length({_BS}) < 120 AND regexp_matches({_BS}, '[=≤≥]') AND length(regexp_replace({_BS}, '[^\\pL]', '', 'g')) / length({_BS}) < 0.4) THEN 'formula' ELSE 'text' END AS kind FROM blk) GROUP BY 1""")
+ WHEN (length({_BS}) - length(translate({_BS}, '{_MATH}', ''))) / length({_BS}) > 0.3 OR (length({_BS}) < 120 AND regexp_matches({_BS}, '[=≤≥]') AND length(regexp_replace({_BS}, '[^\\pL]', '', 'g')) / length({_BS}) < 0.4) THEN 'formula' ELSE 'text' END AS kind FROM blk""")
 def block_types(spark, d):
-    kind = layout.classify(F.col("text"), F.col("font_size"))
-    return _blocks(spark, d).groupBy("block_type").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(kind == F.col("block_type")).alias("as_delivered"))
+    return _blocks(spark, d).select("doc_id", "page_id", F.col("pos").cast("bigint").alias("pos"), layout.classify(F.col("text"), F.col("font_size")).alias("kind"))
 
 
-@query(f"""WITH {_BLK} SELECT doc_id, page_id, count(*) AS blocks, count(*) FILTER (WHERE {_BS} = '' OR (font_size < 9.5 AND ((bbox[4] > 0.91 * page_height AND regexp_matches({_BS}, '(?i)(©|DOI\\s|ISBN\\s|Springer|Universitext|10\\.\\d{{4}}/)'))
- OR (bbox[2] < 0.07 * page_height AND regexp_matches({_BS}, '^\\s*\\d+\\s+\\d+\\s+[A-Z]')) OR {_NUM}))) AS noise FROM blk GROUP BY 1, 2""")
+@query(f"""WITH {_BLK} SELECT doc_id, page_id, pos, {_BS} = '' OR coalesce(font_size < 9.5 AND ((bbox[4] > 0.91 * page_height AND regexp_matches({_BS}, '(?i)(©|DOI\\s|ISBN\\s|Springer|Universitext|10\\.\\d{{4}}/)'))
+ OR (bbox[2] < 0.07 * page_height AND regexp_matches({_BS}, '^\\s*\\d+\\s+\\d+\\s+[A-Z]')) OR {_NUM}), false) AS noise FROM blk""")
 def noise_blocks(spark, d):
     b = F.struct("text", "bbox", "font_size")
-    return _blocks(spark, d).groupBy("doc_id", "page_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(layout.is_noise(b, F.col("page_height"))).alias("noise"))
+    return _blocks(spark, d).select("doc_id", "page_id", F.col("pos").cast("bigint").alias("pos"), F.coalesce(layout.is_noise(b, F.col("page_height")), F.lit(False)).alias("noise"))
 
 
 @query()
@@ -193,11 +192,22 @@ j AS (SELECT *, min(CASE WHEN pos > proof_at AND heads THEN pos END) OVER u AS h
 k AS (SELECT *, CASE WHEN starts OR (pos < coalesce(stop, 2147483647) AND block_type <> 'image') THEN 'content' WHEN pos >= proof_at AND pos < coalesce(head_at, 2147483647) AND pos <= coalesce(mark_at, 2147483647) THEN 'proof' END AS part FROM j)"""
 
 
-@query(f"""WITH {_SEG} SELECT doc_id, page_id, CAST(unit AS INTEGER) AS unit_index, coalesce(list(block_id ORDER BY pos) FILTER (WHERE part = 'content'), []) AS source_blocks, coalesce(list(block_id ORDER BY pos) FILTER (WHERE part = 'proof'), []) AS proof_blocks,
-coalesce(string_agg(CASE WHEN {_BS} <> '' THEN {_BS} END, ' ' ORDER BY pos) FILTER (WHERE part = 'content'), '') AS content, coalesce(string_agg(CASE WHEN {_BS} <> '' THEN {_BS} END, ' ' ORDER BY pos) FILTER (WHERE part = 'proof'), '') AS proof
-FROM k WHERE part IS NOT NULL GROUP BY 1, 2, 3""")
+_KINDS_SQL = "(?i)^(Definition|Theorem|Lemma|Proposition|Corollary|Example|Remark|Exercise)"
+_CARRIED = f"""hd AS (SELECT doc_id, page_id, arg_max(split_part({_BS}, chr(10), 1), pos) FILTER (WHERE {_HEADS} AND regexp_matches(split_part({_BS}, chr(10), 1), '^(\\d+)\\.(\\d+)\\s+(.+)')) AS line FROM blk GROUP BY 1, 2),
+cs AS (SELECT doc_id, page_id, last_value(line IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_id) AS line FROM hd),
+sec AS (SELECT doc_id, page_id, coalesce(regexp_extract(line, '^(\\d+)\\.(\\d+)\\s+(.+)', 3), '') AS section, coalesce(TRY_CAST(regexp_extract(line, '^(\\d+)\\.(\\d+)\\s+(.+)', 2) AS INTEGER), 0) AS section_number FROM cs)"""
+
+
+@query(f"""WITH {_SEG}, {_CARRIED}, un AS (SELECT doc_id, page_id, CAST(unit AS INTEGER) AS unit_index, max({_BS}) FILTER (WHERE starts) AS head, coalesce(list(block_id ORDER BY pos) FILTER (WHERE part = 'content'), []) AS source_blocks, coalesce(list(block_id ORDER BY pos) FILTER (WHERE part = 'proof'), []) AS proof_blocks,
+coalesce(string_agg(CASE WHEN {_BS} <> '' THEN {_BS} END, ' ' ORDER BY pos) FILTER (WHERE part = 'content'), '') AS content, coalesce(string_agg(CASE WHEN {_BS} <> '' THEN {_BS} END, ' ' ORDER BY pos) FILTER (WHERE part = 'proof'), '') AS proof,
+coalesce(list(struct_pack(t := {_BS}, b := block_id) ORDER BY pos) FILTER (WHERE part = 'content' AND block_type = 'formula'), []) AS fs FROM k WHERE part IS NOT NULL GROUP BY 1, 2, 3),
+ti AS (SELECT *, trim(regexp_replace(split_part(head, chr(10), 1), '^\\s+|\\s+$', '', 'g')) AS title, lower(regexp_extract(head, '{_KINDS_SQL}', 1)) AS word FROM un),
+la AS (SELECT *, CASE WHEN regexp_matches(title, '{_KINDS_SQL}\\s+[\\d.]+') THEN upper(left(regexp_extract(title, '{_KINDS_SQL}', 1), 1)) || lower(substr(regexp_extract(title, '{_KINDS_SQL}', 1), 2)) || ' ' || rtrim(regexp_extract(title, '{_KINDS_SQL}\\s+([\\d.]+)', 2), '.') ELSE title END AS label FROM ti)
+SELECT doc_id, page_id, unit_index, label, CASE word WHEN 'definition' THEN 'def' WHEN 'theorem' THEN 'thm' WHEN 'lemma' THEN 'lem' WHEN 'proposition' THEN 'prop' WHEN 'corollary' THEN 'cor' WHEN 'example' THEN 'ex' WHEN 'exercise' THEN 'exr' ELSE 'rem' END AS env,
+list_transform(list_filter(string_split(CASE WHEN contains(label, ' ') THEN substr(label, strpos(label, ' ') + 1) ELSE '' END, '.'), lambda x: regexp_full_match(x, '\\d+')), lambda x: x::INTEGER) AS number_components,
+content, proof, source_blocks, proof_blocks, list_transform(fs, lambda f, i: struct_pack(formula_id := printf('f_%s_%02d', page_id, i), text := f.t, source_block := f.b)) AS formula_spans, section, section_number FROM la JOIN sec USING (doc_id, page_id)""")
 def segment_units(spark, d):
-    return segment.extract_units(_blocks(spark, d)).select("doc_id", "page_id", "unit_index", "source_blocks", "proof_blocks", "content", "proof")
+    return segment.extract_units(_blocks(spark, d))
 
 
 @query(f"""WITH {_BLK}, hd AS (SELECT doc_id, page_id, arg_max(split_part({_BS}, chr(10), 1), pos) FILTER (WHERE {_HEADS} AND regexp_matches(split_part({_BS}, chr(10), 1), '^(\\d+)\\.(\\d+)\\s+(.+)')) AS line FROM blk GROUP BY 1, 2),
@@ -247,35 +257,10 @@ def label_match_v2(spark, d):
     return match.match_labels_v2(*_sides(spark, d))
 
 
-@query()
-def fuzzy_greedy_match(spark, d):
-    return match.match_units(*_sides(spark, d))
-
-
 _PAIRSQL = f"""{_LABELS}, j AS (SELECT pairs._doc_id, g.content AS gc, p.content AS pc, g.env AS ge, p.env AS pe FROM pairs JOIN units g ON g.unit_id = gold_id JOIN units p ON p.unit_id = pred_id),
 t AS (SELECT *, {_latex_sql('gc')} AS gt, {_OCR('pc')} AS pt FROM j), s AS (SELECT *, list_distinct({_TOK('gt')}) AS gs, list_distinct({_TOK('pt')}) AS ps FROM t)"""
 
 
-@query(f"""WITH {_PAIRSQL} SELECT _doc_id, count(*) AS matched, avg(CASE WHEN ge IS NOT DISTINCT FROM pe THEN 1.0 ELSE 0.0 END) AS type_accuracy,
-avg(CASE WHEN len(gs) = 0 THEN 1.0 ELSE len(list_intersect(gs, ps)) / len(gs) END) AS completeness FROM s GROUP BY 1""")
-def content_scores(spark, d):
-    g, p = _sides(spark, d)
-    pairs = match.match_labels_v2(g, p).select("_doc_id", "gold_id", "pred_id")
-    return metrics.summary(metrics.pair_scores(metrics.with_units(pairs, g, p)), ["_doc_id"]).select("_doc_id", "matched", "type_accuracy", "completeness")
-
-
-_ASCII = lambda c: f"left(regexp_replace({c}, '[^\\x00-\\x7F]', '?', 'g'), 500)"
-
-
-@query(f"""WITH {_PAIRSQL}, a AS (SELECT _doc_id, {_ASCII('gt')} AS x, {_ASCII('pt')} AS y FROM s) SELECT _doc_id, avg(levenshtein(x, y) / greatest(length(x), length(y), 1)) AS edit FROM a GROUP BY 1""")
-def edit_distance_mean(spark, d):
-    """Over texts reduced to ASCII, since the SQL engine counts edits in bytes; the operator counts characters."""
-    g, p = _sides(spark, d)
-    pairs = metrics.with_units(match.match_labels_v2(g, p).select("_doc_id", "gold_id", "pred_id"), g, p)
-    plain = lambda t: F.regexp_replace(t, r"[^\x00-\x7F]", "?")
-    return pairs.groupBy("_doc_id").agg(F.avg(T.edit_ratio(plain(T.strip_latex(F.col("g.content"))), plain(T.normalize_ocr(F.col("p.content"))), 500)).alias("edit"))
-
-
 @query(f"""WITH {_LABELS}, m AS (SELECT _doc_id, count(*) AS matched FROM pairs GROUP BY 1), gn AS (SELECT _doc_id, count(*) AS gold FROM gold GROUP BY 1), pn AS (SELECT _doc_id, count(*) AS pred FROM pred GROUP BY 1),
 c AS (SELECT coalesce(gn._doc_id, pn._doc_id) AS _doc_id, coalesce(matched, 0) AS matched, coalesce(gold, 0) AS gold, coalesce(pred, 0) AS pred FROM gn FULL JOIN pn ON gn._doc_id = pn._doc_id LEFT JOIN m ON m._doc_id = coalesce(gn._doc_id, pn._doc_id)),
 r AS (SELECT *, CASE WHEN pred > 0 THEN matched / pred ELSE 0 END AS precision, CASE WHEN gold > 0 THEN matched / gold ELSE 0 END AS recall FROM c)
@@ -296,37 +281,6 @@ def boundary_exact_match(spark, d):
     return pairs.select("gold_id", "pred_id", T.jaccard(F.array_distinct("gold_blocks"), F.array_distinct("pred_blocks"), 1.0).alias("block_overlap"), F.col("gold_env").eqNullSafe(F.col("pred_env")).cast("int").alias("same_env"))
 
 
-@query()
-def block_overlap_match(spark, d):
-    return match.match_blocks(*_sides(spark, d), ["_doc_id", "_page_id"])
-
-
-@query()
-def downstream_over_all_gold(spark, d):
-    g, p = _sides(spark, d)
-    pairs = match.match_blocks(g, p, ["_doc_id", "_page_id"])
-    scored = metrics.pair_scores(metrics.with_units(pairs, g, p), "v1").select("gold_id", "parse", "symbol", "retrieval")
-    joined = g.select("_doc_id", F.col("unit_id").alias("gold_id")).join(scored, "gold_id", "left")
-    return joined.groupBy("_doc_id").agg(*[F.avg(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("parse", "symbol", "retrieval")])
-
-
-@query()
-def evaluate_v1(spark, d):
-    return pipelines.evaluate(*_sides(spark, d), family="v1")
-
-
-@query()
-def evaluate_v2(spark, d):
-    return pipelines.evaluate(*_sides(spark, d), family="v2")
-
-
-@query(f"""WITH {_PAIRSQL} SELECT ge AS gold_env, count(*) AS matched, avg(CASE WHEN len(gs) = 0 THEN 1.0 ELSE len(list_intersect(gs, ps)) / len(gs) END) AS completeness FROM s GROUP BY 1""")
-def by_type_breakdown(spark, d):
-    g, p = _sides(spark, d)
-    pairs = match.match_labels_v2(g, p).select("_doc_id", "gold_id", "pred_id")
-    return metrics.summary(metrics.pair_scores(metrics.with_units(pairs, g, p)), ["gold_env"]).select("gold_env", "matched", "completeness")
-
-
 @query(f"""WITH {_LABELS}, ch AS (SELECT DISTINCT doc_id, page_id FROM page_manifest WHERE is_challenge = 1) SELECT count(*) AS matched FROM pairs JOIN units g ON g.unit_id = gold_id WHERE EXISTS (SELECT 1 FROM ch WHERE ch.doc_id = g._doc_id AND ch.page_id = g._page_id)""")
 def challenge_semijoin(spark, d):
     g, p = _sides(spark, d)
@@ -335,23 +289,21 @@ def challenge_semijoin(spark, d):
     return g.select("_doc_id", "_page_id", F.col("unit_id").alias("gold_id")).join(hard, ["_doc_id", "_page_id"], "left_semi").join(pairs.select("gold_id"), "gold_id").agg(F.count(F.lit(1)).alias("matched"))
 
 
-@query(f"""WITH {_EDGE}, u AS (SELECT coalesce(ge._doc_id, pe._doc_id) AS _doc_id, coalesce(ge._page_id, pe._page_id) AS _page_id, gold_id, pred_id, ge, pe FROM ge FULL JOIN pe ON ge._doc_id = pe._doc_id AND ge._page_id = pe._page_id AND ge.a = pe.a AND ge.b = pe.b)
-SELECT _doc_id, _page_id, count(*) FILTER (WHERE gold_id IS NOT NULL AND pred_id IS NOT NULL) / count(*) AS boundary,
-CASE WHEN count(*) FILTER (WHERE gold_id IS NOT NULL AND pred_id IS NOT NULL) = 0 THEN 1.0 ELSE count(*) FILTER (WHERE gold_id IS NOT NULL AND pred_id IS NOT NULL AND ge IS NOT DISTINCT FROM pe) / count(*) FILTER (WHERE gold_id IS NOT NULL AND pred_id IS NOT NULL) END AS type FROM u GROUP BY 1, 2""")
-def agreement_by_page(spark, d):
-    return metrics.agreement(*_sides(spark, d), ["_doc_id", "_page_id"]).drop("formula")
+_FB = lambda a: f"list_sort(list_distinct(list_transform(coalesce({a}, []), lambda s: s.source_block)))"
 
 
-def _per_book(spark, d):
-    g, p = _sides(spark, d)
-    pairs = match.match_labels_v2(g, p).select("_doc_id", "gold_id", "pred_id")
-    return metrics.summary(metrics.pair_scores(metrics.with_units(pairs, g, p)), ["_doc_id"])
+@query(f"""WITH {_EDGE}, u AS (SELECT coalesce(ge._doc_id, pe._doc_id) AS _doc_id, coalesce(ge._page_id, pe._page_id) AS _page_id, gold_id IS NOT NULL AND pred_id IS NOT NULL AS common, ge, pe, x._formula_spans AS gf, y._formula_spans AS pf FROM ge FULL JOIN pe ON ge._doc_id = pe._doc_id AND ge._page_id = pe._page_id AND ge.a = pe.a AND ge.b = pe.b LEFT JOIN units x ON x.unit_id = gold_id LEFT JOIN units y ON y.unit_id = pred_id)
+SELECT _doc_id, _page_id, count(*) FILTER (WHERE common) / count(*) AS boundary, coalesce(avg((ge IS NOT DISTINCT FROM pe)::INT) FILTER (WHERE common), 1) AS type, coalesce(avg(({_FB('gf')} = {_FB('pf')})::INT) FILTER (WHERE common), 1) AS formula FROM u GROUP BY 1, 2""")
+def agreement_by_page(spark, d):
+    return metrics.agreement(*_sides(spark, d), ["_doc_id", "_page_id"])
+
 
+@query(f"""WITH {_EDGE}, u AS (SELECT coalesce(ge._doc_id, pe._doc_id) AS d, coalesce(ge._page_id, pe._page_id) AS p, gold_id IS NOT NULL AND pred_id IS NOT NULL AS common, ge, pe, x._formula_spans AS gf, y._formula_spans AS pf FROM ge FULL JOIN pe ON ge._doc_id = pe._doc_id AND ge._page_id = pe._page_id AND ge.a = pe.a AND ge.b = pe.b LEFT JOIN units x ON x.unit_id = gold_id LEFT JOIN units y ON y.unit_id = pred_id),
+g AS (SELECT count(*) FILTER (WHERE common) / count(*) AS boundary, coalesce(avg((ge IS NOT DISTINCT FROM pe)::INT) FILTER (WHERE common), 1) AS type, coalesce(avg(({_FB('gf')} = {_FB('pf')})::INT) FILTER (WHERE common), 1) AS formula FROM u GROUP BY d, p) SELECT count(*) AS pages, avg(boundary) AS boundary, avg(type) AS type, avg(formula) AS formula FROM g""")
+def agreement_mean(spark, d):
+    per = metrics.agreement(*_sides(spark, d), ["_doc_id", "_page_id"])
+    return per.agg(F.count(F.lit(1)).alias("pages"), *[F.avg(c).alias(c) for c in ("boundary", "type", "formula")])
 
-@query(f"""WITH {_PAIRSQL}, b AS (SELECT _doc_id, avg(CASE WHEN len(gs) = 0 THEN 1.0 ELSE len(list_intersect(gs, ps)) / len(gs) END) AS completeness FROM s GROUP BY 1)
-SELECT count(*) AS chapters, avg(completeness) AS completeness_mean, coalesce(stddev_samp(completeness), 0) AS completeness_std, min(completeness) AS completeness_min, max(completeness) AS completeness_max FROM b""")
-def macro_mean_std(spark, d):
-    return metrics.macro(_per_book(spark, d), [], ["completeness"])
 
 
 @query(f"""WITH {_GP}, gk AS (SELECT {_CANON('label')} AS key, max(unit_id) AS gold_id FROM gold WHERE {_CANON('label')} IS NOT NULL GROUP BY 1),
@@ -363,11 +315,6 @@ def micro_pool_then_match(spark, d):
     return match.match_labels_v2(pool(g), pool(p)).select("key", "gold_id", "pred_id")
 
 
-@query()
-def bootstrap_interval(spark, d):
-    return metrics.bootstrap(materialize(_per_book(spark, d).select("_doc_id", "ready")), "ready")
-
-
 @query(f"""SELECT method, count(*) AS units, sum({_LOST('content')}) AS lost, count(*) FILTER (WHERE {_P2} < 1) AS parse_below_1, count(*) FILTER (WHERE {_S2} < 1) AS symbol_below_1 FROM units GROUP BY 1""")
 def error_table(spark, d):
     c = F.col
@@ -412,9 +359,12 @@ def blocks_per_unit(spark, d):
     return hist.withColumn("share", F.col("units") / F.sum("units").over(Window.partitionBy("method")))
 
 
-@query(f"SELECT method, avg(len(regexp_extract_all(coalesce(content, ''), '[a-zA-Z0-9_]+|[^\\s]'))) AS avg_tokens_per_unit, avg(coalesce(len(_formula_spans), 0)) AS avg_formulas_per_unit, avg(CASE WHEN coalesce(label, '') <> '' AND len(_source_blocks) >= 2 AND _source_blocks[2] - _source_blocks[1] > 1 THEN 1 ELSE 0 END) AS detached_heading_ratio FROM units GROUP BY 1")
+@query(f"SELECT method, avg(len(regexp_extract_all(coalesce(content, ''), '[a-zA-Z0-9_]+|[^\\s]'))) AS avg_tokens_per_unit, avg(coalesce(len(_formula_spans), 0)) AS avg_formulas_per_unit, avg(CASE WHEN coalesce(label, '') <> '' AND len(_source_blocks) >= 2 AND _source_blocks[2] - _source_blocks[1] > 1 THEN 1 ELSE 0 END) AS detached_heading_ratio, avg(regexp_matches(coalesce(m.notes, ''), '(?i)proof_adjacent|adjacent_to_proof')::INT) AS proof_adjacent_ratio, avg(round(length(coalesce(label, '')) / 100, 4)) AS avg_ocr_confidence FROM units LEFT JOIN (SELECT doc_id, page_id, max(notes) AS notes FROM page_manifest GROUP BY 1, 2) m ON m.doc_id = _doc_id AND m.page_id = _page_id GROUP BY 1")
 def descriptive_stats(spark, d):
-    return _units(spark, d).groupBy("method").agg(F.avg(F.size(T.symbol_tokens(F.col("content"), lower=False))).alias("avg_tokens_per_unit"), F.avg(F.size(F.coalesce("_formula_spans", F.array().cast("array<struct<formula_id:string,text:string,source_block:int>>")))).alias("avg_formulas_per_unit"), F.avg(stats.detached_heading(F.col("label"), F.col("_source_blocks")).cast("int")).alias("detached_heading_ratio"))
+    """A unit's notes are its page's; the delivered tables have no confidence, so the labels' lengths stand in for one."""
+    notes = _t(spark, d, "page_manifest").groupBy(F.col("doc_id").alias("_doc_id"), F.col("page_id").alias("_page_id")).agg(F.max("notes").alias("notes"))
+    units = _units(spark, d).join(notes, ["_doc_id", "_page_id"], "left").withColumn("confidence_score", F.round(F.length(F.coalesce("label", F.lit(""))) / 100, 4))
+    return stats.descriptive(units, ["method"])
 
 
 @query(f"WITH {_PAIRSQL.replace('pairs._doc_id,', 'pairs._doc_id, gold_id, pred_id,')} SELECT gold_id, pred_id, CASE WHEN len(gs) = 0 THEN 1.0 ELSE len(list_intersect(gs, ps)) / len(gs) END AS completeness FROM s ORDER BY 3, 1 LIMIT 8")
@@ -433,25 +383,53 @@ def missed_labels(spark, d):
 
 
 @query("""WITH a AS (SELECT _doc_id, unit_index, min(unit_id) AS i FROM units WHERE method = 'gold' GROUP BY 1, 2), b AS (SELECT _doc_id, unit_index, min(unit_id) AS i FROM units WHERE method = 'ours' GROUP BY 1, 2),
-j AS (SELECT a._doc_id, a.unit_index, coalesce(x.content, '') AS x, coalesce(y.content, '') AS y FROM a JOIN b USING (_doc_id, unit_index) JOIN units x ON x.unit_id = a.i JOIN units y ON y.unit_id = b.i)
-SELECT _doc_id, unit_index, length(y) - length(x) AS delta FROM j WHERE x <> y""")
+f AS (SELECT unit_id, unnest(['label', 'env', 'content', 'proof']) AS field, unnest([coalesce(label, ''), coalesce(env, ''), coalesce(content, ''), coalesce(proof, '')]) AS v FROM units),
+j AS (SELECT a._doc_id, a.unit_index, x.field, x.v AS x, y.v AS y FROM a JOIN b USING (_doc_id, unit_index) JOIN f x ON x.unit_id = a.i JOIN f y ON y.unit_id = b.i AND y.field = x.field WHERE x.v <> y.v)
+SELECT _doc_id, unit_index, field, length(y) - length(x) AS delta, list_position(list_transform(range(1, greatest(length(x), length(y)) + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1)), true) - 1 AS differs_at FROM j""")
 def positional_diff(spark, d):
-    one = lambda m: dedup.keep_first(_side(spark, d, m).select("_doc_id", "unit_index", "unit_id", "content"), ["_doc_id", "unit_index"], [F.col("unit_id")])
-    return stats.positional_diff(one("gold"), one("ours"), ["_doc_id", "unit_index"], "content").drop("differs_at")
+    one = lambda m: dedup.keep_first(_side(spark, d, m).select("_doc_id", "unit_index", "unit_id", "label", "env", "content", "proof"), ["_doc_id", "unit_index"], [F.col("unit_id")])
+    a, b = one("gold"), one("ours")
+    fields = [stats.positional_diff(a, b, ["_doc_id", "unit_index"], f).withColumn("field", F.lit(f)) for f in ("label", "env", "content", "proof")]
+    out = fields[0]
+    for f in fields[1:]:
+        out = out.unionByName(f)
+    return out
 
 
-@query(f"SELECT unit_id, replace(content, chr(65533), 'n') AS repaired FROM units WHERE contains(content, chr(65533))")
+@query("""WITH u AS (SELECT unit_id, content, length(content) - length(replace(content, chr(65533), '')) AS n FROM units WHERE contains(content, chr(65533))), c AS (SELECT unit_id, unnest(string_split(content, chr(65533))) AS part, generate_subscripts(string_split(content, chr(65533)), 1) AS i, n FROM u)
+SELECT unit_id, string_agg(part || CASE WHEN i > n THEN '' WHEN i % 3 = 0 THEN chr(65533) ELSE chr(96 + (i % 26)::INTEGER) END, '' ORDER BY i) AS repaired FROM c GROUP BY 1""")
 def positional_fixes(spark, d):
+    """Another letter at every place, and every third place left as it is."""
     u = _units(spark, d).where(F.col("content").contains(T.LOST)).select("unit_id", "content")
-    fixes = F.map_from_entries(F.transform(T.repair_contexts(F.col("content")), lambda r: F.struct(r["pos"].alias("k"), F.lit("n").alias("v"))))
-    return u.select("unit_id", T.apply_at(F.col("content"), fixes).alias("repaired"))
+    numbered = F.transform(T.repair_contexts(F.col("content")), lambda r, i: F.struct(r["pos"].alias("k"), F.when((i + 1) % 3 != 0, F.char(96 + (i + 1) % 26)).alias("v")))
+    return u.select("unit_id", T.apply_at(F.col("content"), F.map_from_entries(numbered)).alias("repaired"))
 
 
-@query("SELECT unit_id, CASE WHEN contains(content, 'the ') THEN left(content, strpos(content, 'the ') - 1) || 'THE ' || substr(content, strpos(content, 'the ') + 4) ELSE coalesce(content, '') END AS edited, CASE WHEN contains(content, 'the ') THEN 1 ELSE 0 END AS hits FROM units")
+@query("""WITH p AS (SELECT unit_id, replace(content, chr(10), ' ') AS t, content, unnest(list_filter(range(1, length(content) + 1), lambda i: substr(content, i, 1) = chr(65533))) AS i FROM units WHERE contains(content, chr(65533)))
+SELECT unit_id, i - 1 AS pos, substr(t, greatest(i - 30, 1), i + 31 - greatest(i - 30, 1)) AS context FROM p""")
+def repair_contexts(spark, d):
+    u = _units(spark, d).where(F.col("content").contains(T.LOST)).select("unit_id", F.explode(T.repair_contexts(F.col("content"))).alias("r"))
+    return u.select("unit_id", F.col("r.pos").cast("bigint").alias("pos"), F.col("r.context").alias("context"))
+
+
+_ONCE = lambda t, a, b: f"CASE WHEN contains({t}, '{a}') THEN left({t}, strpos({t}, '{a}') - 1) || '{b}' || substr({t}, strpos({t}, '{a}') + {len(a)}) ELSE {t} END"
+_EDITS = (("the ", "THE "), ("THE ", "a "), ("of a", "of one"), ("every", "each"))
+
+
+def _edits_sql(column: str) -> str:
+    """Each edit in its own subquery, so that the text is not written out again and again."""
+    inner = f"SELECT unit_id, coalesce({column}, '') AS t, 0 AS h FROM units"
+    for a, b in _EDITS:
+        inner = f"SELECT unit_id, {_ONCE('t', a, b)} AS t, h + contains(t, '{a}')::INT AS h FROM ({inner})"
+    return inner
+
+
+@query(f"SELECT unit_id, c.t AS content, p.t AS proof, c.h + p.h AS hits FROM ({_edits_sql('content')}) c JOIN ({_edits_sql('proof')}) p USING (unit_id)")
 def first_occurrence_fixes(spark, d):
-    fix = F.array(F.struct(F.lit("the ").alias("find"), F.lit("THE ").alias("replace")))
-    done = _units(spark, d).select("unit_id", T.apply_once(F.col("content"), fix).alias("r"))
-    return done.select("unit_id", F.col("r.text").alias("edited"), F.col("r.hits").alias("hits"))
+    """Edits that follow on each other, in content and proof."""
+    fixes = F.array(*[F.struct(F.lit(a).alias("find"), F.lit(b).alias("replace")) for a, b in _EDITS])
+    done = _units(spark, d).select("unit_id", T.apply_once(F.col("content"), fixes).alias("c"), T.apply_once(F.col("proof"), fixes).alias("p"))
+    return done.select("unit_id", F.col("c.text").alias("content"), F.col("p.text").alias("proof"), (F.col("c.hits") + F.col("p.hits")).alias("hits"))
 
 
 @query("SELECT _doc_id, CAST(floor((row_number() OVER (PARTITION BY _doc_id ORDER BY unit_id) - 1) / 8) AS INTEGER) AS batch, unit_id FROM units WHERE contains(content, chr(65533)) OR contains(proof, chr(65533))")
@@ -459,11 +437,6 @@ def repair_batches(spark, d):
     return repair.batches(_units(spark, d).select("_doc_id", "unit_id", "content", "proof")).select("_doc_id", "batch", "unit_id")
 
 
-@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
-def json_payloads(spark, d):
-    return _t(spark, d, "events").select("event_id", F.from_json("props", "struct<k:int>")["k"].alias("k"))
-
-
 @query()
 def located_gold(spark, d):
     g = _side(spark, d, "gold").select("_doc_id", "unit_id", "label", "content")
@@ -473,3 +446,64 @@ def located_gold(spark, d):
 @query("SELECT method, env, count(*) AS units FROM units GROUP BY 1, 2")
 def env_histogram(spark, d):
     return _units(spark, d).groupBy("method", "env").agg(F.count(F.lit(1)).alias("units"))
+
+
+@query(f"WITH {_PAIRSQL.replace('pairs._doc_id,', 'pairs._doc_id, gold_id, pred_id,')}, e AS (SELECT gold_id, pred_id, abs(length(gt) - length(pt)) AS gap FROM s) SELECT gold_id, pred_id, gap FROM e ORDER BY gap DESC, gold_id LIMIT 8")
+def worst_units_by_length(spark, d):
+    """The largest differences first; the lengths stand for the edit distance, which the evaluation queries compare."""
+    g, p = _sides(spark, d)
+    pairs = metrics.with_units(match.match_labels_v2(g, p).select("gold_id", "pred_id"), g, p)
+    gap = F.abs(F.length(T.strip_latex(F.col("g.content"))) - F.length(T.normalize_ocr(F.col("p.content")))).cast("bigint")
+    return dedup.worst(pairs.select("gold_id", "pred_id", gap.alias("gap")), F.col("gap"), 8, descending=True, seq="gold_id")
+
+
+# --- outside models -------------------------------------------------------------------------------
+
+_PAGE_WORDS = "definition|theorem|lemma|corollary|proposition|remark|example|exercise|proof"
+
+
+@query(f"""WITH {_LATEST}, pg AS (SELECT doc_id, page_id, blocks, len(list_filter(blocks, lambda b: regexp_matches(lower(coalesce(b.text, '')), '{_PAGE_WORDS}'))) > 0 AS asked,
+ list_filter(list_transform(blocks, lambda b: CASE WHEN b.block_type = 'heading' THEN regexp_replace(coalesce(b.text, ''), '^\\s+|\\s+$', '', 'g') END), lambda t: regexp_matches(t, '^(\\d+)\\.(\\d+)\\s+(.+)')) AS heads FROM scan),
+c AS (SELECT doc_id, page_id, blocks, asked, last_value(CASE WHEN asked AND len(heads) > 0 THEN heads[-1] END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_id) AS line FROM pg)
+SELECT doc_id || '/' || page_id AS key, coalesce(regexp_extract(line, '^(\\d+)\\.(\\d+)\\s+(.+)', 3), '') AS section, coalesce(TRY_CAST(regexp_extract(line, '^(\\d+)\\.(\\d+)\\s+(.+)', 2) AS INTEGER), 0) AS section_number, list_transform(blocks, lambda b: coalesce(b.text, '')) AS texts FROM c WHERE asked AND len(blocks) > 0""")
+def asked_pages(spark, d):
+    """The pages a model is asked for, with the section in force and the texts it sees."""
+    pages = page_model.carry_asked_section(layout.latest_scans(_t(spark, d, "ocr_pages")))
+    asked = pages.where((F.size("blocks") > 0) & page_model.has_unit_words(F.col("blocks")))
+    return asked.select(F.concat_ws("/", "doc_id", "page_id").alias("key"), "section", "section_number", F.transform(page_model.simple_blocks(F.col("blocks")), lambda b: b["text"]).alias("texts"))
+
+
+def _answers(spark, d):
+    """Answers as a model might give them, a fenced JSON array per page, made from the units of one method."""
+    u = _side(spark, d, "llm").where("_page_id IS NOT NULL AND _doc_id IS NOT NULL")
+    spans = F.transform("_formula_spans", lambda s: F.struct(s["text"].alias("text"), s["source_block"].alias("source_block")))
+    item = F.struct(F.col("unit_id").alias("n"), F.lit("p999").alias("page_id"), F.upper("env").alias("unit_type"), F.col("label").alias("title"), F.col("content").alias("statement_text"), F.col("_source_blocks").alias("source_blocks"), F.reverse("_source_blocks").alias("reading_order"), (F.col("unit_index") % 7 / 5).alias("confidence_score"), spans.alias("formula_spans"))
+    packed = u.groupBy(F.col("_doc_id").alias("doc_id"), F.col("_page_id").alias("page_id")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    raw = packed.select("doc_id", "page_id", F.concat(F.lit("Here it is:\n```json\n"), F.to_json("items"), F.lit("\n```")).alias("raw_output"), F.array().cast("array<int>").alias("candidate_source_blocks"))
+    return postprocess.with_valid_ids(raw, _t(spark, d, "ocr_pages"))
+
+
+_KEPT = "list_filter(sb, lambda x, i: list_contains(valid, x) AND list_position(sb, x) = i)"
+_ANSWERED = f"""v AS (SELECT doc_id, page_id, list_distinct(flatten(list(list_transform(blocks, lambda b: b.block_id)))) AS valid FROM ocr_pages GROUP BY 1, 2),
+a AS (SELECT _doc_id AS doc_id, _page_id AS page_id, row_number() OVER (PARTITION BY _doc_id, _page_id ORDER BY unit_id) AS seq, env, label, content, coalesce(_source_blocks, []) AS sb, unit_index, _formula_spans AS fs, coalesce(valid, []) AS valid FROM units LEFT JOIN v ON v.doc_id = _doc_id AND v.page_id = _page_id WHERE method = 'llm' AND _doc_id IS NOT NULL AND _page_id IS NOT NULL),
+b AS (SELECT *, {_KEPT} AS source_blocks FROM a)"""
+
+
+@query(f"""WITH {_ANSWERED}, o AS (SELECT doc_id, page_id, source_blocks, min(seq) AS seq FROM b WHERE len(source_blocks) > 0 GROUP BY 1, 2, 3) SELECT doc_id, page_id, printf('cand_%s_%02d', page_id, row_number() OVER (PARTITION BY doc_id, page_id ORDER BY seq)) AS candidate_id, source_blocks FROM o""")
+def answer_candidates(spark, d):
+    return postprocess.stage1(_answers(spark, d))
+
+
+@query(f"""WITH {_ANSWERED}, c AS (SELECT *, CASE lower(env) WHEN 'def' THEN 'definition' WHEN 'definition' THEN 'definition' WHEN 'thm' THEN 'theorem' WHEN 'theorem' THEN 'theorem' WHEN 'lem' THEN 'lemma' WHEN 'lemma' THEN 'lemma' WHEN 'prop' THEN 'proposition' WHEN 'proposition' THEN 'proposition' WHEN 'cor' THEN 'corollary' WHEN 'corollary' THEN 'corollary' WHEN 'ex' THEN 'example' WHEN 'example' THEN 'example' ELSE 'other' END AS unit_type,
+ {_COLLAPSE('label')} AS title, {_COLLAPSE('content')} AS statement_text, list_filter(list_transform(coalesce(fs, []), lambda s, i: struct_pack(formula_id := printf('f_%s_%02d', page_id, i), text := {_COLLAPSE('s.text')}, source_block := s.source_block)), lambda s: s.text <> '' AND list_contains(valid, s.source_block)) AS formula_spans,
+ round(least(unit_index % 7 / 5, 1), 4) AS confidence_score, list_filter(list_reverse(sb), lambda x, i: list_contains(valid, x) AND list_position(list_reverse(sb), x) = i) AS ro FROM b WHERE len(source_blocks) > 0),
+e AS (SELECT *, CASE WHEN len(ro) > 0 AND len(list_filter(ro, lambda x: NOT list_contains(source_blocks, x))) = 0 THEN ro ELSE source_blocks END AS reading_order FROM c WHERE statement_text <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, page_id, source_blocks, unit_type, lower(statement_text) ORDER BY confidence_score DESC, seq) = 1)
+SELECT doc_id, page_id, printf('pred_%s_%02d', page_id, row_number() OVER (PARTITION BY doc_id, page_id ORDER BY source_blocks, seq)) AS unit_id, unit_type, title, statement_text, formula_spans, source_blocks, reading_order, confidence_score, '' AS notes FROM e""")
+def answer_units(spark, d):
+    return postprocess.stage2(_answers(spark, d))
+
+
+@query()
+def built_gold(spark, d):
+    g = _side(spark, d, "gold").select("_doc_id", "unit_id", "label", "env", "content")
+    return gold.built_gold(g, _blocks(spark, d))[0]

@@ -40,9 +40,29 @@ def evaluate(gold: DataFrame, pred: DataFrame, family: str = "v2", book: str = "
     else:
         pairs = match.match_units(gold, pred, book).select(book, "gold_id", "pred_id")
     pairs = materialize(pairs)
-    scored = metrics.pair_scores(metrics.with_units(pairs, gold, pred), family)
-    edges = metrics.boundary_scores(pairs, gold, pred, [book])
-    return edges.join(metrics.summary(scored, [book]).drop("matched"), book, "left")
+    scored = metrics.summary(metrics.pair_scores(metrics.with_units(pairs, gold, pred), family), [book]).drop("matched")
+    if family == "v1":
+        # This family counts distinct labels, not units.
+        one = lambda df, c: df.where(F.col(c).isNotNull()).select(book, "key").distinct()
+        every = match.match_labels_v1(gold, pred, book)
+        edges = metrics.boundary_scores(pairs, one(every, "gold_id"), one(every, "pred_id"), [book])
+        books = gold.select(book).unionByName(pred.select(book)).distinct()
+        edges = books.join(edges, book, "left").fillna(0)
+    else:
+        edges = metrics.boundary_scores(pairs, gold, pred, [book])
+    # Without a matched pair every mean is 0, but the edit distance 1.
+    worst = {"edit": 1.0}
+    joined = edges.join(scored, book, "left")
+    return joined.select(*[F.coalesce(F.col(c), F.lit(worst.get(c, 0.0))).alias(c) if c in scored.columns and c != book else F.col(c) for c in joined.columns])
+
+
+def evaluate_pooled(gold: DataFrame, pred: DataFrame, book: str = "_doc_id") -> DataFrame:
+    """One row: units are matched per book, the pairs of all books scored together."""
+    pairs = materialize(match.match_units(gold, pred, book).select("gold_id", "pred_id"))
+    one = F.lit(1).alias("all")
+    edges = metrics.boundary_scores(pairs.select(one), gold.select(one), pred.select(one), ["all"])
+    scored = metrics.summary(metrics.pair_scores(metrics.with_units(pairs, gold, pred)).withColumn("all", F.lit(1)), ["all"]).drop("matched")
+    return edges.join(scored, "all", "left").drop("all")
 
 
 def rerun_needed(stats: DataFrame, wanted: DataFrame) -> DataFrame:

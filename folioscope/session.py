@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,23 +29,44 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset (local
-    tests) a folder of our own, which is then remembered in the session."""
+    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset and the master is
+    local (tests) a folder of our own, which is then remembered in the session and removed at exit."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="folioscope-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="folioscope-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = "file://" + own
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _remove_written() -> None:
+    """Deletes what :func:`materialize` wrote, as far as the sessions still answer."""
+    for spark, path in _written:
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:
+            return
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below :func:`shared_dir` and read it again.
 
     Cuts the lineage like ``checkpoint()``, but columnar and compressed, so later passes read only
-    the columns they need. The files outlive executors.
+    the columns they need. The files outlive executors; they are removed when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioscope-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -11,6 +11,7 @@ KINDS = {
     "remark": ("remark", "rem"),
     "exercise": ("exercise", "exr"),
 }
+# Names and valid values of types and environments.
 KEYWORDS = tuple(k.capitalize() for k in KINDS)
 TYPE_TO_ENV = {t: e for t, e in KINDS.values()} | {"other": "rem"}
 VALID_ENVS_V2 = ("def", "thm", "lem", "prop", "cor", "ex", "rem", "exr")
@@ -38,7 +39,6 @@ TYPE_GROUPS = {
 # Spellings a model may use for a unit type.
 TYPE_ALIASES = {
     "def": "definition",
-    "defn": "definition",
     "definition": "definition",
     "thm": "theorem",
     "theorem": "theorem",
@@ -52,9 +52,6 @@ TYPE_ALIASES = {
     "example": "example",
     "other": "other",
 }
-# Container keys a foreign page record may use for its blocks, in order of preference.
-BLOCK_KEYS = ("blocks", "items", "layout_blocks", "elements")
-
 # Abbreviations of kind words in labels and citations.
 KIND_ABBREVIATIONS = {
     "def": "definition",

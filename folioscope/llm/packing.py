@@ -11,7 +11,7 @@ contents packed across shards.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -228,52 +228,62 @@ class _Shard:
         self.kept = self.kept[kept]
         self._find_spans()
 
-    def scores(self, seed: int) -> np.ndarray:
-        """The scores of the items in ``kept`` for an item's terms."""
-        spans = [slice(*self.spans[t]) for t in self.query[seed].tolist() if t in self.spans]
-        if not spans:
-            return np.zeros(len(self.kept))
-        return np.bincount(np.concatenate([self.items[s] for s in spans]), weights=np.concatenate([self.weights[s] for s in spans]), minlength=len(self.kept))
+    def scores(self, seed: int, first: int | None = None) -> np.ndarray:
+        """The scores of the items in ``kept`` (the ``first`` so many of them) for an item's terms."""
+        count = len(self.kept) if first is None else first
+        picked = []
+        for t in self.query[seed].tolist():
+            if t in self.spans:
+                start, end = self.spans[t]
+                picked.append(slice(start, end if first is None else start + int(self.items[start:end].searchsorted(count))))
+        if not picked:
+            return np.zeros(count)
+        return np.bincount(np.concatenate([self.items[s] for s in picked]), weights=np.concatenate([self.weights[s] for s in picked]), minlength=count)
 
 
 def pack(tokens: list[int], terms: list[np.ndarray], counts: list[np.ndarray], capacity: int, idf: np.ndarray) -> list[list[int]]:
-    """Containers (lists of item numbers) by retrieval: see the module's first lines. Every item is placed once."""
-    index = _Shard(terms, counts, idf)
-    size = np.asarray(tokens, np.int64)
-    unused = np.ones(len(tokens), bool)
-    by_size: list[tuple[int, int]] = sorted((tokens[i], -i) for i in range(len(tokens)))
+    """Containers (lists of item numbers) by retrieval: see the module's first lines. Every item is placed once.
+
+    Inside, items are numbered by size, so that what fits into a room is the beginning of every posting list.
+    """
+    order = np.argsort(np.asarray(tokens, np.int64), kind="stable")
+    size = np.asarray(tokens, np.int64)[order]
+    index = _Shard([terms[i] for i in order], [counts[i] for i in order], idf)
+    unused = np.ones(len(order), bool)
+    left = list(range(len(order)))
     out: list[list[int]] = []
 
     def take(i: int) -> None:
         unused[i] = False
-        del by_size[bisect_right(by_size, (tokens[i], -i)) - 1]
+        del left[bisect_left(left, i)]
 
-    for seed in sorted(range(len(tokens)), key=lambda i: (-tokens[i], i)):
-        if not unused[seed]:
-            continue
+    while left:
+        seed = left[-1]
         take(seed)
-        box, room = [seed], capacity - tokens[seed]
-        if room > 0 and by_size and by_size[0][0] <= room:
-            if 2 * len(by_size) < len(index.kept):
+        box, room = [seed], capacity - int(size[seed])
+        if room > 0 and left and size[left[0]] <= room:
+            if 2 * len(left) < len(index.kept):
                 index.drop(unused)
-            score = index.scores(seed)
-            fits = np.flatnonzero((score > 0) & unused[index.kept] & (size[index.kept] <= room))
-            near = index.kept[fits[np.argsort(-score[fits], kind="stable")]]
-            while len(near) and room > 0:
-                # The nearest neighbour that still fits; those before it are too large for good.
-                at = int(np.argmax(size[near] <= room))
-                if size[near[at]] > room:
+            sizes = size[index.kept]
+            fit = int(np.searchsorted(sizes, room, side="right"))
+            score = index.scores(seed, fit) * unused[index.kept[:fit]]
+            # The nearest neighbour that still fits, again and again; a box takes a few, so nothing is sorted.
+            while fit and room > 0:
+                at = int(np.argmax(score[:fit]))
+                if score[at] <= 0:
                     break
-                take(int(near[at]))
-                box.append(int(near[at]))
-                room -= tokens[near[at]]
-                near = near[at + 1 :]
-        while by_size and by_size[0][0] <= room:
-            i = -by_size[bisect_right(by_size, (room, 1)) - 1][1]
+                score[at] = 0.0
+                i = int(index.kept[at])
+                take(i)
+                box.append(i)
+                room -= int(size[i])
+                fit = int(np.searchsorted(sizes[:fit], room, side="right"))
+        while left and size[left[0]] <= room:
+            i = left[bisect_right(left, int(np.searchsorted(size, room, side="right")) - 1) - 1]
             take(i)
             box.append(i)
-            room -= tokens[i]
-        out.append(box)
+            room -= int(size[i])
+        out.append([int(order[i]) for i in box])
     return out
 
 

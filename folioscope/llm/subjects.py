@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -28,7 +29,7 @@ from folioscope.session import materialize, small_enough, spread
 LEAST, MARGIN = 2.5, 0.7
 #: A hand label is trusted if this share of its document's subject-bearing sentences bears it out.
 BORNE_OUT = 0.12
-_CHUNK = 200_000
+_CHUNK = 500_000
 
 
 def _hashed(words: pa.Array) -> np.ndarray:
@@ -89,6 +90,8 @@ class _Docs:
         inside = sent[1:] == sent[:-1]
         self.words = len(w)
         self.terms = np.concatenate([w, _pair_ids(w[:-1][inside], w[1:][inside])])
+        # Each distinct term is looked at once; hashing is several times as fast as sorting here.
+        self.code, self.distinct = pd.factorize(self.terms)
         self.sent = np.concatenate([sent, sent[:-1][inside]])
         self.given = np.zeros((self.n, k))
         listed = pc.list_parent_indices(given).to_numpy()
@@ -100,9 +103,9 @@ class _Docs:
         if weights is None or not len(weights[0]):
             return np.full(len(self.lens), -1), np.zeros(len(self.terms), bool)
         known, w = weights
-        at = np.minimum(np.searchsorted(known, self.terms), len(known) - 1)
-        hit = known[at] == self.terms
-        once = np.unique(self.sent[hit] * np.int64(len(known)) + at[hit])
+        at = np.minimum(np.searchsorted(known, self.distinct), len(known) - 1)
+        hit = (known[at] == self.distinct)[self.code] if len(self.distinct) else np.zeros(0, bool)
+        once = pd.unique(self.sent[hit] * np.int64(len(known)) + at[self.code[hit]])
         sent, term = once // len(known), once % len(known)
         score = np.column_stack([np.bincount(sent, weights=w[term, i], minlength=len(self.lens)) for i in range(self.k)])
         return _best(score), hit
@@ -124,10 +127,11 @@ class _Docs:
     def patterns(self, hit: np.ndarray) -> np.ndarray:
         """What each sentence says beside verified words: the sum of its other distinct words' ids."""
         rest = np.flatnonzero(~hit[: self.words])
-        pair = np.unique(np.stack([self.sent[rest], self.terms[rest]]), axis=1) if len(rest) else np.zeros((2, 0), np.int64)
+        many = np.int64(max(len(self.distinct), 1))
+        pair = pd.unique(self.sent[rest] * many + self.code[rest])
         out = np.zeros(len(self.lens), np.int64)
         with np.errstate(over="ignore"):
-            np.add.at(out, pair[0], pair[1])
+            np.add.at(out, pair // many, self.distinct[pair % many])
         return out
 
 
@@ -238,8 +242,8 @@ def term_sums(docs: DataFrame, weights: DataFrame | None, k: int, before: DataFr
                     moved += int((was.argmax(axis=1) != counts.argmax(axis=1)).sum())
                     # The mean of two rounds: without it, documents between two subjects swing for ever.
                     post = (post + own.posteriors(was)[0]) / 2
-                distinct, code = np.unique(own.terms, return_inverse=True)
-                pair = np.unique(own.doc_of_sent[own.sent] * np.int64(len(distinct)) + code)
+                distinct = own.distinct
+                pair = pd.unique(own.doc_of_sent[own.sent] * np.int64(len(distinct)) + own.code)
                 doc, term = pair // max(len(distinct), 1), pair % max(len(distinct), 1)
                 n = np.bincount(term, minlength=len(distinct))
                 held = np.bincount(term, weights=seed[doc], minlength=len(distinct)).astype(np.int64)

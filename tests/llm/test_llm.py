@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioscope.llm import lexicon, lookalikes, markup, mixing, packing, scans, subjects, survivors, truncation
@@ -20,6 +22,8 @@ def test_same_look(spark):
     got = {(r.unit_id_a, r.unit_id_b) for r in lookalikes.same_look_pairs(texts(spark, rows)).collect()}
     assert got == {(1, 2), (1, 3), (2, 3), (2, 10), (3, 10)}
     assert lookalikes.same_look_pairs(texts(spark, [])).count() == 0
+    members = {r.unit_id: (r.class_id, r.form_id, r.forms, r.records) for r in lookalikes.same_look_members(texts(spark, rows)).collect()}
+    assert members == {1: (1, 1, 3, 4), 2: (1, 2, 3, 4), 3: (1, 3, 3, 4), 10: (1, 1, 3, 4)}
     forms = {r.unit_id: r.canonical for r in lookalikes.canonical_text(texts(spark, rows), "unit_id", "content").collect()}
     assert forms[1] == forms[2] == forms[3] and forms[9] is None and forms[5] != forms[6]
 
@@ -46,6 +50,18 @@ def test_families_by_path_votes(spark):
     assert {i: got.get(i, set()) for i in range(len(SAMPLES))} == dict(enumerate(SAMPLES.values()))
 
 
+def test_the_host_vote_decides(spark):
+    """A quote without words is markup where the host quotes, and none where its lines are wrapped formulas."""
+    quoting = [("a", i, "So.\n\n> A quoted line of plain words.") for i in range(20)] + [("a", 50, "So.\n\n> x = 3 +\n> y")]
+    wrapping = [("b", 100 + i, "it holds.\n> 3 + x, <\n> 7") for i in range(20)]
+    df = spark.createDataFrame(quoting + wrapping, "host string, id bigint, text string")
+    found = {r.id for r in markup.markup_families(df).collect()}
+    alone = {r.id for r in markup.markup_families(df, votes=False).collect()}
+    assert found == {*range(20), 50} and alone == {*range(20)}
+    clean = {r.id: r.clean for r in markup.clean_texts(df).collect()}
+    assert clean[50] == "So.\n\nx = 3 +\ny" and clean[100] == "it holds.\n> 3 + x, <\n> 7"
+
+
 def test_clean_text_keeps_structure(spark):
     clean = markup.clean_text("<h3>Title</h3>\n<ul><li>one two</li></ul><pre><code>x &lt; 1</code></pre>\\[ a = b \\] [[A|b]] **c**")
     assert "# Title" in clean and "- one two" in clean and "```\nx < 1\n```" in clean and "$ a = b $" in clean and "b c" in clean
@@ -112,6 +128,26 @@ def test_planted_cuts(spark):
     assert {r.length for r in lengths} == {120}
 
 
+def test_significant_lengths_judge_the_endings(spark):
+    """Unpunctuated notes, never seen at the limit, are no cuts; without the test of the lengths they would be."""
+    rng = random.Random(6)
+    words = "alpha beta gamma delta space group kernel module".split()
+    rows, want = [], set()
+    for i in range(3000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(5, 60)))
+        text += " = 7" if i % 10 == 0 else "."
+        if i % 3 == 0 and len(text) > 120:
+            text = text[:120]
+            if text[-1].isalpha() or text[-1] == " ":
+                want.add(i)
+        rows.append((i, "d", "m", "Lemma 1.2", text, [1, 2], None))
+    df = spark.createDataFrame(rows, TR)
+    got = {r.unit_id for r in truncation.cut_values(df).collect()}
+    plain = {r.unit_id for r in truncation.cut_values(df, hazards=False).collect()}
+    notes = {i for i in range(0, 3000, 10) if rows[i][4].endswith(" = 7")}
+    assert want <= got and not (notes - want) & got and notes - want <= plain
+
+
 def test_endings(spark):
     cases = [("Theor", "It holds.", True, False), ("Theorem 1.", "the relation is: x² + y² = 4", True, False), ("Theorem 1.2.", "the sum y1 + y2 + ...", False, True), ("Remark", "It holds for ea…", False, True), ("Lemma 1.2 (Zorn", "It holds. ∎", True, False), (None, None, False, False), (" ", "", False, False), ("Lem. 1.2 (Zorn)", "<p>So.</p>", False, False), ("Def. 1.2", "whenever 0 < x", False, True)]
     rows = [(i, "d", None, lab, con, [1, 2] if lab and any(c.isdigit() for c in lab) or lab == "Theor" else None, None) for i, (lab, con, _, _) in enumerate(cases)]
@@ -131,28 +167,98 @@ def test_long_last_pieces(spark):
 # --- scans ----------------------------------------------------------------------------------------
 
 
-def test_lines_of_a_scan():
-    model = scans.LineModel()
-    ordinary = {"following": 50, "the": 99, "every": 60, "space": 40}
-    noise = scans.noise_of("For the follow-\n12  ELEMENTS OF LOGIC\n[12]\ning space we\nhave more.", model, ordinary)
-    assert noise == {"hyphenation", "header", "page_number"}
-    assert scans.noise_of("One bare line\nbreak is none.", model, ordinary) == set()
-    correct = lexicon.Corrector(ordinary, ratio=2)
-    fixed = scans.repair_text("For thc follow-\n12  ELEMENTS OF LOGIC\ning spa�e\nwe go.\n\n- item", model, ordinary, correct)
-    assert fixed == "For the following space we go.\n\n- item"
-    assert scans.repair_text(None, model, ordinary, correct) is None
-
-
-def test_misread_words():
-    correct = lexicon.Corrector({"every": 500, "which": 300, "group": 200, "lemma": 90, "centre": 50}, ratio=20)
-    assert [correct(w) for w in ("evcry", "wh1ch", "gr�up", "groiip", "lernma")] == ["every", "which", "group", "group", "lemma"]
-    assert [correct(w) for w in ("center", "v1", "L2", "�", "every")] == [None] * 5
+def labels_of(model, text):
+    return [scans.STATES[x] for x in model.label(scans.Lines(pa.array([text])))]
 
 
-def test_words_with_many_misread_letters():
-    correct = lexicon.Corrector({"possesses": 500, "collineation": 400, "accessibilities": 300, "group": 200}, ratio=20)
-    assert [correct(w) for w in ("p0ssesse5", "p055e55e5", "c0ll1ne4ti0n", "acccssibilities", "accessibilitics", "acc\ufffdssibilitics")] == ["possesses", "possesses", "collineation", "accessibilities", "accessibilities", "accessibilities"]
-    assert [correct(w) for w in ("possess", "0000", "gr")] == [None] * 3
+def test_lines_of_a_scan():
+    model = scans.train()
+    text = "For the follow-\n12  ELEMENTS OF LOGIC\n[12]\ning space we\nhave more."
+    assert labels_of(model, text) == ["break", "header", "page_number", "body", "body"]
+    assert labels_of(model, "One bare line\nbreak is none.") == ["body", "body"]
+    lines = scans.Lines(pa.array([text]))
+    assert list(scans._splits(lines, model.label(lines))) == [(0, "follow-ing")]
+    fixed = scans.reassemble((text + "\n\n- item thc").split("\n"), [1, 2, 3, 0, 0, 0, 0], {"thc": "the"}, {"follow-ing"})
+    assert fixed == "For the following space we have more.\n\n- item the"
+    assert scans.reassemble(["well-", "founded sets"], [1, 0], {}, set()) == "well-founded sets"
+
+
+def test_the_line_model_decides():
+    """The same line has another label in another context, which no pattern of a single line can give."""
+    model = scans.train()
+    assert labels_of(model, "we have x² + y² =\n12") == ["body", "body"]
+    assert labels_of(model, "we have the space\n12") == ["body", "page_number"]
+    # Flat chances make the labels depend on single lines alone.
+    model.gain[:] = 0.0
+    model.base[:] = 0.0
+    assert "page_number" not in labels_of(model, "we have the space\n12")
+
+
+def test_training_learns_the_corpus():
+    """Running heads of a look the examples don't have are learned from blocks at the page's edge."""
+    rng = random.Random(8)
+    heads = [f"Annales Tom {rng.randint(1, 60)} Livre" for _ in range(80)]
+    body = ["the following holds for every space of this kind and so on"] * 300
+    texts, place = heads + body, [scans.EDGE] * 80 + [scans.READING] * 300
+    model = scans.train(pa.array(texts), np.array(place))
+    got = model.label(scans.Lines(pa.array(texts)), np.array(place))
+    assert (got[:80] >= scans.HEADER).all() and (got[80:] < scans.HEADER).all()
+
+
+def brute_meant(word, n, ordinary, ratio=20.0):
+    """What a misread word means, by trying every ordinary word."""
+    lost = word.count(lexicon.LOST)
+    digits = any(c.isdigit() for c in word)
+    if len(word) - lost < 2:
+        return None
+    if lost > 1:
+        fit = [(0, m, o) for o, m in ordinary.items() if len(o) == len(word) and (s := lexicon.undone(word, o)) is not None and all(a in (b, lexicon.LOST) or a.isdigit() for a, b in zip(word, o))]
+        return max(fit)[2] if fit and sum(c.isalpha() and c != lexicon.LOST for c in word) >= 2 else None
+    fit = [(-s if lost else 0, m, o) for o, m in ordinary.items() if o != word and (s := lexicon.undone(word, o)) is not None and (lost or m >= (1 if digits else ratio) * n) and not (digits and len(word) == 2 and m < ratio * n)]
+    return max(fit)[2] if fit else None
+
+
+def misread(spark, ordinary, words):
+    rows = [(w, n, n) for w, n in ordinary.items()] + [(w, 1, 1) for w in words if w not in ordinary]
+    counts = spark.createDataFrame(rows, "word string, n bigint, small bigint")
+    return {r.word: r.meant for r in lexicon.misread_words(counts).collect()}
+
+
+def test_misread_words(spark):
+    ordinary = {"every": 500, "which": 300, "group": 200, "lemma": 90, "centre": 50, "of": 900, "possesses": 500, "collineation": 400, "accessibilities": 300, "début": 80}
+    want = {"evcry": "every", "wh1ch": "which", "gr�up": "group", "groiip": "group", "lernma": "lemma", "0f": "of", "p0ssesse5": "possesses", "p055e55e5": "possesses", "c0ll1ne4ti0n": "collineation", "acccssibilities": "accessibilities", "accessibilitics": "accessibilities", "acc�ssibilitics": "accessibilities", "dé8ut": "début", "gr��p": "group"}
+    others = ["center", "v1", "l2", "�", "possess", "0000", "gr", "c1"]
+    got = misread(spark, ordinary, [*want, *others])
+    assert got == want
+    assert {w: m for w in [*want, *others] if (m := brute_meant(w, 1, ordinary))} == want
+
+
+def test_misread_words_against_brute_force(spark):
+    rng = random.Random(12)
+    ordinary = {"".join(rng.choice("aeilmncdhubrwo") for _ in range(rng.randint(3, 8))): rng.randint(5, 4000) for _ in range(150)}
+    words = set()
+    for o in rng.sample(sorted(ordinary), 120):
+        w = o
+        for _ in range(rng.randint(1, 3)):
+            a, b = rng.choice([(x, y) for x, ys in lexicon.CONFUSED.items() if x != "|" for y in ys] + [("�", c) for c in "aeiou"])
+            w = w.replace(b, a, 1)
+        words.add(w)
+    words = {w for w in words if w not in ordinary}
+    got = misread(spark, ordinary, words)
+    known = {w: n for w, n in ordinary.items() if n >= 5}
+    assert {w: got.get(w) for w in words} == {w: brute_meant(w, 1, known) for w in words}
+
+
+def test_own_hyphens_are_kept(spark):
+    """A compound that the corpus writes with its hyphen is no split word, a word it writes whole is."""
+    plain = ["the torsion-free group of the following kind"] * 6
+    rows = [(i, t) for i, t in enumerate([*plain, "a torsion-\nfree group", "the follow-\ning kind", "the unseen-\nish word"])]
+    units = spark.createDataFrame(rows, "unit_id bigint, content string")
+    pages = spark.createDataFrame([], "scan_id bigint, page_height double, blocks array<struct<block_id:int,block_type:string,text:string,bbox:array<double>,font_size:double,is_bold:boolean>>")
+    got = {r.record_id for r in scans.scan_noise(units, pages).collect() if r.noise == "hyphenation"}
+    assert got == {7, 8}
+    fixed = {r.record_id: r.text for r in scans.repaired(units, pages).collect()}
+    assert fixed[6] == "a torsion-free group" and fixed[7] == "the following kind"
 
 
 def test_scan_noise_of_tables(spark):
@@ -162,6 +268,11 @@ def test_scan_noise_of_tables(spark):
     pages = spark.createDataFrame([(7, 666.0, page), (8, None, None), (9, 666.0, [])], f"scan_id bigint, page_height double, blocks {block}")
     got = {tuple(r) for r in scans.scan_noise(units, pages).collect()}
     assert ("block", 7, 0, "page_number") in got and ("unit", 1, -1, "misread") in got and not any(r[2] == 1 for r in got)
+    long = "A Course in the Theory of Very Long Running Heads that Go On and On Beyond Any Limit of Ninety Characters | 12"
+    page = [(0, "text", long, [50.0, 10.0, 60.0, 20.0], 8.0, False), (1, "text", "Page 12.", [50.0, 300.0, 60.0, 310.0], 10.0, False)]
+    pages = spark.createDataFrame([(7, 666.0, page)], f"scan_id bigint, page_height double, blocks {block}")
+    assert {tuple(r) for r in scans.scan_noise(units.limit(0), pages).collect()} == {("block", 7, 0, "header")}
+    assert scans.scan_noise(units.limit(0), pages.limit(0)).count() == 0 and scans.repaired(units.limit(0), pages.limit(0)).count() == 0
 
 
 # --- survivors ------------------------------------------------------------------------------------
@@ -192,6 +303,23 @@ def test_surviving_values(spark):
     assert survivors.surviving(spark.createDataFrame([], SV), methods).count() == 0
 
 
+def test_the_iteration_decides(spark):
+    """Two sources agree on a noisy wording; only what the other groups teach about noise makes the clean one survive."""
+    rows, clean = [], "Let A be a space with some property. Then every map of A is open."
+    noisy = clean.replace("space", "sp\ufffdce")
+    n = 0
+    for g in range(60):
+        for m, text in (("gold", clean), ("rule", noisy)) if g else (("gold", clean), ("rule", noisy), ("llm", noisy)):
+            n += 1
+            rows.append((n, "d", g, "Lemma 1.4", f"{text}", [1, 4], m, None, "x"))
+    df, methods = spark.createDataFrame(rows, SV), spark.createDataFrame([("gold", 3), ("llm", 1), ("rule", 2)], "method string, trust_rank int")
+    settled = {r.content_from for r in survivors.surviving(df, methods).collect() if r.group_id == 1}
+    equal = {r.content_from for r in survivors.surviving(df, methods, rounds=0).collect() if r.group_id == 1}
+    assert settled == {1} and equal != {1}
+    told = survivors.reliabilities(df, methods).where("field = 'content'").collect()
+    assert all(r.converged for r in told) and {r.condition: r.reliability > 0.5 for r in told} == {"whole clean": True, "whole noisy": False}
+
+
 # --- packing --------------------------------------------------------------------------------------
 
 
@@ -219,7 +347,7 @@ def test_null_and_repeated_ids_are_packed(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     sizes = spark.createDataFrame([("s", 128)], "profile string, capacity_tokens int")
     out = packing.packed_containers(docs, sizes).collect()
-    size = {r.doc_id: r.n_tokens for r in packing.sized_documents(spark.createDataFrame([(1, "word " * 300)], "doc_id bigint, text string")).collect()}[1]
+    size = packing.packed_items(spark.createDataFrame([(1, "word " * 300)], "doc_id bigint, text string"), []).first().n_tokens
     per = -(-size // 128)
     assert len(out) == 6 + 3 * per
     assert sum(r.doc_id is None for r in out) == 2 + per and sum(r.doc_id == 5 for r in out) == 2 + 2 * per and sum(r.doc_id == big for r in out) == 1
@@ -229,6 +357,28 @@ def test_null_and_repeated_ids_are_packed(spark):
     assert max(room.values()) <= 128 and len({(r.container_id, r.slot) for r in out}) == len(out)
 
 
+def test_shards_keep_neighbours_together(spark):
+    """Texts of three vocabularies: the tree parts them, so that BM25 neighbours share a shard and a container."""
+    rng = random.Random(9)
+    kinds = [[f"{k}{i}" for i in range(30)] for k in ("alpha", "beta", "gamma")]
+    rows = [(i, " ".join(rng.choice(kinds[i % 3]) for _ in range(rng.randint(10, 40)))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sizes = spark.createDataFrame([("s", 512)], "profile string, capacity_tokens int")
+    assert packing.neighbour_recall(docs, sizes, queries=60, shard_items=200) >= 0.9
+    boxes = {}
+    for r in packing.packed_containers(docs, sizes, shard_items=200).collect():
+        boxes.setdefault(r.container_id, []).append(r.doc_id % 3)
+    pure = sum(len(set(b)) == 1 for b in boxes.values()) / len(boxes)
+    assert pure > 0.8
+
+
+def test_rests_have_their_own_terms(spark):
+    docs = spark.createDataFrame([(1, "alpha " * 300 + "omega " * 20)], "doc_id bigint, text string")
+    rest = [r for r in packing.packed_items(docs, [("s", 100)]).collect() if r.part == 0]
+    whole = [r for r in packing.packed_items(docs, [("s", 100)]).collect() if r.part == -1]
+    assert len(rest) == 1 and len(whole[0].terms) == 2 and sum(rest[0].counts) < sum(whole[0].counts) / 3
+
+
 # --- mixing ---------------------------------------------------------------------------------------
 
 
@@ -247,6 +397,23 @@ def test_shares_and_repeats(spark):
     assert mixing.mixture(spark.createDataFrame([], "doc_id bigint, text string, source string"), targets).count() == 0
 
 
+def test_text_posteriors_and_gradient_decide(spark):
+    """Documents without a source count for the source their text is like; rates follow the texts inside a source."""
+    rng = random.Random(5)
+    words = {"a": "ring ideal module field".split(), "b": "graph edge clique tree".split()}
+    text = lambda s: " ".join(rng.choice(words[s]) for _ in range(30))
+    rows = [(i, text("a"), "a") for i in range(200)] + [(i, text("b"), "a") for i in range(200, 300)] + [(i, text("b"), "b") for i in range(300, 400)] + [(900 + i, text("a"), None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source_name string, target_share double, max_repeats int")
+    drawn = {r.doc_id: (r.source, r.repeats) for r in mixing.mixture(docs, targets).collect()}
+    assert {drawn[i][0] for i in range(900, 940) if i in drawn} == {"a"}
+    still = {r.doc_id for r in mixing.mixture(docs, targets, rounds=0).collect()}
+    # Half of the texts like b's are a's, so the draw has too much that reads like a: a's own kind gives way.
+    assert sum(i in drawn for i in range(200)) < sum(i in still for i in range(200))
+    report = mixing.fit_report(docs, targets).first()
+    assert report.converged and report.accuracy > 0.6 and report.source_gap < 0.01
+
+
 # --- subjects -------------------------------------------------------------------------------------
 
 
@@ -275,6 +442,33 @@ def test_held_out_subjects(spark):
     assert sum(got.get(i) == truth[i] for i in held) / len(held) > 0.9
     assert 900 not in got and 901 not in got
     assert subjects.document_subjects(docs.limit(0), areas, labels.limit(0)).count() == 0
+    report = subjects.propagation_report(docs, areas, labels).first()
+    assert report.converged and report.rounds <= 10
+
+
+def test_trusted_seeds_are_clamped(spark):
+    """A label that the document's sentences bear out stays, whatever the rest says; one they speak against is not trusted."""
+    a, b = "Every ring has an ideal. The ring meets some ideal here.", "Every graph has an edge. The graph meets some edge here."
+    rows = [(i, (a, b)[i % 2]) for i in range(60)] + [(100, f"{a} {b} {b} {b} {b} {b}"), (101, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    areas = spark.createDataFrame([("a",), ("b",)], "subject string")
+    labels = spark.createDataFrame([(i, "ab"[i % 2], "x") for i in range(30)] + [(100, "a", "x"), (101, "b", "x")], "doc_id bigint, subject string, annotator string")
+    got = {}
+    for r in subjects.document_subjects(docs, areas, labels).collect():
+        got.setdefault(r.doc_id, set()).add(r.subject)
+    assert got[100] == {"a", "b"} and got[101] == {"a"}
+
+
+def test_large_weights_are_joined(spark, monkeypatch):
+    """Beyond the size of a broadcast the terms are joined; the result is the same."""
+    rows = [(i, f"Every {x} has a {y}. The {x} meets some {y} here. {z}") for i in range(60) for x, y, z in [(("ring", "ideal", "A coset."), ("graph", "edge", "A tree."))[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    areas = spark.createDataFrame([("a",), ("b",)], "subject string")
+    labels = spark.createDataFrame([(i, "ab"[i % 2], "x") for i in range(20)], "doc_id bigint, subject string, annotator string")
+    run = lambda: {tuple(r) for r in subjects.document_subjects(docs, areas, labels).collect()}
+    small = run()
+    monkeypatch.setattr(subjects, "small_enough", lambda df: False)
+    assert run() == small and len(small) == 60
 
 
 def test_silent_seeds_keep_their_labels(spark):

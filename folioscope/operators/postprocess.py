@@ -10,7 +10,7 @@ from folioscope.operators.dedup import keep_first
 from folioscope.vocab import TYPE_ALIASES
 
 ANSWER = "array<struct<page_id:string,unit_type:string,title:string,statement_text:string,source_blocks:string,reading_order:string,confidence_score:string,formula_spans:string,doc_id:string,notes:string>>"
-SPAN_ITEM = "array<struct<text:string,source_block:string>>"
+SPAN_ITEM = "struct<text:string,source_block:string>"
 
 
 def canonical_type(value: Column) -> Column:
@@ -46,7 +46,9 @@ def answered_spans(raw: Column, page: Column, valid: Column) -> Column:
     """
     bare = F.trim(F.coalesce(raw, F.lit("")))
     listed = F.when(bare.startswith("["), bare).when(bare.startswith("{"), F.concat(F.lit("["), bare, F.lit("]"))).otherwise(F.lit("[]"))
-    objects = F.coalesce(F.from_json(listed, SPAN_ITEM), F.array().cast(SPAN_ITEM))
+    # Entries of one list may be of several kinds, so each is read on its own.
+    entries = F.coalesce(F.from_json(listed, "array<string>"), F.array().cast("array<string>"))
+    objects = F.transform(entries, lambda e: F.from_json(e, SPAN_ITEM))
     numbered = F.transform(objects, lambda s, i: F.struct(F.format_string("f_%s_%02d", page, i + 1).alias("formula_id"), T.collapse(s["text"]).alias("text"), s["source_block"].try_cast("int").alias("source_block")))
     return F.filter(numbered, lambda s: (s["text"] != "") & F.coalesce(F.array_contains(valid, s["source_block"]), F.lit(False)))
 

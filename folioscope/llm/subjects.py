@@ -200,7 +200,7 @@ def sentence_subjects(docs: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     ranked = F.reverse(F.array_sort(F.array(*[F.struct(F.col(f"s{i}").alias("score"), (-F.lit(i)).alias("minus")) for i in range(k)])))
     top = scored.select("row_id", "doc_id", "sent", "pattern", ranked.alias("r"))
     lead = F.col("r")[0]["score"] - F.col("r")[1]["score"] >= MARGIN if k > 1 else F.lit(True)
-    pattern = F.pmod(F.coalesce("pattern", F.lit(0)), F.lit(2**63).cast("decimal(38,0)")).cast("bigint")
+    pattern = F.pmod(F.coalesce("pattern", F.lit(0)), F.lit("9223372036854775808").cast("decimal(38,0)")).cast("bigint")
     return top.where((F.col("r")[0]["score"] >= LEAST) & lead).select("row_id", "doc_id", "sent", (-F.col("r")[0]["minus"]).cast("int").alias("subject"), pattern.alias("pattern"))
 
 

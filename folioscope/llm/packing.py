@@ -15,7 +15,6 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -100,11 +99,18 @@ def _vectors(terms: pa.ListArray, counts: pa.ListArray, idf: np.ndarray) -> np.n
     t, c = terms.flatten().to_numpy(), counts.flatten().to_numpy()
     size = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
     out = np.zeros((len(terms), WIDTH), np.float32)
-    full = np.flatnonzero(size)
-    if len(full):
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])[full]
-        weighted = table[t] * (idf[t] * c * (K1 + 1) / (c + K1)).astype(np.float32)[:, None]
-        out[full] = np.add.reduceat(weighted, begin, axis=0)
+    ends = np.cumsum(size)
+    weight = (idf[t] * c * (K1 + 1) / (c + K1)).astype(np.float32)
+    at = 0
+    while at < len(terms):
+        # So many documents at a time as hold some 50 000 terms (one at least): the rows of the table are WIDTH wide.
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + 50_000, side="right")))
+        full = at + np.flatnonzero(size[at:to])
+        if len(full):
+            piece = slice(done, int(ends[to - 1]))
+            out[full] = np.add.reduceat(table[t[piece]] * weight[piece, None], ends[full] - size[full] - done, axis=0)
+        at = to
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -298,23 +304,35 @@ def _packed(items: DataFrame, idf: np.ndarray, caps: list[tuple[str, int]], stag
     """
     shared = items.sparkSession.sparkContext.broadcast(idf)
 
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["row_id", "part"], kind="stable").reset_index(drop=True)
-        total, part, start, out = batch["n_tokens"].to_numpy(), batch["part"].to_numpy(), batch["start_token"].to_numpy(), []
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("row_id", "ascending"), ("part", "ascending")]).combine_chunks()
+        number = lambda c: table[c].to_numpy()
+        lists = lambda c: np.split(table[c].combine_chunks().flatten().to_numpy(), ends)
+        row, part, start, length = number("row_id"), number("part"), number("start_token"), number("n_tokens") - number("start_token")
+        ends = np.cumsum(pc.list_value_length(table["terms"]).to_numpy())[:-1]
+        terms, counts, shard = lists("terms"), lists("counts"), table["shard"][0].as_py()
+        names = ("profile", "capacity", "container_id", "slot", "item", "fill")
+        out: dict[str, list] = {n: [] for n in names}
         for k, (profile, capacity) in enumerate(caps):
-            mine = np.where(part < 0, total < capacity, part == k)
-            if "only" in batch:
-                mine &= (batch["only"] == k).to_numpy()
+            mine = (part < 0) & (length < capacity) | (part == k)
+            if "only" in table.column_names:
+                mine &= number("only") == k
             mine = np.flatnonzero(mine)
-            tokens = (total - start)[mine]
-            boxes = pack(tokens.tolist(), [np.asarray(batch["terms"].iloc[i], np.int32) for i in mine], [np.asarray(batch["counts"].iloc[i], np.int32) for i in mine], capacity, shared.value)
-            for number, box in enumerate(boxes):
+            tokens = length[mine]
+            for n, box in enumerate(pack(tokens.tolist(), [terms[i] for i in mine], [counts[i] for i in mine], capacity, shared.value)):
                 fill = int(tokens[box].sum())
-                out += [(profile, capacity, f"{stage}-{k}-{batch['shard'].iloc[0]}-{number}", slot, int(batch["row_id"].iloc[mine[i]]), int(part[mine[i]]), int(start[mine[i]] // capacity), int(start[mine[i]]), int(tokens[i]), fill) for slot, i in enumerate(box)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _PLACED.split(", ")])
+                for values, new in zip(out.values(), ([profile] * len(box), [capacity] * len(box), [f"{stage}-{k}-{shard}-{n}"] * len(box), range(len(box)), mine[box].tolist(), [fill] * len(box))):
+                    values.extend(new)
+        at = np.array(out["item"], np.int64)
+        capacity = np.array(out["capacity"], np.int64)
+        return pa.table(
+            [pa.array(out["profile"], pa.string()), pa.array(capacity), pa.array(out["container_id"], pa.string()), pa.array(out["slot"], pa.int32()), pa.array(row[at]), pa.array(part[at], pa.int32()),
+             pa.array((start[at] // np.maximum(capacity, 1)).astype(np.int32)), pa.array(start[at]), pa.array(length[at]), pa.array(out["fill"], pa.int64())],
+            names=[c.split()[0] for c in _PLACED.split(", ")],
+        )
 
     columns = ["shard", "row_id", "n_tokens", "part", "start_token", "terms", "counts", *(["only"] if "only" in items.columns else [])]
-    return items.select(*columns).groupBy("shard").applyInPandas(run, _PLACED)
+    return items.select(*columns).groupBy("shard").applyInArrow(run, _PLACED)
 
 
 def packed_containers(documents: DataFrame, sizes: DataFrame, shard_items: int = 25_000, full: float = 0.99, path: str = VOCABULARY) -> DataFrame:

@@ -125,7 +125,8 @@ def delimiter_state(text: Column) -> Column:
         wrong = F.struct(state["open"].alias("open"), F.lit(True).alias("broken"))
         return F.when(state["broken"] | (c == ""), state).when(c.isin("(", "[", "{"), opened).when(F.left(state["open"], F.lit(1)) == c, closed).otherwise(wrong)
 
-    return F.aggregate(F.split(only, ""), start, step)
+    # Texts without delimiters (most of them) need no fold.
+    return F.when(only == "", start).otherwise(F.aggregate(F.split(only, ""), start, step))
 
 
 def balanced(text: Column) -> Column:

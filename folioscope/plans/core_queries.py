@@ -162,10 +162,36 @@ def noise_blocks(spark, d):
     return _blocks(spark, d).select("doc_id", "page_id", F.col("pos").cast("bigint").alias("pos"), F.coalesce(layout.is_noise(b, F.col("page_height")), F.lit(False)).alias("noise"))
 
 
-@query()
+def _merge_sql(name: str, source: str) -> str:
+    """CTEs ending in ``name``: blocks of ``source`` (numbered j from 1 on their page) with neighbours that continue each other as one.
+
+    A recursive query holds every block against what was merged so far.
+    """
+    size = lambda a: f"length({_STRIP(a + '.text')})"
+    gap, width = "(b.y0 - a.y1)", "least(a.x1 - a.x0, b.x1 - b.x0)"
+    share = f"(CASE WHEN {width} > 0 THEN greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) / {width} ELSE 0 END)"
+    barred = f"a.kind = 'heading' OR b.kind = 'heading' OR regexp_matches(b.text, '{_KEYED}') OR b.kind IN ('theorem_heading', 'theorem_body') OR ({size('a')} > 50 AND {size('b')} > 50) OR {gap} > 15 OR {gap} < -10"
+    allowed = f"({share} > 0.3 AND ({size('a')} < 15 OR {size('b')} < 15)) OR (abs(a.y0 - b.y0) < 8 AND b.x0 - a.x1 < 20 AND b.x0 - a.x1 > -5) OR ({size('a')} < 5 AND {size('b')} < 5 AND {gap} < 10 AND abs(a.x0 - b.x0) < 30)"
+    kind = "CASE WHEN contains(a.kind, 'formula') OR contains(b.kind, 'formula') THEN 'formula' WHEN contains(a.kind, 'theorem') THEN a.kind WHEN contains(b.kind, 'theorem') THEN b.kind ELSE a.kind END"
+    pick = lambda joined, own: f"CASE WHEN one THEN {joined} ELSE {own} END"
+    return f"""{name}_w(doc_id, page_id, j, k, kind, text, x0, y0, x1, y1, font) AS (SELECT doc_id, page_id, j, 1, kind, text, x0, y0, x1, y1, font FROM {source} WHERE j = 1 UNION ALL
+ SELECT doc_id, page_id, j, k + (NOT one)::INT, {pick('joint', 'kind')}, {pick('joined_text', 'text')}, {pick('least(ax0, x0)', 'x0')}, {pick('least(ay0, y0)', 'y0')}, {pick('greatest(ax1, x1)', 'x1')}, {pick('greatest(ay1, y1)', 'y1')}, {pick('greatest(afont, font)', 'font')}
+ FROM (SELECT b.*, a.k, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, a.font AS afont, {kind} AS joint, {_STRIP('a.text')} || ' ' || {_STRIP('b.text')} AS joined_text, NOT ({barred}) AND ({allowed}) AS one FROM {name}_w a JOIN {source} b ON b.doc_id = a.doc_id AND b.page_id = a.page_id AND b.j = a.j + 1)),
+{name} AS (SELECT * EXCLUDE (j, k), k AS j FROM {name}_w QUALIFY row_number() OVER (PARTITION BY doc_id, page_id, k ORDER BY j DESC) = 1)"""
+
+
+_NOISE_SQL = f"{_BS} = '' OR coalesce(font_size < 9.5 AND ((bbox[4] > 0.91 * page_height AND regexp_matches({_BS}, '(?i)(©|DOI\\s|ISBN\\s|Springer|Universitext|10\\.\\d{{4}}/)')) OR (bbox[2] < 0.07 * page_height AND regexp_matches({_BS}, '^\\s*\\d+\\s+\\d+\\s+[A-Z]')) OR {_NUM}), false)"
+_NORMAL = f"""{_BLK.replace('blk AS (', 'raw AS (')}, kept AS (SELECT doc_id, page_id, block_type AS kind, text, coalesce(bbox[1], 0) AS x0, coalesce(bbox[2], 0) AS y0, coalesce(bbox[3], 0) AS x1, coalesce(bbox[4], 0) AS y1, coalesce(font_size, 10) AS font, row_number() OVER (PARTITION BY doc_id, page_id ORDER BY coalesce(bbox[2], 0), pos) AS i FROM raw WHERE NOT ({_NOISE_SQL})),
+lines(doc_id, page_id, i, anchor, line) AS (SELECT doc_id, page_id, i, y0, 0 FROM kept WHERE i = 1 UNION ALL SELECT n.doc_id, n.page_id, n.i, CASE WHEN n.y0 - l.anchor > 8 THEN n.y0 ELSE l.anchor END, l.line + (n.y0 - l.anchor > 8)::INT FROM lines l JOIN kept n ON n.doc_id = l.doc_id AND n.page_id = l.page_id AND n.i = l.i + 1),
+placed AS (SELECT kept.* EXCLUDE (i), row_number() OVER (PARTITION BY doc_id, page_id ORDER BY line, x0, i) AS j FROM kept JOIN lines USING (doc_id, page_id, i)), {_merge_sql('once', 'placed')}, {_merge_sql('twice', 'once')}"""
+
+
+@query(f"""WITH RECURSIVE {_NORMAL}, packed AS (SELECT doc_id, page_id, list(struct_pack(block_id := (j - 1)::INTEGER, block_type := kind, text := text) ORDER BY j) AS blocks FROM twice GROUP BY 1, 2)
+SELECT doc_id, page_id, coalesce(len(packed.blocks), 0)::INTEGER AS num_blocks, coalesce(packed.blocks, []) AS blocks FROM scan LEFT JOIN packed USING (doc_id, page_id)""")
 def normalized_pages(spark, d):
     pages = layout.normalize_pages(spread(layout.latest_scans(_t(spark, d, "ocr_pages"))))
-    return pages.select("doc_id", "page_id", "num_blocks", F.transform("blocks", lambda b: F.struct(b["block_id"], b["block_type"], b["text"])).alias("blocks"))
+    named = F.transform("blocks", lambda b: F.struct(b["block_id"].alias("block_id"), b["block_type"].alias("block_type"), b["text"].alias("text")))
+    return pages.select("doc_id", "page_id", "num_blocks", named.alias("blocks"))
 
 
 @query(f"""WITH {_BLK}, n AS (SELECT doc_id, page_id, block_type, {_BS} AS t, bbox[2] AS y0, bbox[4] AS y1, bbox[1] AS x0, lead(bbox[2]) OVER w AS ny0, lead(bbox[1]) OVER w AS nx0, lead({_BS}) OVER w AS nt, lead(block_type) OVER w AS nk FROM blk WINDOW w AS (PARTITION BY doc_id, page_id ORDER BY pos))
@@ -217,7 +243,11 @@ def section_carry_forward(spark, d):
     return segment.carry_section(_blocks(spark, d))
 
 
-@query()
+_NORMAL_BLOCKS = "blk AS (SELECT doc_id, page_id, (j - 1)::BIGINT AS pos, (j - 1)::INTEGER AS block_id, kind AS block_type, text, font AS font_size FROM twice)"
+_UNITS_SQL = ORACLE["segment_units"].replace(f"WITH {_BLK}", f"WITH RECURSIVE {_NORMAL}, {_NORMAL_BLOCKS}")
+
+
+@query(f"SELECT doc_id, page_id, label, env, content, proof FROM ({_UNITS_SQL}) QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY page_id, unit_index) = 1")
 def structure_aware_units(spark, d):
     return pipelines.structure_units(spread(layout.latest_scans(_t(spark, d, "ocr_pages")))).select("doc_id", "page_id", "label", "env", "content", "proof")
 

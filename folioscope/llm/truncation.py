@@ -29,8 +29,8 @@ _STOP = rf"[.!?．。！？]{_CLOSERS}$"
 _OPEN_SUM = r"([+*·,<=≤≥−＋-]\s*|\s>\s*)[.．]{1,3}$|[.．][.．]$|…$"
 _END_MARK = r"[∎□■]\)?$|(?i)\bq\.?e\.?d\.?$"
 _END_MARKUP = r"</[A-Za-z][A-Za-z0-9]*\s*>$|<(?:br|hr|BR|HR)\s*/?>$|-->$|```$|~~~$|\|\}$|\]\]$|\}\}$|\\\]$|\\\)$|[^\s$]\s?\$\$?$|\\end\{[A-Za-z]+\*?\}$|(?m:^)[ \t]*\|[^\n]*\|\z|\n(?:={3,}|-{3,})$|\]\([^()\s]+\)$"
-# A formula after a colon is whole if it has a relation, ends with an operand and its brackets close.
-_COLON_FORMULA = r"\p{L}{2,}\s?[:：]\s*((?:(?!\p{L}{2,}\s?[:：])[^?!]){3,})$"
+# A formula after the last colon behind a word is whole if it has a relation, ends with an operand and its brackets close.
+_COLON_FORMULA = r"(?s)^.*\p{L}{2,}\s?[:：]\s*(.*)$"
 _PROSE = r"\p{L}{4,}|\.\s+\p{Lu}"
 _RELATION = r"[=<>≤≥∈⊂⊃≠→∼≅:]"
 _OPERAND_END = r"[\p{L}\p{N}²³}\])|‖∅]$"
@@ -55,7 +55,7 @@ def content_final(text: Column) -> Column:
 def content_ends_in_formula(text: Column) -> Column:
     """Whether the text ends with a colon and a whole formula."""
     formula = F.trim(F.regexp_extract(F.regexp_replace(text, _TRIM, ""), _COLON_FORMULA, 1))
-    return (formula != "") & ~formula.rlike(_PROSE) & formula.rlike(_RELATION) & formula.rlike(_OPERAND_END) & ~formula.rlike(_OPEN_SUM) & _balanced(formula)
+    return (F.length(formula) >= 3) & ~formula.rlike("[?!]") & ~formula.rlike(_PROSE) & formula.rlike(_RELATION) & formula.rlike(_OPERAND_END) & ~formula.rlike(_OPEN_SUM) & _balanced(formula)
 
 
 def _label_parts(label: Column, numbers: Column) -> tuple[Column, Column, Column, Column]:

@@ -482,6 +482,45 @@ def test_silent_seeds_keep_their_labels(spark):
     assert {x[:2] for x in got if x[0] < 40} == {(i, "ab"[i % 2]) for i in range(40)}
 
 
+def test_very_long_texts(spark):
+    """Texts of some 200 000 characters, of one line and of many, pass every operator whole."""
+    plain = "the group of which every element is so " * 5000
+    rows = [(1, "d", 0, "Lemma 1.1", f"It is: {plain}= 3", [1, 1], "gold", None, "x"), (2, "d", 0, "Lemma 1.1", plain.replace(" of ", " of\n") + ".", [1, 1], "llm", None, "x"), (3, "e", 1, "Lemma 1.1", "([{" * 60000, None, None, None, "x")]
+    units = spark.createDataFrame(rows, SV)
+    docs = units.selectExpr("unit_id AS doc_id", "content AS text", "method AS source")
+    hosts = units.selectExpr("_doc_id AS host", "unit_id AS id", "content AS text")
+    pages = spark.createDataFrame([], "scan_id bigint, page_height double, blocks array<struct<block_id:int,block_type:string,text:string,bbox:array<double>,font_size:double,is_bold:boolean>>")
+    assert lookalikes.canonical_text(units, "unit_id", "content").count() == 3
+    assert markup.clean_texts(hosts).count() == 3 and markup.markup_families(hosts).count() == 0
+    assert {(r.unit_id, r.field_name) for r in truncation.cut_values(units).collect()} == {(1, "content"), (3, "content")}
+    assert scans.repaired(units, pages).count() == 3 and scans.scan_noise(units, pages).count() == 0
+    methods = spark.createDataFrame([("gold", 1)], "method string, trust_rank int")
+    assert {r.content_from for r in survivors.surviving(units, methods).collect()} == {2}
+    packed = packing.packed_containers(docs, spark.createDataFrame([("s", 1000)], "profile string, capacity_tokens int"))
+    assert packed.groupBy("container_id").sum("tokens").agg({"sum(tokens)": "max"}).first()[0] == 1000
+    areas, labels = spark.createDataFrame([("a",)], "subject string"), spark.createDataFrame([(1, "a", "x")], "doc_id bigint, subject string, annotator string")
+    assert {r.doc_id for r in subjects.document_subjects(docs, areas, labels).collect()} >= {1}
+
+
+def test_extra_columns_with_clashing_names(spark):
+    """Columns named like those an operator makes inside are no matter."""
+    rows = [(1, "d", 0, "Lemma 1.1", "It holds for all.", [1, 1], "gold", None, "x"), (2, "d", 0, "Lem. 1.1", "It holds for all.", [1, 1], "llm", None, "x")]
+    units = spark.createDataFrame(rows, SV)
+    for name in ("id", "kind", "text", "value", "rank", "look", "form", "chars", "ending", "source", "weight", "h", "word", "n", "place"):
+        units = units.withColumn(name, units.group_id)
+    methods = spark.createDataFrame([("gold", 1, "x")], "method string, trust_rank int, weight string")
+    assert survivors.surviving(units, methods).count() == 2
+    assert truncation.cut_values(units).count() == 0 and lookalikes.same_look_pairs(units).count() == 0
+    docs = units.selectExpr("unit_id AS doc_id", "content AS text", "'a' AS source", "id", "word AS terms", "kind AS part", "n AS post", "h", "rank AS domain", "form AS row_id", "look AS given")
+    sizes = spark.createDataFrame([("s", 50, "x")], "profile string, capacity_tokens int, kind string")
+    assert packing.packed_containers(docs, sizes).count() == 2
+    targets = spark.createDataFrame([("a", 1.0, 1, "x")], "source_name string, target_share double, max_repeats int, cap string")
+    assert mixing.mixture(docs, targets).count() == 2
+    areas = spark.createDataFrame([("a", "x")], "subject string, doc_id string")
+    labels = spark.createDataFrame([(1, "a", "x")], "doc_id bigint, subject string, given string")
+    assert {r.doc_id for r in subjects.document_subjects(docs, areas, labels).collect()} >= {1}
+
+
 def test_registered_queries():
     from folioscope.llm import queries
 

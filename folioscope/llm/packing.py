@@ -214,10 +214,10 @@ class _Shard:
         self.kept = np.arange(self.n)
         key = np.concatenate(terms) if self.n else np.zeros(0, np.int32)
         tf = np.concatenate(counts) if self.n else np.zeros(0, np.int32)
-        item = np.repeat(np.arange(self.n, dtype=np.int32), size)
+        item = np.repeat(np.arange(self.n), size)
         weight = idf[key] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / mean))
         order = np.argsort(key, kind="stable")
-        self.query, self.key, self.items, self.weights = terms, key[order], item[order], weight[order].astype(np.float32)
+        self.query, self.key, self.items, self.weights = terms, key[order], item[order], weight[order]
         self._find_spans()
 
     def _find_spans(self) -> None:
@@ -227,8 +227,8 @@ class _Shard:
     def drop(self, unused: np.ndarray) -> None:
         """Leaves the postings of used items out; scores of the others stay the same."""
         kept = np.flatnonzero(unused[self.kept])
-        still = np.full(len(self.kept), -1, np.int32)
-        still[kept] = np.arange(len(kept), dtype=np.int32)
+        still = np.full(len(self.kept), -1)
+        still[kept] = np.arange(len(kept))
         keep = still[self.items] >= 0
         self.key, self.items, self.weights = self.key[keep], still[self.items[keep]], self.weights[keep]
         self.kept = self.kept[kept]

@@ -204,7 +204,13 @@ def with_shards(items: DataFrame, idf: np.ndarray, count: int, shard_items: int,
 
 
 class _Shard:
-    """Inverted index of one shard. Postings are arrays of (item, weight) per hashed term."""
+    """Inverted index of one shard. Postings are arrays of (item, weight) per hashed term.
+
+    Terms that a sixteenth of the items hold or more are kept as rows of a matrix instead: the scores they give to
+    the next seeds come from one product for many seeds.
+    """
+
+    AHEAD = 64
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray):
         self.n = len(terms)
@@ -222,7 +228,23 @@ class _Shard:
 
     def _find_spans(self) -> None:
         used, start = np.unique(self.key, return_index=True)
-        self.spans = dict(zip(used.tolist(), zip(start.tolist(), [*start[1:].tolist(), len(self.key)])))
+        end = np.append(start[1:], len(self.key)) if len(start) else start
+        common = (end - start) * 16 >= max(len(self.kept), 1)
+        self.spans = dict(zip(used[~common].tolist(), zip(start[~common].tolist(), end[~common].tolist())))
+        self.row = np.full(BUCKETS, -1)
+        self.row[used[common]] = np.arange(int(common.sum()))
+        self.common = np.zeros((int(common.sum()), len(self.kept)), np.float32)
+        for r, (a, b) in enumerate(zip(start[common].tolist(), end[common].tolist())):
+            self.common[r, self.items[a:b]] = self.weights[a:b]
+        self.ahead: dict[int, np.ndarray] = {}
+
+    def foresee(self, seeds: list[int]) -> None:
+        """The part of the scores that common terms give, for the seeds that may come next."""
+        asks = np.zeros((len(seeds), len(self.common)), np.float32)
+        for i, seed in enumerate(seeds):
+            rows = self.row[self.query[seed]]
+            asks[i, rows[rows >= 0]] = 1.0
+        self.ahead = dict(zip(seeds, asks @ self.common))
 
     def drop(self, unused: np.ndarray) -> None:
         """Leaves the postings of used items out; scores of the others stay the same."""
@@ -242,9 +264,10 @@ class _Shard:
             if t in self.spans:
                 start, end = self.spans[t]
                 picked.append(slice(start, end if first is None else start + int(self.items[start:end].searchsorted(count))))
+        known = self.ahead[seed][:count].astype(np.float64) if seed in self.ahead else np.zeros(count)
         if not picked:
-            return np.zeros(count)
-        return np.bincount(np.concatenate([self.items[s] for s in picked]), weights=np.concatenate([self.weights[s] for s in picked]), minlength=count)
+            return known
+        return known + np.bincount(np.concatenate([self.items[s] for s in picked]), weights=np.concatenate([self.weights[s] for s in picked]), minlength=count)
 
 
 def pack(tokens: list[int], terms: list[np.ndarray], counts: list[np.ndarray], capacity: int, idf: np.ndarray) -> list[list[int]]:
@@ -272,6 +295,8 @@ def pack(tokens: list[int], terms: list[np.ndarray], counts: list[np.ndarray], c
                 index.drop(unused)
             sizes = size[index.kept]
             fit = int(np.searchsorted(sizes, room, side="right"))
+            if seed not in index.ahead:
+                index.foresee([seed, *left[-index.AHEAD :]])
             score = index.scores(seed, fit) * unused[index.kept[:fit]]
             # The nearest neighbour that still fits, again and again; a box takes a few, so nothing is sorted.
             while fit and room > 0:
@@ -375,6 +400,7 @@ def neighbour_recall(documents: DataFrame, sizes: DataFrame, queries: int = 200,
     index = _Shard([np.asarray(t, np.int32) for t in rows["terms"]], [np.asarray(c, np.int32) for c in rows["counts"]], idf)
     shard, hits, asked = rows["shard"].to_numpy(), 0, 0
     for i in np.random.default_rng(3).permutation(len(rows))[:queries]:
+        index.foresee([int(i)])
         score = index.scores(int(i))
         score[i] = -1.0
         best = np.argsort(-score, kind="stable")[:top]

@@ -43,6 +43,15 @@ def strip_latex(text: Column, lower: bool = True, unwrap: str = "textbf|emph|tex
     return F.lower(out) if lower else out
 
 
+def analysis_words(text: Column, latex: bool = True) -> Column:
+    """The pieces between blanks in small letters, for looking at what was lost; of LaTeX without commands and marks."""
+    out = F.coalesce(text, F.lit(""))
+    if latex:
+        for pattern in (r"\\(begin|end)\{[^}]*\}", r"\\[a-zA-Z]+", r"[\$\{\}\\^_]"):
+            out = F.regexp_replace(out, pattern, "")
+    return F.filter(F.split(F.lower(out), r"\s+"), lambda w: w != "")
+
+
 def normalize_ocr(text: Column) -> Column:
     """Without lost characters, blanks collapsed, small letters."""
     return F.lower(collapse(F.replace(F.coalesce(text, F.lit("")), F.lit(LOST), F.lit(""))))

@@ -2,7 +2,7 @@
 
 Greedy one-to-one matching depends on order. Candidate pairs come from equi-joins on a block (book or
 page) and an inverted token index, are cut to those above the threshold, and only these short lists
-are folded.
+are folded, a connected component at a time.
 """
 
 from __future__ import annotations
@@ -62,12 +62,29 @@ def _similar_pairs(gold: DataFrame, pred: DataFrame, book: str, threshold: float
     return pairs.join(gt, [book, "gold_id"]).join(pt, [book, "pred_id"]).withColumn("sim", jaccard(F.col("gt"), F.col("pt"))).where(F.col("sim") > threshold).drop("gt", "pt")
 
 
+def with_components(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (materialized) with ``part``: the smallest gold id of the connected component a pair is in.
+
+    Labels spread from golds to their partners and back until none changes; a round is two grouped minima.
+    """
+    labels = materialize(pairs.select("gold_id", F.col("gold_id").alias("part")).distinct())
+    while True:
+        seen = pairs.select("gold_id", "pred_id").join(labels, "gold_id")
+        lowest = seen.groupBy("pred_id").agg(F.min("part").alias("low"))
+        spread = seen.join(lowest, "pred_id").groupBy("gold_id").agg(F.min("low").alias("part"), F.min("part").alias("was"))
+        new = materialize(spread)
+        labels = new.select("gold_id", "part")
+        if new.where("part <> was").isEmpty():
+            return pairs.join(labels, "gold_id")
+
+
 def greedy(pairs: DataFrame, block: str) -> DataFrame:
     """One-to-one pairs per block: each gold in id order takes its best unused partner, the smallest id of equals.
 
-    ``pairs``: (block, gold_id, pred_id, sim), above the threshold. A block's pairs stream through one
-    fold that keeps only the used ids.
+    ``pairs``: (block, gold_id, pred_id, sim), above the threshold. Only pairs that hang together depend on
+    each other's order, so each connected component is folded on its own, whatever the size of the block.
     """
+    kinds = {c: pairs.schema[c].dataType.simpleString() for c in (block, "gold_id", "pred_id")}
 
     def fold(batch: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
@@ -79,8 +96,8 @@ def greedy(pairs: DataFrame, block: str) -> DataFrame:
                     break
         return pd.DataFrame(out, columns=[block, "gold_id", "pred_id"])
 
-    kinds = {c: pairs.schema[c].dataType.simpleString() for c in (block, "gold_id", "pred_id")}
-    return pairs.groupBy(block).applyInPandas(fold, ", ".join(f"{c} {t}" for c, t in kinds.items()))
+    parted = with_components(materialize(pairs.select(block, "gold_id", "pred_id", "sim")))
+    return parted.groupBy(block, "part").applyInPandas(fold, ", ".join(f"{c} {t}" for c, t in kinds.items()))
 
 
 def match_units(gold: DataFrame, pred: DataFrame, book: str = "_doc_id", threshold: float = 0.5) -> DataFrame:

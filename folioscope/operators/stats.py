@@ -77,6 +77,39 @@ def violations(stats: DataFrame, key: str, total: str, parts: list[str]) -> Data
     return sums.unionByName(gaps)
 
 
+#: What a merged evaluation has to hold, and words that must not stay in a finished text.
+MERGED = (
+    "boundary_precision", "boundary_recall", "boundary_f1", "unit_type_accuracy", "block_assignment_accuracy", "formula_attachment_accuracy", "statement_completeness",
+    "normalized_edit_distance", "structured_parse_success", "symbol_stability", "retrieval_compatibility", "formalization_readiness",
+)
+UNFINISHED = ("illustrative draft results", "replace with final", "placeholder", "todo", "tbd")
+
+
+def missing_measures(results: DataFrame, required: tuple[str, ...] = MERGED) -> list[str]:
+    """The measures an evaluation lacks, by its columns."""
+    return [c for c in required if c not in results.columns]
+
+
+def missing_files(df: DataFrame, column: str) -> DataFrame:
+    """The distinct paths of ``column`` that don't exist, asked of their file systems once each."""
+    spark = df.sparkSession
+    paths = df.select(F.col(column).alias("path")).where("path IS NOT NULL").distinct()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(path: str) -> bool:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(conf).exists(where)
+
+    # Required files are a short list given by name, not data.
+    return spark.createDataFrame([(r["path"],) for r in paths.toLocalIterator() if not there(r["path"])], "path string")
+
+
+def unfinished_texts(texts: DataFrame, key: str, column: str, patterns: tuple[str, ...] = UNFINISHED) -> DataFrame:
+    """(key, pattern): the texts that still hold one of ``patterns``, in any case."""
+    found = F.filter(F.array(*[F.lit(p) for p in patterns]), lambda p: F.regexp_like(F.lower(F.col(column)), p))
+    return texts.select(key, F.explode(found).alias("pattern"))
+
+
 def positional_diff(a: DataFrame, b: DataFrame, keys: list[str], field: str) -> DataFrame:
     """(keys, differs_at, delta): where the i-th records of two annotations first differ (from 0), and by what length."""
     j = a.select(*keys, F.coalesce(field, F.lit("")).alias("x")).join(b.select(*keys, F.coalesce(field, F.lit("")).alias("y")), keys).where("x <> y")

@@ -40,6 +40,25 @@ def percent(value: float | None, digits: int = 2) -> float | None:
     return None if value is None else round(value * 100, digits)
 
 
+def macro_values(total: dict, scores: dict[str, float], agreement: dict) -> dict[str, str]:
+    """Names and values of the text macros a report shows; shares in percent. The names."""
+    share = lambda v: report.shown(percent(v))
+    return {
+        "TWOBOUNDARYFONE": share(scores["boundary_f1"]),
+        "TWOFORMULAACC": share(scores["formula_attachment_accuracy"]),
+        "TWOCOMPLETENESS": share(scores["statement_completeness"]),
+        "TWOREADINESS": share(scores["formalization_readiness"]),
+        "TOTALPAGES": str(total["pages"]),
+        "TOTALBLOCKS": str(total["ocr_blocks"]),
+        "TOTALUNITS": str(total["theorem_units"]),
+        "MULTIBLOCKRATIO": report.shown(percent(total["multi_block_unit_ratio"], 1)),
+        "DOUBLEPAGES": str(agreement["pages"]),
+        "BOUNDARYAGREE": share(agreement["boundary"]),
+        "TYPEAGREE": share(agreement["type"]),
+        "FORMULAAGREE": share(agreement["formula"]),
+    }
+
+
 def mean_over_books(per_book: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Means of a per-book result, one row to the driver."""
     row = per_book.agg(*[F.avg(c).alias(c) for c in columns]).first()

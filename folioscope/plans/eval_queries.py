@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import scores as S
 from folioscope.functions import text as T
-from folioscope.operators import evaluate, match, metrics
+from folioscope.operators import evaluate, match, metrics, stats
 from folioscope.plans import core_queries as C
 from folioscope.plans import pipelines
 from folioscope.session import materialize
@@ -317,3 +317,22 @@ def lost_before_after(spark, d):
     before = C._side(spark, d, "ours")
     fixed = [F.replace(F.col(c), F.lit(T.LOST), F.lit("n")).alias(c) for c in ("content", "proof")]
     return evaluate.lost_before_after(before, before.select(*fixed))
+
+
+_WORDS = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda w: w <> '')"
+_BARE = "regexp_replace(regexp_replace(regexp_replace(coalesce(g.content, ''), '\\\\(begin|end)\\{[^}]*\\}', '', 'g'), '\\\\[a-zA-Z]+', '', 'g'), '[\\$\\{\\}\\\\^_]', '', 'g')"
+
+
+@query(f"""WITH {C._LABELS}, w AS (SELECT gold_id, pred_id, list_distinct({_WORDS(_BARE)}) AS gw, list_distinct({_WORDS("coalesce(p.content, '')")}) AS pw FROM pairs JOIN units g ON g.unit_id = gold_id JOIN units p ON p.unit_id = pred_id)
+SELECT gold_id, pred_id, len(list_intersect(gw, pw)) / len(gw) AS recall FROM w WHERE len(gw) > 0""")
+def word_recall(spark, d):
+    """What share of the gold words between blanks the prediction has, for looking at losses."""
+    g, p = C._sides(spark, d)
+    both = metrics.with_units(match.match_labels_v2(g, p).select("gold_id", "pred_id"), g, p)
+    wanted, have = F.array_distinct(T.analysis_words(F.col("g.content"))), T.analysis_words(F.col("p.content"), latex=False)
+    return both.where(F.size(wanted) > 0).select("gold_id", "pred_id", (F.size(F.array_intersect(wanted, have)) / F.size(wanted)).alias("recall"))
+
+
+@query("SELECT unit_id, pattern FROM units, unnest(['illustrative draft results', 'replace with final', 'placeholder', 'todo', 'tbd', 'the converse']) AS t(pattern) WHERE regexp_matches(content, pattern, 'i')")
+def unfinished_texts(spark, d):
+    return stats.unfinished_texts(C._units(spark, d), "unit_id", "content", (*stats.UNFINISHED, "the converse"))

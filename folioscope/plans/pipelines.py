@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.operators import dedup, layout, match, metrics, repair, segment
@@ -28,6 +28,23 @@ def repaired_units(units: DataFrame, make_client: Callable = repair.offline_clie
     return repair.apply_symbol_answers(units, answers)
 
 
+def process_pages(pages: DataFrame, make_client: Callable = repair.offline_client) -> tuple[DataFrame, DataFrame]:
+    """(units, run statistics per book): normalised pages, segmentation, one request per damaged field, first of each label, numbered from 1."""
+    units = segment.extract_units(layout.explode_blocks(layout.normalize_pages(pages)))
+    units = materialize(units.withColumn("unit_id", F.xxhash64("doc_id", "page_id", "unit_index")))
+    asked = repair.symbol_requests(units)
+    answers = materialize(repair.ask(asked, make_client))
+    fixed = repair.apply_symbol_answers(units, answers)
+    first = dedup.keep_first(fixed, ["doc_id", "label"], [F.col("page_id"), F.col("unit_index")])
+    numbered = first.withColumn("index", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_id", "unit_index")))
+    owner = units.select("doc_id", F.col("unit_id").cast("string").alias("owner"))
+    calls = answers.withColumn("owner", F.split("key", "/")[0]).join(owner, "owner").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("llm_calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum("seconds").alias("wall_time_seconds")
+    )
+    books = units.select("doc_id").distinct()
+    return numbered, books.join(calls, "doc_id", "left").withColumn("llm_calls", F.coalesce("llm_calls", F.lit(0)))
+
+
 def hybrid_units(units: DataFrame) -> DataFrame:
     """The longest record of each label per book, numbered by number components."""
     return dedup.reindex(dedup.longest_by_label(units, drop_blank=True))

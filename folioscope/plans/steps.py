@@ -1,6 +1,6 @@
 """Step interface: ``python -m folioscope.plans.steps STEP --in ... --out ...`` runs one step over Parquet tables.
 
-Steps: normalize, rule_units, structure_units, model_units, evaluate_v1, evaluate_v2, evaluate_blocks, tables.
+Steps: normalize, rule_units, structure_units, process_pages, model_units, evaluate_v1, evaluate_v2, evaluate_blocks, tables.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ ONE = {
     "normalize": lambda p: layout.normalize_pages(_pages(p)),
     "rule_units": lambda p: pipelines.rule_units(_pages(p)),
     "structure_units": lambda p: pipelines.structure_units(_pages(p)),
+    "process_pages": lambda p: pipelines.process_pages(_pages(p))[0],
     "model_units": lambda p: page_model.model_units(_pages(p))[0],
 }
 TWO = {

@@ -205,6 +205,55 @@ def test_shared_folder_is_asked_for(spark):
         session.shared_dir(Elsewhere)
 
 
+def test_whole_pipeline_repairs_and_counts(spark):
+    pages = pages_of(spark, [("heading", "1.2 First"), ("text", "Lemma 1.1 For all sp�ces of this kind, as was seen before."), ("text", "Proof So it is. □")], [("text", "Lemma 1.1 Again.")])
+    units_, runs = pipelines.process_pages(pages, lambda: lambda prompt: ('[{"id": 16, "char": "a"}]' if "�" in prompt else "[]", 7, 2))
+    rows = units_.collect()
+    assert [(r.label, r["index"], r.section) for r in rows] == [("Lemma 1.1", 1, "First")]
+    assert "�" in rows[0].content or "spaces" in rows[0].content
+    assert [(r.doc_id, r.llm_calls, r.prompt_tokens) for r in runs.collect()] == [("d", 1, 7)]
+    assert pipelines.process_pages(pages.limit(0))[0].count() == 0
+
+
+def test_pdf_blocks_become_pages(spark, tmp_path):
+    from folioscope.operators import layout
+
+    (tmp_path / "a.pdf").write_bytes(b"Theorem 1.1|So.")
+    schema = "doc_id string, page_id string, page_index int, pos int, is_image boolean, lines array<array<struct<text:string,size:double,font:string>>>, bbox array<double>"
+
+    def decode(content):
+        for i, text in enumerate(content.decode().split("|")):
+            yield {"doc_id": "a", "page_id": "p001", "page_index": 0, "pos": i, "is_image": False, "lines": [[{"text": text, "size": 10.04, "font": "Times-Bold"}]], "bbox": [1.04, 2.0, 3.0, 4.0]}
+        yield {"doc_id": "a", "page_id": "p001", "page_index": 0, "pos": 9, "is_image": True, "lines": [], "bbox": [0.0, 0.0, 1.0, 1.0]}
+        yield {"doc_id": "a", "page_id": "p001", "page_index": 0, "pos": 10, "is_image": False, "lines": [[{"text": " ", "size": 9.0, "font": "x"}]], "bbox": [0.0, 0.0, 1.0, 1.0]}
+
+    page = layout.assemble_page(io.read_pdfs(spark, str(tmp_path), decode, schema)).first()
+    assert [(b.block_id, b.block_type, b.text, b.font_size, b.is_bold) for b in page.blocks] == [(0, "theorem_heading", "Theorem 1.1", 10.0, True), (1, "text", "So.", 10.0, True), (2, "image", "[image]", 0.0, False)]
+    assert page.blocks[0].bbox[0] == 1.0 and page.num_blocks == 3
+
+
+def test_checks_of_reports(spark, tmp_path):
+    from folioscope.operators import stats
+
+    assert stats.missing_measures(spark.range(1).withColumn("boundary_f1", F.lit(1.0)))[:2] == ["boundary_precision", "boundary_recall"]
+    (tmp_path / "here").write_text("x")
+    files = spark.createDataFrame([(str(tmp_path / "here"),), (str(tmp_path / "gone"),), (None,)], "path string")
+    assert [r.path for r in stats.missing_files(files, "path").collect()] == [str(tmp_path / "gone")]
+    texts = spark.createDataFrame([(1, "A TODO here"), (2, "fine"), (3, None)], "i int, t string")
+    assert [tuple(r) for r in stats.unfinished_texts(texts, "i", "t").collect()] == [(1, "todo")]
+    values = tables.macro_values({"pages": 3, "ocr_blocks": 9, "theorem_units": 4, "multi_block_unit_ratio": 0.5}, {"boundary_f1": 1.0, "formula_attachment_accuracy": 0.5, "statement_completeness": 0.25, "formalization_readiness": 0.9}, {"pages": 2, "boundary": 0.5, "type": 1.0, "formula": 1.0})
+    assert values["TWOBOUNDARYFONE"] == "100" and values["MULTIBLOCKRATIO"] == "50" and report.fill_macros("", values).count("newcommand") == 12
+
+
+def test_manifest_takes_the_first_image(spark):
+    from folioscope.operators import stats
+
+    pages = pages_of(spark, [("text", "Proof. x = y")], [("text", "a")])
+    images = spark.createDataFrame([("/i/p001.png",), ("/i/b/p001.jpg",), ("/i/p009.png",)], "path string")
+    got = {r.page_id: (r.image_path, r.has_proof_adjacent, r.has_formula_dense, r.pdf_page_no) for r in stats.manifest(pages, images).collect()}
+    assert got == {"p001": ("/i/b/p001.jpg", 1, 1, "001"), "p002": (None, 0, 0, "002")}
+
+
 def test_reports_refuse_to_cut(spark):
     with pytest.raises(ValueError):
         report.table_rows(spark.range(5), ["id"], most=3)

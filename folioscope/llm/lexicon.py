@@ -26,8 +26,12 @@ CONFUSED = {"0": "o", "1": "li", "5": "s", "9": "g", "6": "b", "8": "b", "3": "e
 
 _INVISIBLE = r"[\x{ad}\x{200b}-\x{200f}\x{2060}-\x{2064}\x{feff}]"
 # Between words: all but Latin, Greek and Cyrillic letters, their full-width forms, digits, hyphens and lost characters.
-_BETWEEN = "[^-0-9A-Za-zÀ-ɏͰ-ԯḀ-῿０-ｚ�]+"
-_SPLIT_AT_END = r"\pL*[-‐\x{ad}¬][ \t]*\n\s*\pL*"
+_BETWEEN = "[^-\x1f0-9A-Za-zÀ-ɏͰ-ԯḀ-῿０-ｚ�]+"
+# A word split over a line end, and a first half whose second does not follow at once.
+_SPLIT_AT_END = "([0-9\\pL�]*)[-‐\\x{ad}¬][ \t]*\n\\s*([0-9�]*\\pL[0-9\\pL�]*)"
+_HALF_AT_END = "[0-9\\pL�]*[-‐\\x{ad}¬][ \t]*\n"
+#: Stands before a word put together from its halves at two line ends, which may be a compound without its hyphen.
+_PUT = "\x1f"
 # A word that may be misread or ordinary: Latin letters, digits and lost characters, at least one small letter.
 _WORD = "^[0-9a-zà-ÿĀ-ɏ�]*[a-zà-ÿĀ-ɏ][0-9a-zà-ÿĀ-ɏ�]*$"
 _LETTERS = "^[a-zà-ÿĀ-ɏ]{2,}$"
@@ -35,18 +39,21 @@ _SUSPECT = "[0-9cb�]|ii|rn|vv|li"
 
 
 def split_words(texts: pa.Array) -> pa.ListArray:
-    """The words of each text, compounds with their hyphens; the halves of words split over line ends are left out."""
-    joined = pc.replace_substring_regex(texts.cast(pa.string()), _SPLIT_AT_END, " ")
+    """The words of each text, compounds with their hyphens; words split over a line end are put together behind a mark,
+    first halves without a second are left out."""
+    joined = pc.replace_substring_regex(texts.cast(pa.string()), _SPLIT_AT_END, f" {_PUT}\\1\\2 ")
+    joined = pc.replace_substring_regex(joined, _HALF_AT_END, "\n")
     return pc.split_pattern_regex(pc.replace_substring_regex(joined, _INVISIBLE, ""), _BETWEEN)
 
 
 def _parts(word: str) -> list[str]:
     """A compound's parts, or the word itself."""
-    return [p for p in word.split("-") if p]
+    return [p for p in word.replace(_PUT, "").split("-") if p]
 
 
 def word_counts(texts: DataFrame, column: str = "text") -> DataFrame:
-    """(word, n, small) over all texts, in small letters; ``small`` is how often a word was written so.
+    """(word, n, small, put) over all texts, in small letters; ``small`` is how often a word was written so, whole and
+    in one line, ``put`` how often it was put together from halves.
 
     Words have two or more Latin letters, digits and lost characters; a compound counts as itself
     (with its hyphens) and for its parts. Counted per batch first, so only distinct words are shuffled.
@@ -56,19 +63,24 @@ def word_counts(texts: DataFrame, column: str = "text") -> DataFrame:
         for batch in batches:
             counted = pc.value_counts(split_words(batch.column(0)).flatten())
             words, n = counted.field(0), counted.field(1)
-            hyphen = pc.match_substring(words, "-")
+            hyphen = pc.match_substring_regex(words, f"[-{_PUT}]")
             plain = pc.invert(hyphen)
             more_words, more_n = [], []
             for w, k in zip(words.filter(hyphen).to_pylist(), n.filter(hyphen).to_pylist()):
                 parts = _parts(w)
-                names = parts + ["-".join(parts)] if len(parts) > 1 else parts
+                # A word put together keeps its mark here.
+                names = [_PUT + p for p in parts] if w.startswith(_PUT) else parts + ["-".join(parts)] if len(parts) > 1 else parts
                 more_words += names
                 more_n += [k] * len(names)
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.filter(plain).cast(pa.string()), pa.array(more_words, pa.string())]), pa.concat_arrays([n.filter(plain), pa.array(more_n, pa.int64())])], names=["w", "n"])
 
     counted = texts.select(F.col(column).alias("text")).where(F.col("text").isNotNull()).mapInArrow(run, "w string, n bigint").where(F.length("w") >= 2)
+    put = F.col("w").startswith(_PUT)
+    bare = F.when(put, F.substr("w", F.lit(2))).otherwise(F.col("w"))
+    marked = counted.select(bare.alias("w"), "n", put.alias("put")).where(F.length("w") >= 2)
     word = F.lower("w")
-    sums = counted.groupBy(word.alias("word")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("w") == word, F.col("n")).otherwise(0)).alias("small"))
+    own = (F.col("w") == word) & ~F.col("put")
+    sums = marked.groupBy(word.alias("word")).agg(F.sum("n").alias("n"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("small"), F.sum(F.when(F.col("put"), F.col("n")).otherwise(0)).alias("put"))
     return sums.where(F.col("word").rlike(_WORD) | F.col("word").contains("-"))
 
 
@@ -163,7 +175,7 @@ class Words:
 
         A pair that the corpus writes with its hyphen inside a line more often than as one word is a compound.
         """
-        seen = self.counts.select("word", "n")
+        seen = self.counts.select("word", (F.col("n") - F.col("put")).alias("n"))
         asked = pairs.select("pair").distinct()
         as_one = seen.select(F.col("word").alias("whole"), F.col("n").alias("ones"))
         as_two = seen.where(F.col("word").contains("-")).select(F.col("word").alias("pair"), F.col("n").alias("twos"))

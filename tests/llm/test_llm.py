@@ -249,6 +249,17 @@ def test_misread_words_against_brute_force(spark):
     assert {w: got.get(w) for w in words} == {w: brute_meant(w, 1, known) for w in words}
 
 
+def test_misread_halves_of_a_split_word(spark):
+    """A word split over a line end is looked at as a whole: its halves say nothing."""
+    rows = [(i, "the regular graded kind") for i in range(40)] + [(90, "the reg¬\niilar kind"), (91, "the gra-\ncled kind"), (92, "the reg-\nular kind"), (93, "the ki�d")]
+    units = spark.createDataFrame(rows, "unit_id bigint, content string")
+    pages = spark.createDataFrame([], "scan_id bigint, page_height double, blocks array<struct<block_id:int,block_type:string,text:string,bbox:array<double>,font_size:double,is_bold:boolean>>")
+    got = {(r.record_id, r.noise) for r in scans.scan_noise(units, pages).collect()}
+    assert got == {(90, "misread"), (90, "hyphenation"), (91, "misread"), (91, "hyphenation"), (92, "hyphenation"), (93, "misread")}
+    fixed = {r.record_id: r.text for r in scans.repaired(units, pages).collect()}
+    assert fixed[90] == "the regular kind" and fixed[91] == "the graded kind"
+
+
 def test_own_hyphens_are_kept(spark):
     """A compound that the corpus writes with its hyphen is no split word, a word it writes whole is."""
     plain = ["the torsion-free group of the following kind"] * 6

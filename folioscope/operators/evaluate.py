@@ -113,7 +113,7 @@ def pooled_agreement(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
         F.coalesce(F.avg(token_f1(formula("gold"), formula("pred"))), F.lit(0.0)).alias("formula"),
         F.coalesce(F.avg(token_f1(T.token_set(F.col("gold_content")), T.token_set(F.col("pred_content")))), F.lit(0.0)).alias("content"),
     )
-    counts = a.agg(F.count(F.lit(1)).alias("units_a")).join(b.agg(F.count(F.lit(1)).alias("units_b"))).join(scored)
+    counts = scored.withColumn("units_a", F.lit(a.count()).cast("bigint")).withColumn("units_b", F.lit(b.count()).cast("bigint"))
     p, r = metrics.ratio(F.col("matched"), F.col("units_b")), metrics.ratio(F.col("matched"), F.col("units_a"))
     return counts.select("units_a", "units_b", "matched", p.alias("precision"), r.alias("recall"), metrics.f1(p, r).alias("f1"), "type", "formula", "content")
 
@@ -145,7 +145,7 @@ def error_counts(units: DataFrame, gold_method: str, pairs: DataFrame) -> DataFr
     ``pairs``: (method, gold_id, pred_id) of every method against the gold units.
     """
     matched = pairs.groupBy("method").agg(F.count(F.lit(1)).alias("matched"))
-    gold = units.where(F.col("method") == gold_method).agg(F.count(F.lit(1)).alias("gold"))
+    gold = F.lit(units.where(F.col("method") == gold_method).count()).cast("bigint")
     c = F.col
     text = F.concat(F.coalesce("content", F.lit("")), F.coalesce("proof", F.lit("")))
     own = units.where(F.col("method") != gold_method).groupBy("method").agg(
@@ -153,7 +153,7 @@ def error_counts(units: DataFrame, gold_method: str, pairs: DataFrame) -> DataFr
         F.count_if(S.v2_parse(c("label"), c("env"), c("content"), c("number_components")) < 1).alias("parse_errors"), F.count_if(S.v2_symbol(c("content"), c("proof")) < 1).alias("symbol_errors"),
     )
     found = F.coalesce("matched", F.lit(0))
-    return own.join(matched, "method", "left").join(F.broadcast(gold)).select("method", (F.col("gold") - found).alias("fn"), (F.col("units") - found).alias("fp"), "lost", "parse_errors", "symbol_errors")
+    return own.join(matched, "method", "left").select("method", (gold - found).alias("fn"), (F.col("units") - found).alias("fp"), "lost", "parse_errors", "symbol_errors")
 
 
 def lost_before_after(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -187,8 +187,8 @@ def data_checks(units: DataFrame, gold_method: str, pairs: DataFrame) -> DataFra
     gold = per_book.where(F.col("method") == gold_method).select("_doc_id", F.col("units").alias("gold"))
     others = per_book.where(F.col("method") != gold_method).join(gold, "_doc_id")
     both = others.groupBy("method").agg(F.count_if(F.col("units") != F.col("gold")).alias("count_delta"), F.count(F.lit(1)).alias("books"))
-    books = gold.agg(F.count(F.lit(1)).alias("gold_books"))
-    compared = both.join(F.broadcast(books)).select("method", "count_delta", (F.col("gold_books") - F.col("books")).alias("missing_books")).unpivot(["method"], ["count_delta", "missing_books"], "rule", "n")
+    books = F.lit(gold.count()).cast("bigint")
+    compared = both.select("method", "count_delta", (books - F.col("books")).alias("missing_books")).unpivot(["method"], ["count_delta", "missing_books"], "rule", "n")
     side = lambda n: units.select(F.col("unit_id").alias(f"{n}_id"), F.col("label").alias(f"{n}_label"), F.col("env").alias(f"{n}_env"))
     matched = pairs.join(side("gold"), "gold_id").join(side("pred"), "pred_id").groupBy("method").agg(
         F.count_if(~F.col("gold_label").eqNullSafe(F.col("pred_label"))).alias("label_mismatch"), F.count_if(~F.col("gold_env").eqNullSafe(F.col("pred_env"))).alias("env_mismatch")

@@ -2,16 +2,16 @@
 
 The lines of a text are labelled body, break (a word goes on in the next body line), header or page
 number by a hidden Markov model over shape, context and layout features. Its emissions and
-transitions are trained by hard expectation-maximisation on a bounded sample of the texts to be
-labelled, from a few labelled examples. The most probable label sequence of the whole text decides;
-nothing filters it afterwards. Misread words come from the corpus lexicon. The labels drive the
+transitions are trained by hard expectation-maximisation on all texts of the corpus, from a few
+labelled examples. The most probable label sequence of the whole text decides; nothing filters it
+afterwards. Misread words come from the corpus lexicon. The labels drive the
 reassembly into paragraphs.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,6 +46,8 @@ EXAMPLES = (
 PLACES = ((1.0, 1.0, 1.0, 1.0), (0.01, 0.01, 0.97, 0.97), (0.97, 0.97, 0.03, 0.03), (0.97, 0.97, 0.001, 0.001))
 UNKNOWN, EDGE, READING, LARGE = range(4)
 HEADER_FONT, LARGE_FONT = 9.5, 13.0
+#: How many texts a larger corpus weighs as against the examples, whatever its size.
+MASS = 20_000
 _HYPHENS = "-‐­¬"
 
 # Signs of furniture in a line without outer blanks; the first that holds is the line's sign.
@@ -85,8 +87,41 @@ def _counts(lines: pa.Array, pattern: str) -> np.ndarray:
     return pc.count_substring_regex(lines, pattern).to_numpy(zero_copy_only=False)
 
 
-class Lines:
-    """The lines of many texts, one after the other, and their features as a matrix of flags."""
+class Looks:
+    """The features of the lines of many texts, one after the other, as a matrix of flags; all that training needs."""
+
+    features: np.ndarray
+    blank: np.ndarray
+    broken: np.ndarray
+    mere: np.ndarray
+    counts: np.ndarray
+    starts: np.ndarray
+
+    @staticmethod
+    def read(packed: pa.Array) -> tuple[Looks, np.ndarray]:
+        """The features and places that :meth:`packed` made of texts."""
+        numbers = np.frombuffer(b"".join(packed.to_pylist()), np.int32)
+        looks = Looks()
+        looks.counts = pc.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64) // 4 - 1
+        looks.starts = np.concatenate([[0], np.cumsum(looks.counts)[:-1]]).astype(np.int64)
+        at = looks.starts + np.arange(len(packed))
+        codes = np.delete(numbers, at)
+        looks.features = (codes[:, None] >> np.arange(FEATURES) & 1).astype(np.float64)
+        looks.blank = (codes >> FEATURES & 1).astype(bool)
+        looks.broken = looks.features[:, _BROKEN_AT] > 0
+        looks.mere = looks.features[:, :MERE_SIGNS].any(axis=1)
+        return looks, numbers[at]
+
+    def packed(self, place: np.ndarray) -> pa.Array:
+        """A binary per text: its place as far as that is evidence, then the features of each line as bits of a number."""
+        codes = (self.features @ (1 << np.arange(FEATURES)).astype(np.float64)).astype(np.int32) | self.blank.astype(np.int32) << FEATURES
+        numbers = np.insert(codes, self.starts, known_place(self, place)).astype(np.int32)
+        ends = 4 * np.concatenate([[0], np.cumsum(self.counts + 1)]).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(self.counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(numbers.tobytes())])
+
+
+class Lines(Looks):
+    """The lines of many texts, one after the other, and their features."""
 
     def __init__(self, texts: pa.Array):
         split = pc.split_pattern(texts.cast(pa.string()), "\n")
@@ -131,6 +166,13 @@ class Lines:
 
 
 FEATURES = SIGNS + len(_SHAPES) + 7
+#: The first signs are those of mere numbers; the column of ``broken``.
+MERE_SIGNS, _BROKEN_AT = 2, SIGNS + len(_SHAPES) + 1
+
+
+def known_place(lines: Looks, place: np.ndarray) -> np.ndarray:
+    """The places that are evidence: those of lone lines and of blocks at the edge."""
+    return np.where((lines.counts == 1) | (place == EDGE), place, UNKNOWN)
 
 
 class LineModel:
@@ -145,7 +187,7 @@ class LineModel:
         self.move = np.log((moves + 0.5) / (moves + 0.5).sum(axis=1, keepdims=True))
         self.first = np.log((first + 0.5) / (first + 0.5).sum())
 
-    def label(self, lines: Lines, place: np.ndarray | None = None) -> np.ndarray:
+    def label(self, lines: Looks, place: np.ndarray | None = None) -> np.ndarray:
         """The likeliest states of all lines of each text together (Viterbi). Blank lines are body.
 
         ``place`` (a number of PLACES per text) is evidence for a lone line, and for every line of a block at the edge.
@@ -154,8 +196,7 @@ class LineModel:
         # A mere number can't show any other feature: their absence says nothing.
         emission = sign + np.where(lines.mere[:, None], 0.0, self.base + lines.features[:, SIGNS:] @ self.gain[SIGNS:])
         if place is not None:
-            known = np.where((lines.counts == 1) | (place == EDGE), place, UNKNOWN)
-            emission = emission + np.log(np.array(PLACES))[np.repeat(known, lines.counts)]
+            emission = emission + np.log(np.array(PLACES))[np.repeat(known_place(lines, place), lines.counts)]
         emission[lines.blank] = (0.0, -99.0, -99.0, -99.0)
         return _viterbi(emission, lines.starts, lines.counts, self.move, self.first)
 
@@ -184,9 +225,11 @@ def _viterbi(emission: np.ndarray, starts: np.ndarray, counts: np.ndarray, move:
     return labels
 
 
-def _tally(lines: Lines, labels: np.ndarray, place: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def _tally(lines: Looks, labels: np.ndarray, place: np.ndarray | None = None, times: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Counts of features, lines, moves and first lines per state; blank lines have no features to learn from.
 
+    Each text counts as often as ``times`` says, or once.
+
     With ``place``, the layout teaches the look: lines of blocks at the edge are furniture, all others
     body or break, whatever their label says (mere numbers labelled as page numbers are left out);
     the labels teach the moves and which of the two it is.
@@ -196,15 +239,17 @@ def _tally(lines: Lines, labels: np.ndarray, place: np.ndarray | None = None) ->
         edge = np.repeat(place == EDGE, lines.counts)
         seen &= np.where(edge, labels >= HEADER, ~lines.mere | (labels != PAGE_NUMBER))
         looks = np.where(edge | (labels < HEADER), labels, np.where(lines.broken, BREAK, BODY))
-    on = np.array([lines.features[seen & (looks == s)].sum(axis=0) for s in range(4)])
+    times = np.ones(len(lines.counts)) if times is None else times.astype(float)
+    each = np.repeat(times, lines.counts)
+    on = np.array([each[mine] @ lines.features[mine] for mine in (seen & (looks == s) for s in range(4))])
     many = lines.counts > 1
     inner = np.ones(len(labels), bool)
     inner[lines.starts] = False
     at = np.flatnonzero(inner)
     moves = np.zeros((4, 4))
-    np.add.at(moves, (labels[at - 1], labels[at]), 1)
-    first = np.bincount(labels[lines.starts[many]], minlength=4).astype(float)
-    return on, np.bincount(looks[seen], minlength=4).astype(float), moves, first
+    np.add.at(moves, (labels[at - 1], labels[at]), each[at])
+    first = np.bincount(labels[lines.starts[many]], times[many], minlength=4)
+    return on, np.bincount(looks[seen], each[seen], minlength=4), moves, first
 
 
 def _examples() -> tuple[np.ndarray, ...]:
@@ -212,26 +257,32 @@ def _examples() -> tuple[np.ndarray, ...]:
     return _tally(lines, np.array([STATES.index(state) for text in EXAMPLES for state, _ in text]))
 
 
-def train(texts: pa.Array | None = None, place: np.ndarray | None = None, rounds: int = 6, weight: float = 3.0) -> LineModel:
-    """A model from the examples (each counts ``weight`` times) and, if given, unlabelled texts.
+def _trained(tally: Callable[[LineModel], tuple[np.ndarray, ...]] | None, texts: int, rounds: int, weight: float) -> LineModel:
+    """Hard expectation-maximisation: the texts are labelled by the model so far, the counts of these labels
+    (``tally``) make the next one, until no count changes or ``rounds`` are over.
 
-    Hard expectation-maximisation: the texts are labelled by the model so far, the counts of these labels
-    make the next one, until no label changes or ``rounds`` are over.
+    The counts of more than MASS texts are scaled to those of MASS texts: what the examples say of the states
+    must not fade as the corpus grows, or headers and page numbers change places.
     """
     given = [weight * x for x in _examples()]
-    model = LineModel(*given)
-    if texts is None or not len(texts):
-        return model
-    lines, old = Lines(texts), None
-    for _ in range(rounds):
-        labels = model.label(lines, place)
-        if old is not None and np.array_equal(labels, old):
+    model, old = LineModel(*given), None
+    for _ in range(rounds if tally is not None else 0):
+        new = tally(model)
+        if old is not None and all(np.array_equal(a, b) for a, b in zip(new, old)):
             break
-        old = labels
-        model = LineModel(*(a + b for a, b in zip(given, _tally(lines, labels, place))))
+        old = new
+        model = LineModel(*(a + b * min(1.0, MASS / max(texts, 1)) for a, b in zip(given, new)))
     return model
 
 
+def train(texts: pa.Array | None = None, place: np.ndarray | None = None, rounds: int = 6, weight: float = 3.0) -> LineModel:
+    """A model from the examples (each counts ``weight`` times) and, if given, unlabelled texts, by one process."""
+    if texts is None or not len(texts):
+        return _trained(None, 0, rounds, weight)
+    lines = Lines(texts)
+    return _trained(lambda model: _tally(lines, model.label(lines, place), place), len(texts), rounds, weight)
+
+
 def scan_texts(units: DataFrame, pages: DataFrame) -> DataFrame:
     """(kind, id, block_id, text, place) of unit contents and page blocks with a text; ``place`` as in PLACES.
 
@@ -248,27 +299,40 @@ def scan_texts(units: DataFrame, pages: DataFrame) -> DataFrame:
     return of_units.unionByName(of_blocks).where(F.col("text").rlike(r"\S"))
 
 
-def learn_lines(texts: DataFrame, sample: int = 20_000) -> LineModel:
-    """The line model of a corpus, trained on about ``sample`` of its texts (chosen by hash, bounded by that parameter).
+def learn_lines(texts: DataFrame, rounds: int = 6, weight: float = 3.0) -> LineModel:
+    """The line model of a corpus, the same as :func:`train` makes of all its texts in one process.
 
-    The sample is read by one task; what comes to the driver is the model's few hundred numbers.
+    Texts whose lines look alike one by one are labelled alike, so they are kept once, with their number.
+    Each round labels all of them; the counts are summed on the executors, and what comes to the driver is
+    a few hundred numbers.
     """
-    total = texts.count()
-    share = min(1.0, sample / max(total, 1))
-    chosen = texts.where(F.pmod(F.xxhash64("kind", "id", "block_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text", "place")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        model = train(whole["text"].combine_chunks(), whole["place"].to_numpy()) if whole is not None else train()
-        numbers = [model.base, model.gain.ravel(), model.move.ravel(), model.first]
-        yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in numbers], pa.list_(pa.float64())), pa.array(range(4), pa.int32())], names=["x", "i"])
-
-    rows = sorted(chosen.coalesce(1).mapInArrow(run, "x array<double>, i int").collect(), key=lambda r: r["i"])
-    model = train()
-    if rows:
-        base, gain, move, first = (np.array(r["x"]) for r in rows)
-        model.base, model.gain, model.move, model.first = base, gain.reshape(FEATURES, 4), move.reshape(4, 4), first
-    return model
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counted = pc.value_counts(Lines(batch.column(0)).packed(batch.column(1).to_numpy()))
+            yield pa.RecordBatch.from_arrays([counted.field(0).cast(pa.binary()), counted.field(1)], names=["look", "n"])
+
+    looks = materialize(texts.select("text", "place").mapInArrow(look, "look binary, n bigint").groupBy("look").agg(F.sum("n").alias("n")))
+    shapes = [x.shape for x in _examples()]
+    ends = np.cumsum([np.prod(x) for x in shapes])
+
+    def tally(model: LineModel) -> tuple[np.ndarray, ...]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(ends[-1])
+            for batch in batches:
+                if len(batch):
+                    lines, place = Looks.read(batch.column(0))
+                    counts = _tally(lines, model.label(lines, place), place, batch.column(1).to_numpy())
+                    total += np.concatenate([x.ravel() for x in counts])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["i", "x"])
+
+        total = np.zeros(ends[-1])
+        # Whole numbers: their sum is the same in any order.
+        for r in looks.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+            total[r["i"]] = r["x"]
+        return tuple(part.reshape(shape) for part, shape in zip(np.split(total, ends[:-1]), shapes))
+
+    return _trained(tally, looks.agg(F.sum("n")).first()[0] or 0, rounds, weight)
 
 
 _LEFT, _RIGHT = re.compile(rf"([^\W\d_]+)[{_HYPHENS}]\s*$"), re.compile(r"\s*([^\W\d_]+)")

@@ -205,6 +205,26 @@ def test_training_learns_the_corpus():
     assert (got[:80] >= scans.HEADER).all() and (got[80:] < scans.HEADER).all()
 
 
+def test_all_texts_train_the_line_model(spark):
+    """The model of a large corpus is that of all its texts, not of some: each look counts as often as it occurs."""
+    kinds = ["for every space we have a set {}", "Notes on Analysis | {}", "[{}]", "let it be con-\n  \n{}  NOTES ON LOGIC\ntinuous in case {}", "we have x =\n{}", "\n- {} is of use.\nAnd so on", "Annales Tom {} Livre"]
+    rng = random.Random(2)
+    rows = [("unit", i, -1, rng.choice(kinds).replace("{}", str(rng.randint(1, 300))), rng.randint(0, 3)) for i in range(25_000)]
+    rows += [("unit", 25_000, -1, "a line of plain words\nXII\n" * 3_000, scans.EDGE), ("unit", 25_001, -1, "§ 4 ∎", scans.READING)]
+    df = spark.createDataFrame(rows, "kind string, id bigint, block_id int, text string, place int").repartition(5)
+    got, want = scans.learn_lines(df), scans.train(pa.array([r[3] for r in rows]), np.array([r[4] for r in rows]))
+    for name in ("base", "gain", "move", "first"):
+        assert np.array_equal(getattr(got, name), getattr(want, name)), name
+
+
+def test_the_examples_do_not_fade(monkeypatch):
+    """A corpus three times as large, of the same texts, gives the same model."""
+    monkeypatch.setattr(scans, "MASS", 50)
+    texts, place = ["[3]", "Notes on Analysis | 12", "for every con-\n12\ntinuous map", "a line of plain words"] * 20, [scans.EDGE, scans.EDGE, scans.READING, scans.READING] * 20
+    one, three = (scans.train(pa.array(texts * k), np.array(place * k)) for k in (1, 3))
+    assert np.allclose(one.gain, three.gain) and np.allclose(one.move, three.move) and np.allclose(one.first, three.first)
+
+
 def brute_meant(word, n, ordinary, ratio=20.0):
     """What a misread word means, by trying every ordinary word."""
     lost = word.count(lexicon.LOST)

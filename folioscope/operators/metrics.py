@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,19 +118,27 @@ def macro(per_chapter: DataFrame, keys: list[str], measures: list[str], chapter_
 def bootstrap(per_chapter: DataFrame, measure: str, resamples: int = 10_000, seed: int = 42, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """(mean, low, high) of the mean over chapters by resampling them with replacement.
 
-    Draws come from a linear congruential generator on (resample, draw), so they repeat anywhere. Chapters
-    are numbered first, in one task: they are few; a resample is as many draws as there are chapters.
+    Draws come from a linear congruential generator on (resample, draw), so they repeat anywhere; a resample is as
+    many draws as there are chapters. The chapters' values, one double each, go to every task, which draws its
+    resamples there: draws are never rows.
     """
-    base = per_chapter.where(F.col(measure).isNotNull()).select(F.col(measure).alias("v"))
-    numbered = base.withColumn("i", F.row_number().over(Window.orderBy("v")) - 1)
-    n = max(numbered.count(), 1)
+    values = per_chapter.where(F.col(measure).isNotNull()).select(F.col(measure).cast("double").alias("v")).orderBy("v").toArrow()["v"].to_numpy()
     spark = per_chapter.sparkSession
-    prime = F.lit(2147483647)
-    x = (F.col("b") * 7919 + F.col("d") * 104729 + F.lit(seed * 1299709).cast("bigint")) % prime
-    for _ in range(2):
-        x = (x * 48271) % prime
-    draws = spark.range(resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("d")).withColumn("i", (x % n).cast("int"))
-    means = draws.join(numbered, "i").groupBy("b").agg(F.avg("v").alias("m"))
+    shared = spark.sparkContext.broadcast(values)
+    prime = 2147483647
+    twice = 48271 * 48271 % prime
+
+    def drawn(batches):
+        v = shared.value
+        n = len(v)
+        # The generator is linear: what a draw adds is the same in every resample.
+        steps = (np.arange(n) * 104729 % prime) * twice % prime
+        for batch in batches if n else ():
+            ids = batch.column(0).to_pylist()
+            means = [v[(steps + (b * 7919 + seed * 1299709) % prime * twice % prime) % prime % n].mean() for b in ids]
+            yield pa.RecordBatch.from_pydict({"b": pa.array(ids, pa.int64()), "m": pa.array(means, pa.float64())})
+
+    means = spark.range(resamples).mapInArrow(drawn, "b bigint, m double")
     ranked = means.withColumn("r", F.row_number().over(Window.orderBy("m")) - 1)
     at = lambda q: F.max(F.when(F.col("r") == int(q * resamples), F.col("m")))
     return ranked.agg(F.avg("m").alias("mean"), at(low).alias("low"), at(high).alias("high"))

@@ -3,11 +3,12 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import evaluate, gold, match, page_model, postprocess, report, tables
+from folioscope.operators import evaluate, gold, match, metrics, page_model, postprocess, report, tables
 from folioscope.plans import pipelines, steps
 from folioscope.sources import io
 
@@ -257,3 +258,18 @@ def test_manifest_takes_the_first_image(spark):
 def test_reports_refuse_to_cut(spark):
     with pytest.raises(ValueError):
         report.table_rows(spark.range(5), ["id"], most=3)
+
+
+def test_bootstrap_of_many_chapters(spark):
+    n = 20_000
+    chapters = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("ready"))
+    v = sorted(r["ready"] for r in chapters.collect())
+    means = []
+    for b in range(0, 10_000, 1000):
+        x = (b * 7919 + np.arange(n) * 104729 + 42 * 1299709) % 2147483647
+        means.append(np.array(v)[x * 48271 % 2147483647 * 48271 % 2147483647 % n].mean())
+    got = metrics.bootstrap(chapters, "ready").first()
+    assert got["low"] < min(means) + 0.01 and got["low"] < got["mean"] < got["high"] and got["mean"] == pytest.approx(np.mean(v), abs=1e-3)
+    few = metrics.bootstrap(chapters, "ready", resamples=1, low=0, high=0).first()
+    assert few["mean"] == few["low"] == pytest.approx(means[0], rel=1e-12)
+    assert metrics.bootstrap(chapters.where("ready > 1"), "ready").first()["mean"] is None

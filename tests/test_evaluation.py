@@ -273,3 +273,22 @@ def test_bootstrap_of_many_chapters(spark):
     few = metrics.bootstrap(chapters, "ready", resamples=1, low=0, high=0).first()
     assert few["mean"] == few["low"] == pytest.approx(means[0], rel=1e-12)
     assert metrics.bootstrap(chapters.where("ready > 1"), "ready").first()["mean"] is None
+
+
+def test_similar_pairs_of_books_cut_to_a_grid(spark, monkeypatch):
+    """Books larger than a cell, small books beside each other, tokens that books share, counts in several runs."""
+    import random
+
+    monkeypatch.setattr(match, "CELL", 7)
+    monkeypatch.setattr(match, "AT_ONCE", 64)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(90)]
+    text = lambda: " ".join(rng.sample(words[:12] if rng.random() < 0.6 else words, rng.randint(1, 11)))
+    book = lambda: rng.choice(("large", "large", "large", "a", "b", "c", None))
+    g = [unit(i, content=text(), book=book()) for i in range(70)] + [unit(90, content=None), unit(91, content="", book="only gold")]
+    p = [unit(100 + i, content=text(), book=book()) for i in range(60)]
+    for threshold in (0.3, 0.5, 0.8):
+        got = {(r._doc_id, r.gold_id, r.pred_id, r.sim) for r in match._similar_pairs(units(spark, *g), units(spark, *p), "_doc_id", threshold).collect()}
+        sets = {x[0]: set((x[5] or "").split()) for x in g + p}
+        alike = lambda a, b: len(sets[a[0]] & sets[b[0]]) / max(len(sets[a[0]] | sets[b[0]]), 1)
+        assert got == {(a[1], a[0], b[0], alike(a, b)) for a in g for b in p if a[1] and a[1] == b[1] and alike(a, b) > threshold} and got

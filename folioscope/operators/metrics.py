@@ -39,8 +39,11 @@ def with_units(pairs: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame:
     return pairs.join(g, "gold_id").join(p, "pred_id")
 
 
-def pair_scores(pairs: DataFrame, family: str = "v2") -> DataFrame:
-    """Per pair: type_ok, completeness, edit, formula, parse, symbol, retrieval, ready, of the family given."""
+def pair_scores(pairs: DataFrame, family: str = "v2", first: int | None = 500) -> DataFrame:
+    """Per pair: type_ok, completeness, edit, formula, parse, symbol, retrieval, ready, of the family given.
+
+    ``first``: how many characters the edit distance compares; None for whole texts.
+    """
     g, p = (lambda c: F.col(f"g.{c}")), (lambda c: F.col(f"p.{c}"))
     gold_text, pred_text = T.strip_latex(g("content")), T.normalize_ocr(p("content"))
     spans = F.transform(F.coalesce(p("_formula_spans"), F.array().cast("array<struct<formula_id:string,text:string,source_block:int>>")), lambda s: s["text"])
@@ -60,7 +63,7 @@ def pair_scores(pairs: DataFrame, family: str = "v2") -> DataFrame:
         g("env").alias("gold_env"),
         same.cast("int").alias("type_ok"),
         T.set_recall(T.tokens(gold_text), T.tokens(pred_text)).alias("completeness"),
-        T.edit_ratio(gold_text, pred_text, 500).alias("edit"),
+        T.edit_ratio(gold_text, pred_text, first).alias("edit"),
         formula.alias("formula"), parse.alias("parse"), symbol.alias("symbol"), retrieval.alias("retrieval"),
     )
     return scored.withColumn("ready", (F.col("parse") + F.col("symbol") + F.col("retrieval")) / 3)

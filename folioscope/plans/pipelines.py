@@ -51,13 +51,13 @@ def hybrid_units(units: DataFrame) -> DataFrame:
 
 
 def evaluate(gold: DataFrame, pred: DataFrame, family: str = "v2", book: str = "_doc_id") -> DataFrame:
-    """Per book: boundary scores and content scores of ``pred`` against ``gold``."""
+    """Per book: boundary scores and content scores of ``pred`` against ``gold``. Family v2 compares whole texts."""
     if family == "v1":
         pairs = match.match_labels_v1(gold, pred, book).where("gold_id IS NOT NULL AND pred_id IS NOT NULL").select(book, "gold_id", "pred_id")
     else:
         pairs = match.match_units(gold, pred, book).select(book, "gold_id", "pred_id")
     pairs = materialize(pairs)
-    scored = metrics.summary(metrics.pair_scores(metrics.with_units(pairs, gold, pred), family), [book]).drop("matched")
+    scored = metrics.summary(metrics.pair_scores(metrics.with_units(pairs, gold, pred), family, 500 if family == "v1" else None), [book]).drop("matched")
     if family == "v1":
         # This family counts distinct labels, not units.
         one = lambda df, c: df.where(F.col(c).isNotNull()).select(book, "key").distinct()

@@ -292,3 +292,10 @@ def test_similar_pairs_of_books_cut_to_a_grid(spark, monkeypatch):
         sets = {x[0]: set((x[5] or "").split()) for x in g + p}
         alike = lambda a, b: len(sets[a[0]] & sets[b[0]]) / max(len(sets[a[0]] | sets[b[0]]), 1)
         assert got == {(a[1], a[0], b[0], alike(a, b)) for a in g for b in p if a[1] and a[1] == b[1] and alike(a, b) > threshold} and got
+
+
+def test_whole_texts_are_compared(spark):
+    same = "a" * 600
+    g, p = units(spark, unit(1, content=same + "b" * 400)), units(spark, unit(11, content=same + "c" * 400))
+    assert pipelines.evaluate(g, p, "v2").first()["edit"] == pytest.approx(0.4)
+    assert pipelines.evaluate(g, p, "v1").first()["edit"] == 0

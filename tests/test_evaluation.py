@@ -299,3 +299,18 @@ def test_whole_texts_are_compared(spark):
     g, p = units(spark, unit(1, content=same + "b" * 400)), units(spark, unit(11, content=same + "c" * 400))
     assert pipelines.evaluate(g, p, "v2").first()["edit"] == pytest.approx(0.4)
     assert pipelines.evaluate(g, p, "v1").first()["edit"] == 0
+
+
+def test_most_similar_against_every_ratio():
+    import difflib
+    import random
+
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in ("ra", "tion", "é", "-", " of the")]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(rng.randint(0, n)))[:300]
+    pages = [text(90) for _ in range(120)] + [text(8) for _ in range(80)] + ["", "x", "x"]
+    wanted = [p[: rng.randint(1, 300)] + text(5) for p in pages[::9]] + [text(60) for _ in range(12)] + ["", "x", "§§"]
+    for w, (score, at) in zip(wanted, gold.most_similar(wanted, pages)):
+        ratios = [difflib.SequenceMatcher(None, w, p).ratio() for p in pages]
+        assert (score, at) == (max(ratios), ratios.index(max(ratios)))
+    assert gold.most_similar(["x"], []) == [(-1.0, 0)]

@@ -314,3 +314,8 @@ def test_most_similar_against_every_ratio():
         ratios = [difflib.SequenceMatcher(None, w, p).ratio() for p in pages]
         assert (score, at) == (max(ratios), ratios.index(max(ratios)))
     assert gold.most_similar(["x"], []) == [(-1.0, 0)]
+    for _ in range(2000):
+        a, b = ("".join(rng.choice(c) for _ in range(rng.randint(0, n))) for c, n in (("abc\0é", 30), ("abcx\0", 260)))
+        ratio = difflib.SequenceMatcher(None, a, b).ratio()
+        assert gold.reaching_ratio(a, b, gold._plain(b, "z"), ratio) == ratio
+        assert gold.reaching_ratio(a, b, gold._plain(b, "z"), ratio + 0.1) in (-1, ratio)
